@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ...functions.windows import Series, clip, corr_over, flag, nz, pct_rank, quantile_of
 from .base import family
@@ -218,7 +218,7 @@ def hurst_lags(n: int) -> list[int]:
     return sorted({max(2, n // k) for k in range(2, min(10, n // 4 + 1))})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rescaled_range_slope(prices: pd.Series) -> pd.Series:
     """Slope of log R/S on log lag for each array of prices, all rows of a batch at once."""
     out = pd.Series(np.nan, index=prices.index)
