@@ -33,7 +33,9 @@ def m(name: str) -> Column:
 
 
 def z(x, mu, sd):
-    return ratio(C(x) - C(mu), C(sd))
+    """Z-score; a value within rounding noise of its mean scores 0."""
+    d = C(x) - C(mu)
+    return F.when(F.abs(d) > 1e-9 * F.abs(C(mu)), ratio(d, C(sd))).when(d.isNotNull(), 0.0)
 
 
 @family("FEA-22", "vix_level vix_ratio vix_lr_ratio vix_1d_chg vix_5d_chg vix_rank vix_spike vix_low vix_fear_zone vix_calm_zone",

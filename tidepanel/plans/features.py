@@ -27,6 +27,10 @@ def zsc(x, mu, sd):
     return ratio(f"{x} - {mu}", sd)
 
 
+def mzsc(x, mu, sd):
+    return f"CASE WHEN abs({x} - {mu}) > 1e-9 * abs({mu}) THEN {zsc(x, mu, sd)} WHEN {x} - {mu} IS NOT NULL THEN 0.0 END"
+
+
 SMA = {f"_s{n}": mean("close", n) for n in (5, 10, 20, 50, 200)}
 RET = {"ret_1d": pct("close")}
 VOL = [RET, {f"vol_{n}d": f"({std('ret_1d', n)}) * {Y}" for n in (5, 21, 63)}]
@@ -190,34 +194,34 @@ M["FEA-22"] = ([{**_r[0], "vix_level": "_m_vix", "_m20": mean("_m_vix", 20, 10),
                  "vix_fear_zone": flag(above("_m_vix", "_q8")), "vix_calm_zone": flag(above("_q2", "_m_vix"))}],
                "vix_spike vix_low vix_fear_zone vix_calm_zone", "vix")
 M["FEA-23"] = ([{"vvix_level": "_m_vvix", "_a": mean("_m_vvix", 20, 10), "_mu": mean("_m_vvix", 63, 20), "_sd": std("_m_vvix", 63, 20)},
-                {"vvix_zscore": zsc("_m_vvix", "_mu", "_sd"), "vvix_spike": flag("_m_vvix > 120"), "vvix_above_ma": flag(above("_m_vvix", "_a"))}],
+                {"vvix_zscore": mzsc("_m_vvix", "_mu", "_sd"), "vvix_spike": flag("_m_vvix > 120"), "vvix_above_ma": flag(above("_m_vvix", "_a"))}],
                "vvix_spike vvix_above_ma", "vvix")
 _r = ranks({"yield_curve_rank": ("yield_curve_10_3m", 252, 63)})
 YC = [{"yield_curve_10_3m": "(_m_tnx - _m_irx) / 100", "yield_curve_5_3m": "(_m_fvx - _m_irx) / 100"}]
 M["FEA-24"] = (YC + [{**_r[0], "yield_curve_inverted": flag("yield_curve_10_3m < 0"), "_mu": mean("yield_curve_10_3m", 252, 63),
                       "_sd": std("yield_curve_10_3m", 252, 63), "yield_curve_chg_20d": diff("yield_curve_10_3m", 20)},
-                     {**_r[1], "yield_curve_zscore": zsc("yield_curve_10_3m", "_mu", "_sd")}], "yield_curve_inverted", "tnx irx fvx")
+                     {**_r[1], "yield_curve_zscore": mzsc("yield_curve_10_3m", "_mu", "_sd")}], "yield_curve_inverted", "tnx irx fvx")
 _r = ranks({"vix_ts_slope_rank": ("vix_ts_slope", 63, 20)})
 M["FEA-25"] = ([{"vix_ts_front_ratio": ratio("_m_vix9d", "_m_vix"), "vix_ts_back_ratio": ratio("_m_vix", "_m_vix3m"),
                  "vix_contango": flag("_m_vix9d < _m_vix"), "vix_ts_slope": ratio("_m_vix3m - _m_vix9d", "_m_vix9d")}, *_r], "vix_contango", "vix vix9d vix3m")
 M["FEA-26"] = ([{"dxy_ret_5d": pct("_m_dxy", 5), "dxy_ret_21d": pct("_m_dxy", 21), "_mu": mean("_m_dxy", 63, 20), "_sd": std("_m_dxy", 63, 20)},
-                {"dxy_zscore": zsc("_m_dxy", "_mu", "_sd"), "dxy_above_ma": flag(above("_m_dxy", "_mu"))}], "dxy_above_ma", "dxy")
+                {"dxy_zscore": mzsc("_m_dxy", "_mu", "_sd"), "dxy_above_ma": flag(above("_m_dxy", "_mu"))}], "dxy_above_ma", "dxy")
 CS = [{"credit_spread_ratio": ratio("_m_hyg", "_m_tlt")},
       {"_cmu": mean("credit_spread_ratio", 20, 10), "_csd": std("credit_spread_ratio", 20, 10)},
       {"credit_stress": flag("credit_spread_ratio < _cmu * 0.98")}]
 M["FEA-27"] = ([*CS, {"hyg_ret_5d": pct("_m_hyg", 5), "hyg_ret_21d": pct("_m_hyg", 21), "_mu": mean("_m_hyg", 20, 10), "_sd": std("_m_hyg", 20, 10),
-                      "credit_spread_chg_5d": pct("credit_spread_ratio", 5), "credit_spread_zscore": zsc("credit_spread_ratio", "_cmu", "_csd")},
-                {"hyg_zscore": zsc("_m_hyg", "_mu", "_sd"), "hyg_above_ma": flag(above("_m_hyg", "_mu"))}], "credit_stress hyg_above_ma", "hyg tlt")
+                      "credit_spread_chg_5d": pct("credit_spread_ratio", 5), "credit_spread_zscore": mzsc("credit_spread_ratio", "_cmu", "_csd")},
+                {"hyg_zscore": mzsc("_m_hyg", "_mu", "_sd"), "hyg_above_ma": flag(above("_m_hyg", "_mu"))}], "credit_stress hyg_above_ma", "hyg tlt")
 QS = [{"_qs": "_m_qqq / close"}, {"_qsm": mean("_qs", 21, 10)}, {"qqq_spy_momentum": flag("_qs > _qsm")}]
 M["FEA-28"] = ([*QS, {"tlt_ret_5d": pct("_m_tlt", 5), "_t": mean("_m_tlt", 20, 10), "qqq_spy_ratio_chg_5d": pct("_qs", 5), "gld_ret_21d": pct("_m_gld", 21)},
                 {"tlt_above_ma": flag(above("_m_tlt", "_t"))}], "qqq_spy_momentum tlt_above_ma", "tlt qqq gld")
 _r = ranks({"skew_rank": ("skew_level", 126, 30)})
 M["FEA-29"] = ([{"_ok": f"count(_m_skew) {ALL} > 50"}, {"skew_level": "CASE WHEN _ok THEN _m_skew END"},
                 {**_r[0], "_mu": mean("skew_level", 63, 20), "_sd": std("skew_level", 63, 20), "skew_chg_5d": diff("skew_level", 5), "_q7": quant("_m_vix", 63, 0.7, 20)},
-                {**_r[1], "skew_zscore": zsc("skew_level", "_mu", "_sd"), "skew_extreme": f"CASE WHEN _ok THEN {flag('skew_level > 140')} END",
+                {**_r[1], "skew_zscore": mzsc("skew_level", "_mu", "_sd"), "skew_extreme": f"CASE WHEN _ok THEN {flag('skew_level > 140')} END",
                  "skew_vix_fear": f"CASE WHEN _ok THEN {flag('skew_level > 130 AND ' + above('_m_vix', '_q7'))} END"}], "skew_extreme skew_vix_fear", "skew vix")
 M["FEA-30"] = ([{"lqd_ret_5d": pct("_m_lqd", 5), "lqd_ret_21d": pct("_m_lqd", 21), "_mu": mean("_m_lqd", 20, 10), "_sd": std("_m_lqd", 20, 10)},
-                {"lqd_zscore": zsc("_m_lqd", "_mu", "_sd"), "lqd_above_ma": flag(above("_m_lqd", "_mu"))}], "lqd_above_ma", "lqd")
+                {"lqd_zscore": mzsc("_m_lqd", "_mu", "_sd"), "lqd_above_ma": flag(above("_m_lqd", "_mu"))}], "lqd_above_ma", "lqd")
 M["FEA-31"] = ([{"eem_ret_21d": pct("_m_eem", 21), "_a": mean("_m_eem", 21, 10), "_b": mean("_m_eem", 63, 20), "_es": "_m_eem / close"},
                 {"eem_above_ma": flag(above("_m_eem", "_a")), "eem_momentum": flag(above("_a", "_b")), "eem_spy_ret_21d": pct("_es", 21)}], "eem_above_ma eem_momentum", "eem")
 M["FEA-32"] = ([{"ief_ret_21d": pct("_m_ief", 21), "_a": mean("_m_ief", 21, 10), "_t": pct("_m_tlt", 5)},
@@ -241,7 +245,7 @@ M["FEA-44"] = ([*HURST, *YC, *CS, *QS, *SEC,
 _r = ranks({"vrp_rank": ("vrp_raw", 252, 63)})
 M["FEA-49"] = (VOL + [{"vrp_raw": "_m_vix / 100 - vol_21d"}, {**_r[0], "_mu": mean("vrp_raw", 63, 20), "_sd": std("vrp_raw", 63, 20),
                       "vrp_positive": flag("vrp_raw > 0"), "vrp_chg_5d": diff("vrp_raw", 5), "vrp_chg_21d": diff("vrp_raw", 21)},
-                      {**_r[1], "vrp_zscore": zsc("vrp_raw", "_mu", "_sd")}], "vrp_positive", "vix")
+                      {**_r[1], "vrp_zscore": mzsc("vrp_raw", "_mu", "_sd")}], "vrp_positive", "vix")
 
 R21 = {"rsi_14": 63, "macd_hist": 63, "vol_21d": 63, "bb_pct": 63, "obv_trend": 63, "adx_norm": 63, "mom_12_1": 126, "mom_6_1": 126}
 _r = ranks({f"{x}_rank": (x, n, max(n // 2, 10)) for x, n in R21.items()})
@@ -249,8 +253,8 @@ _obv = OBV[1:] + [{"_om": mean("_obv", 20)}, {"obv_trend": ratio("_obv - _om", "
 SQL["FEA-21"] = (RSI + MACD + VOL + [BB0, BB1] + _obv + ADX + [{"adx_norm": "adx_14 / 100"}] + MOM + list(_r), "")
 
 
-# families that carry raw levels: values with five decimals would tie when rounded to four
-EXACT = {"FEA-22", "FEA-23", "FEA-24", "FEA-29"}
+# families with raw levels (five decimals would tie when rounded) or very small values
+DIGITS = {"FEA-22": 8, "FEA-23": 8, "FEA-24": 8, "FEA-29": 8, "FEA-39": 8, "FEA-6": 8}
 
 
 def _register():
@@ -258,15 +262,15 @@ def _register():
         cols = list(fam.columns)
         if fid in SQL:
             layers, ints = SQL[fid]
-            sql = chain([BARS], "bars", layers, pick(cols, set(ints.split()), 6 if fid in EXACT else 4))
+            sql = chain([BARS], "bars", layers, pick(cols, set(ints.split()), DIGITS.get(fid, 6)))
         else:
             layers, ints, names = M[fid]
-            sql = chain(macro_wide(names.split()), "mbars", layers, pick(cols, set(ints.split()), 6 if fid in EXACT else 4))
+            sql = chain(macro_wide(names.split()), "mbars", layers, pick(cols, set(ints.split()), DIGITS.get(fid, 6)))
 
         def run(spark, sf, fid=fid, cols=cols):
             uses_macro = any(f.macro for f in feats.closure([fid]))
             df = feats.generate_features(bars(spark, sf), [fid], macro(spark, sf) if uses_macro else None)
-            return rounded(df.select("symbol", "ts", *cols), 6 if fid in EXACT else 4)
+            return rounded(df.select("symbol", "ts", *cols), DIGITS.get(fid, 6))
         query(fid, sql)(run)
 
 

@@ -20,7 +20,7 @@ def query(key: str, sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 4, cols: list[str] | None = None) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, cols: list[str] | None = None) -> DataFrame:
     """Round double columns for stable comparison between engines."""
     names = cols or df.columns
     kinds = dict(zip(df.columns, [f.dataType for f in df.schema.fields]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 BARS = """bars AS (
   SELECT symbol, ts, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low,
          arg_max(price, seq) AS close, sum(l_quantity) AS volume
-  FROM (SELECT 'S' || l_suppkey AS symbol, l_shipdate AS ts, l_extendedprice / l_quantity AS price, l_quantity,
+  FROM (SELECT 'S' || l_suppkey AS symbol, l_shipdate AS ts, 100.0 + l_extendedprice / l_quantity / 5000.0 AS price, l_quantity,
                row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem)
   GROUP BY symbol, ts)"""
 
@@ -115,7 +115,7 @@ def chain(ctes: list[str], base: str, layers: list[dict[str, str]], final: str)
     return "WITH " + ",\n".join(parts) + "\n" + final.replace("{last}", prev)
 
 
-def pick(cols: list[str], ints: set[str] = frozenset(), digits: int = 4, keys: str = "symbol, ts") -> str:
+def pick(cols: list[str], ints: set[str] = frozenset(), digits: int = 6, keys: str = "symbol, ts") -> str:
     out = [c if c in ints else f"round({c}, {digits}) + 0.0 AS {c}" for c in cols]
     return f"SELECT {keys}, {', '.join(out)} FROM {{last}}"
 

@@ -14,6 +14,8 @@ def get_session(app: str = "tidepanel", cores: int | str = "*", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # window-heavy stages are CPU bound: keep small partitions apart so all cores work
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.legacy.parquet.nanosAsLong", "false")
         .config("spark.driver.memory", os.environ.get("TIDEPANEL_DRIVER_MEMORY", "12g"))

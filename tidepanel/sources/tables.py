@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily OHLCV bars, one symbol per supplier: trades are line items at their unit price.
+    """Daily OHLCV bars, one symbol per supplier: trades are line items priced at a base of 100
+    plus their scaled unit price, which keeps bar returns in a realistic range.
 
     The aggregation is partial before the shuffle and leaves at most one row per symbol and day, so a
     supplier holding a third of all line items still ends as one calendar-bounded series.
@@ -27,7 +28,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
         F.col("l_shipdate").alias("ts"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (100.0 + F.col("l_extendedprice") / F.col("l_quantity") / 5000.0).alias("price"),
         "l_quantity", seq.alias("seq"),
     )
     return trades.groupBy("symbol", "ts").agg(
