@@ -47,3 +47,29 @@ def norm_ppf(p: Column, eps: float = 1e-12) -> Column:
     den = 1.0 + PPF_D[0] * t + PPF_D[1] * t * t + PPF_D[2] * t * t * t
     z = t - num / den
     return F.when(p < 0.5, -z).otherwise(z)
+
+
+# Acklam's rational coefficients for the inverse normal (relative error below 1.2e-9).
+ACKLAM_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+ACKLAM_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01)
+ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00)
+ACKLAM_LOW = 0.02425
+
+
+def _poly(coef, x: Column) -> Column:
+    out = F.lit(coef[0])
+    for c in coef[1:]:
+        out = out * x + c
+    return out
+
+
+def norm_ppf_precise(p: Column) -> Column:
+    """Inverse normal for statistics that were defined with an exact quantile."""
+    p = F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0 - 1e-16))
+    q = p - 0.5
+    r = q * q
+    centre = _poly(ACKLAM_A, r) * q / _poly((*ACKLAM_B, 1.0), r)
+    t = F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p)))
+    tail = _poly(ACKLAM_C, t) / _poly((*ACKLAM_D, 1.0), t)
+    return F.when(p < ACKLAM_LOW, tail).when(p > 1.0 - ACKLAM_LOW, -tail).otherwise(centre)

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.normal import EULER_MASCHERONI, norm_cdf, norm_cdf_unscaled, norm_ppf
+from ..functions.normal import EULER_MASCHERONI, norm_cdf, norm_cdf_unscaled, norm_ppf, norm_ppf_precise
 from ..functions.windows import Series, col, corr_agg, flag, nz
 from . import metrics
 
@@ -37,10 +37,10 @@ def probabilistic_sharpe(df: DataFrame, sharpe="sharpe", n="n_bars", skew="skewn
     return d.withColumn("interpretation", lab).drop("_psr")
 
 
-def expected_max(n_trials: Column) -> Column:
+def expected_max(n_trials: Column, ppf=norm_ppf) -> Column:
     """Expected maximum of n standard normals, two-quantile approximation."""
     n = F.greatest(n_trials, F.lit(2)).cast("double")
-    return (1.0 - G) * norm_ppf(1.0 - 1.0 / n) + G * norm_ppf(1.0 - 1.0 / (n * math.e))
+    return (1.0 - G) * ppf(1.0 - 1.0 / n) + G * ppf(1.0 - 1.0 / (n * math.e))
 
 
 def _dsr_log(sharpe, n, trials, skew, kurt, year=252):
@@ -73,7 +73,7 @@ def deflated_sharpe_overfit(sharpe, trials, n_obs, skew, excess_kurt, year: int
     """Overfitting-report variant (per-bar variance of the estimator, exact-erf normal)."""
     sb = col(sharpe) / math.sqrt(year)
     n = col(n_obs)
-    star = expected_max(col(trials)) / F.sqrt(n.cast("double"))
+    star = expected_max(col(trials), norm_ppf_precise) / F.sqrt(n.cast("double"))
     var = F.greatest((1.0 + sb * sb * (0.5 + col(excess_kurt) / 4.0) - col(skew) * sb) / n, F.lit(1e-12))
     return F.when(n < 5, 0.5).otherwise(norm_cdf((sb - star) / F.sqrt(var)))
 
@@ -144,7 +144,7 @@ def multiple_testing(n_tests, n_features, alpha: float = 0.05) -> tuple[Column,
 
 
 def minimum_years(sharpe, n_trials, alpha: float = 0.05) -> Column:
-    z = norm_ppf(1.0 - alpha / F.greatest(col(n_trials), F.lit(1)).cast("double"))
+    z = norm_ppf_precise(1.0 - alpha / F.greatest(col(n_trials), F.lit(1)).cast("double"))
     return F.when((col(sharpe) <= 0) | (col(n_trials) < 1), F.lit(float("inf"))).otherwise(F.round(F.pow(z / nz(col(sharpe)), 2), 2))
 
 
