@@ -61,7 +61,7 @@ def cagr(eq="equity", ts="ts", periods: int = 252) -> Column:
 
 
 def underwater(df: DataFrame, keys, eq: str = "equity") -> DataFrame:
-    """Running peak and drawdown per bar."""
+    """Running peak and drawdown per bar. Below means by more than rounding noise of the running product."""
     p = Series(keys=tuple(keys))
     d = df.withColumn("peak", F.max(eq).over(p.past))
     return d.withColumn("drawdown", (C(eq) - C("peak")) / nz("peak"))
@@ -74,7 +74,7 @@ def drawdown(df: DataFrame, keys, eq: str = "equity") -> DataFrame:
 def underwater_runs(df: DataFrame, keys, eq: str = "equity") -> DataFrame:
     """Longest run of bars below the running peak: rows between peaks share an island."""
     p = Series(keys=tuple(keys))
-    d = underwater(df, keys, eq).withColumn("_up", flag(C(eq) >= C("peak")))
+    d = underwater(df, keys, eq).withColumn("_up", flag(C(eq) >= C("peak") * (1.0 - 1e-12)))
     d = d.withColumn("_isl", F.sum("_up").over(p.past))
     runs = d.groupBy(*keys, "_isl").agg(F.sum(1 - C("_up")).alias("_len"))
     return runs.groupBy(*keys).agg(F.max("_len").alias("max_drawdown_duration_bars"))
@@ -84,7 +84,7 @@ def all_metrics(df: DataFrame, keys, ret: str = "net_return", eq: str = "equity"
     """The metric bundle, one row per key. Two passes over the same partitioning: islands, then aggregates."""
     keys = list(keys)
     p = Series(keys=tuple(keys))
-    d = underwater(df, keys, eq).withColumn("_up", flag(C(eq) >= C("peak")))
+    d = underwater(df, keys, eq).withColumn("_up", flag(C(eq) >= C("peak") * (1.0 - 1e-12)))
     d = d.withColumn("_isl", F.sum("_up").over(p.past))
     d = d.withColumn("_run", F.sum(1 - C("_up")).over(
         Window.partitionBy(*keys, "_isl").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
@@ -124,7 +124,7 @@ def nav_statistics(df: DataFrame, keys, nav: str = "equity") -> DataFrame:
     d = underwater(df.withColumn("_r", F.coalesce(p.pct(nav), F.lit(0.0))), keys, nav)
     a = d.groupBy(*keys).agg(
         F.min_by(nav, "ts").alias("start_nav"), F.max_by(nav, "ts").alias("end_nav"),
-        F.count_if(C("_r") > 0).alias("pos_days"), F.count_if(C("_r") < 0).alias("neg_days"),
+        F.count_if(C("_r") > 1e-12).alias("pos_days"), F.count_if(C("_r") < -1e-12).alias("neg_days"),
         (F.min("drawdown") * 100.0).alias("max_dd"), F.stddev_samp("_r").alias("_sd"), F.avg("_r").alias("_mu"),
         F.min("ts").alias("period_start"), F.max("ts").alias("period_end"), F.count(F.lit(1)).alias("n_days"),
         F.max(F.struct("_r", F.unix_micros(C("ts").cast("timestamp")).__neg__().alias("k"), "ts")).alias("_b"),

@@ -7,7 +7,9 @@ from ..functions.scale import split_rank
 from ..functions.windows import Series, col, nz
 
 C = F.col
-BY_DATE = Window.partitionBy("ts")
+
+def by_date():
+    return Window.partitionBy("ts")
 
 
 def cross_rank(df: DataFrame, x: str, out: str, nulls_best: bool = False, parts: int = 0) -> DataFrame:
@@ -17,8 +19,8 @@ def cross_rank(df: DataFrame, x: str, out: str, nulls_best: bool = False, parts:
         return split_rank(df, ["ts"], x, out, parts)
     order = F.asc_nulls_last(x)
     ties = F.count(F.lit(1)).over(Window.partitionBy("ts", x))
-    r = F.rank().over(BY_DATE.orderBy(order)) + (ties - 1) / 2.0
-    n = F.count(F.lit(1) if nulls_best else col(x)).over(BY_DATE)
+    r = F.rank().over(by_date().orderBy(order)) + (ties - 1) / 2.0
+    n = F.count(F.lit(1) if nulls_best else col(x)).over(by_date())
     expr = r / n
     return df.withColumn(out, expr if nulls_best else F.when(col(x).isNotNull(), expr))
 
@@ -69,7 +71,7 @@ def exposure_gate(dates: DataFrame, top_n: int, breadth_threshold: float = 0.0)
 
 def top_n(df: DataFrame, n, score: str = "score") -> DataFrame:
     """Best n per date, ties by symbol; the rank filter lets Spark cut each partition before the shuffle."""
-    w = BY_DATE.orderBy(F.desc(score), "symbol")
+    w = by_date().orderBy(F.desc(score), "symbol")
     d = df.withColumn("rank", F.row_number().over(w))
     if isinstance(n, Column):
         return d.where(C("rank") <= n)
@@ -79,8 +81,8 @@ def top_n(df: DataFrame, n, score: str = "score") -> DataFrame:
 def weights(df: DataFrame, score: str = "score", proportional: bool = True) -> DataFrame:
     """Score-proportional or equal weights inside the selected names of each date."""
     if proportional:
-        return df.withColumn("weight", col(score) / (F.sum(score).over(BY_DATE) + 1e-9))
-    return df.withColumn("weight", 1.0 / F.count(F.lit(1)).over(BY_DATE))
+        return df.withColumn("weight", col(score) / (F.sum(score).over(by_date()) + 1e-9))
+    return df.withColumn("weight", 1.0 / F.count(F.lit(1)).over(by_date()))
 
 
 def top_list(df: DataFrame, n: int = 5, score: str = "score") -> DataFrame:

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scale import scan_by_key
-from ..functions.windows import Series, col, corr_agg, flag, nz
+from ..functions.windows import Series, clip, col, corr_agg, flag, nz
 
 C = F.col
 YEAR = math.sqrt(252.0)
 
 
 def clamp(x, lo, hi) -> Column:
-    return F.least(F.greatest(col(x), F.lit(lo)), F.lit(hi))
+    return clip(x, lo, hi)
 
 
 @dataclass(frozen=True)

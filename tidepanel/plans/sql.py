@@ -20,6 +20,7 @@ UNIVERSE = """universe AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 PAST = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+WHOLE = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 SER = "OVER (PARTITION BY symbol ORDER BY ts)"
 ALL = "OVER (PARTITION BY symbol)"
 
@@ -126,3 +127,80 @@ def macro_wide(names) -> list[str]:
     ff = ", ".join(f"last_value(r_{n} IGNORE NULLS) {PAST} AS _m_{n}" for n in names)
     return [BARS, MACRO, f"wide AS (SELECT ts, {cols} FROM macro GROUP BY ts)",
             f"mbars AS (SELECT bars.*, {ff} FROM bars LEFT JOIN wide USING (ts))"]
+
+
+def rsi(n: int) -> list[dict[str, str]]:
+    return [{"_d1": diff("close")},
+            {"_g": "CASE WHEN _d1 IS NOT NULL THEN greatest(_d1, 0) END", "_ls": "CASE WHEN _d1 IS NOT NULL THEN -least(_d1, 0) END"},
+            {"_rsi": f"100.0 - 100.0 / (1.0 + ({mean('_g', n)}) / (({mean('_ls', n)}) + 1e-9))"}]
+
+
+def stack(base: str, layers: list[dict[str, str]], name: str) -> list[str]:
+    """CTEs over base, the last one called name."""
+    out, prev = [], base
+    for i, layer in enumerate(layers):
+        nxt = name if i == len(layers) - 1 else f"{name}_{i}"
+        out.append(f"{nxt} AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in layer.items()) + f" FROM {prev})")
+        prev = nxt
+    return out
+
+
+SIG = [BARS, *stack("bars", [*rsi(14)[:2], {**rsi(14)[2], "_f": mean("close", 20), "_s": mean("close", 50)},
+                             {"signal": "CASE WHEN _f > _s AND _rsi > 50 THEN 1 WHEN _f < _s AND _rsi < 50 THEN -1 ELSE 0 END"}], "sig")]
+
+
+def bt(base: str, side: str, keys: str = "symbol", name: str = "bt", signal: str = "signal") -> list[str]:
+    """Backtest CTEs over base (signal, close) with per-side cost expression."""
+    w = f"OVER (PARTITION BY {keys} ORDER BY ts)"
+    return stack(base, [
+        {"position": f"coalesce(lag({signal}) {w}, 0)::DOUBLE", "raw_return": f"coalesce(close / lag(close) {w} - 1, 0)"},
+        {"gross_return": "position * raw_return", "turnover": f"abs(position - coalesce(lag(position) {w}, 0))"},
+        {"cost_drag": f"turnover * ({side})"}, {"net_return": "gross_return - cost_drag"},
+        {"equity": f"100000.0 * product(1 + net_return) OVER (PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING)"}], name)
+
+
+def annual(r: str) -> str:
+    return f"(pow(product(1 + {r}), 252.0 / count({r})) - 1)"
+
+
+def vol(r: str) -> str:
+    return f"coalesce(CASE WHEN stddev_samp({r}) > 1e-14 * abs(avg({r})) THEN stddev_samp({r}) * sqrt(252.0) END, 0)"
+
+
+def sharpe(r: str) -> str:
+    return f"CASE WHEN {vol(r)} = 0 THEN 0 ELSE {annual(r)} / ({vol(r)}) END"
+
+
+def metrics(base: str, keys: str = "symbol", ret: str = "net_return", eq: str = "equity", name: str = "met") -> list[str]:
+    """All-metric bundle per key."""
+    past = f"OVER (PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+    dn = f"coalesce(stddev_samp(CASE WHEN {ret} < 0 THEN {ret} END) * sqrt(252.0), 0)"
+    gain, loss = f"coalesce(sum(CASE WHEN {ret} > 0 THEN {ret} END), 0)", f"abs(coalesce(sum(CASE WHEN {ret} < 0 THEN {ret} END), 0))"
+    return [
+        f"{name}_a AS (SELECT *, max({eq}) {past} AS peak FROM {base})",
+        f"{name}_b AS (SELECT *, ({eq} - peak) / peak AS drawdown, sum(CASE WHEN {eq} >= peak * (1 - 1e-12) THEN 1 ELSE 0 END) {past} AS isl FROM {name}_a)",
+        f"{name}_c AS (SELECT {keys}, max(len) AS dur FROM (SELECT {keys}, isl, sum(CASE WHEN {eq} >= peak * (1 - 1e-12) THEN 0 ELSE 1 END) AS len FROM {name}_b GROUP BY {keys}, isl) GROUP BY {keys})",
+        f"""{name}_d AS (SELECT {keys}, CASE WHEN count(*) < 2 THEN 0 ELSE pow(arg_max({eq}, ts) / arg_min({eq}, ts), 252.0 / count(*)) - 1 END AS cagr,
+          {annual(ret)} AS annualised_return, {vol(ret)} AS annualised_volatility, {sharpe(ret)} AS sharpe_ratio,
+          CASE WHEN {dn} = 0 THEN 0 ELSE {annual(ret)} / ({dn}) END AS sortino_ratio, min(drawdown) AS max_drawdown,
+          avg(CASE WHEN {ret} > 0 THEN 1.0 ELSE 0.0 END) AS win_rate,
+          CASE WHEN {loss} = 0 THEN 'inf'::DOUBLE ELSE {gain} / {loss} END AS profit_factor,
+          count(CASE WHEN {ret} <> 0 THEN 1 END) AS total_trades FROM {name}_b GROUP BY {keys})""",
+        f"""{name} AS (SELECT {name}_d.*, CAST(dur AS BIGINT) AS max_drawdown_duration_bars,
+          CASE WHEN max_drawdown = 0 THEN 0 ELSE annualised_return / abs(max_drawdown) END AS calmar_ratio
+          FROM {name}_d JOIN {name}_c USING ({keys}))"""]
+
+
+METRICS = ("cagr annualised_return annualised_volatility sharpe_ratio sortino_ratio max_drawdown max_drawdown_duration_bars win_rate "
+           "profit_factor total_trades calmar_ratio").split()
+
+
+def rounds(cols: list[str], ints=("max_drawdown_duration_bars", "total_trades"), digits: int = 6) -> str:
+    return ", ".join(c if c in ints else f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
+
+
+def with_(ctes: list[str], body: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+STOCK = "0.0008"
