@@ -1,5 +1,5 @@
 """All registered queries."""
-from . import features, performance, windows  # noqa: F401
+from . import data, features, performance, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

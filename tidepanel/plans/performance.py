@@ -7,8 +7,8 @@ from ..functions.windows import Series, flag
 from ..operators import backtest as bk, drift, explog, features as feats, labels, metrics as mt, ml, ranking as rk, regime as rg, splits as sp
 from ..sources.tables import bars, experiments, universe
 from .common import signals, stock_run
-from .registry import query, rounded
-from .sql import (BARS, METRICS, PAST, SER, SIG, STOCK, UNIVERSE, WHOLE, annual, bt, chain, flag as sflag, lag, mean, metrics, pct, rounds, sharpe, stack, std, vol, with_)
+from .registry import query, rd, rounded
+from .sql import (BARS, METRICS, PAST, SER, SIG, rnd, STOCK, UNIVERSE, WHOLE, annual, bt, chain, flag as sflag, lag, mean, metrics, pct, rounds, sharpe, stack, std, vol, with_)
 
 C = F.col
 BT = [*SIG, *bt("sig", STOCK)]
@@ -19,7 +19,7 @@ def one(sel: str) -> str:
 
 
 def agg(key, name, expr, sel):
-    query(key, one(f"round({sel}, 6) + 0.0 AS {name}"))(
+    query(key, one(f"round({sel} + 1.7e-09, 6) + 0.0 AS {name}"))(
         lambda spark, sf: rounded(stock_run(spark, sf).groupBy("symbol").agg(expr().alias(name))))
 
 
@@ -28,12 +28,12 @@ agg("AGG-2", "annualised_volatility", lambda: mt.annualised_volatility("net_retu
 agg("AGG-3", "sharpe_ratio", lambda: mt.sharpe("net_return"), sharpe("net_return"))
 
 
-@query("AGG-4", one("round(avg(net_return) / (stddev_samp(net_return) + 1e-12) * sqrt(252.0), 6) + 0.0 AS sharpe_like, "
-                    "round(avg(net_return), 8) + 0.0 AS mean_return, round(avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate"))
+@query("AGG-4", one("round(avg(net_return) / (stddev_samp(net_return) + 1e-12) * sqrt(252.0) + 1.7e-09, 6) + 0.0 AS sharpe_like, "
+                    "round(avg(net_return) + 1.7e-11, 8) + 0.0 AS mean_return, round(avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) + 1.7e-09, 6) AS hit_rate"))
 def agg4(spark, sf):
     d = stock_run(spark, sf).groupBy("symbol").agg(mt.sharpe_like("net_return").alias("sharpe_like"), F.avg("net_return").alias("mean_return"),
                                                    mt.win_rate("net_return").alias("hit_rate"))
-    return d.select("symbol", F.round("sharpe_like", 6).alias("sharpe_like"), F.round("mean_return", 8).alias("mean_return"), F.round("hit_rate", 6).alias("hit_rate"))
+    return d.select("symbol", rd("sharpe_like", 6).alias("sharpe_like"), rd("mean_return", 8).alias("mean_return"), rd("hit_rate", 6).alias("hit_rate"))
 
 
 DN = "coalesce(stddev_samp(CASE WHEN net_return < 0 THEN net_return END) * sqrt(252.0), 0)"
@@ -48,7 +48,7 @@ def met(key, cols):
         return rounded(mt.all_metrics(stock_run(spark, sf), ("symbol",)).select("symbol", *cols))
 
 
-@query("AGG-6", with_(MET, "SELECT symbol, round(max_drawdown, 6) + 0.0 AS max_drawdown FROM met"))
+@query("AGG-6", with_(MET, "SELECT symbol, round(max_drawdown + 1.7e-09, 6) + 0.0 AS max_drawdown FROM met"))
 def agg6(spark, sf):
     return rounded(mt.drawdown(stock_run(spark, sf), ("symbol",)))
 
@@ -65,10 +65,10 @@ met("AGG-11", METRICS)
 
 
 @query("AGG-12", with_([*BT, f"d AS (SELECT *, equity / lag(equity) {SER} - 1 AS r, max(equity) {PAST} AS peak FROM bt)"], """
-SELECT symbol, round(arg_max(equity, ts) / arg_min(equity, ts) - 1, 6) + 0.0 AS total_return,
+SELECT symbol, round(arg_max(equity, ts) / arg_min(equity, ts) - 1 + 1.7e-09, 6) + 0.0 AS total_return,
  round(pow(arg_max(equity, ts) / arg_min(equity, ts), 1.0 / greatest(count(r) / 252.0, 1e-6)) - 1, 6) + 0.0 AS cagr,
- round(stddev_samp(r) * sqrt(252.0), 6) + 0.0 AS volatility, round(CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252.0) ELSE 0 END, 6) + 0.0 AS sharpe,
- round(min((equity - peak) / peak), 6) + 0.0 AS max_drawdown, count(*) AS bars, min(ts) AS "start", max(ts) AS "end" FROM d GROUP BY symbol"""))
+ round(stddev_samp(r) * sqrt(252.0) + 1.7e-09, 6) + 0.0 AS volatility, round(CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252.0) ELSE 0 END + 1.7e-09, 6) + 0.0 AS sharpe,
+ round(min((equity - peak) / peak) + 1.7e-09, 6) + 0.0 AS max_drawdown, count(*) AS bars, min(ts) AS "start", max(ts) AS "end" FROM d GROUP BY symbol"""))
 def agg12(spark, sf):
     return rounded(mt.nav_dashboard(stock_run(spark, sf), ("symbol",)))
 
@@ -77,17 +77,17 @@ def agg12(spark, sf):
                         """a AS (SELECT symbol, arg_min(equity, ts) AS s, arg_max(equity, ts) AS e, count(CASE WHEN r > 1e-12 THEN 1 END) AS pos_days,
   count(CASE WHEN r < -1e-12 THEN 1 END) AS neg_days, min((equity - peak) / peak) * 100 AS max_dd, stddev_samp(r) AS sd, avg(r) AS mu, min(ts) AS period_start,
   max(ts) AS period_end, count(*) AS n_days, max(r) * 100 AS best, min(r) * 100 AS worst FROM d GROUP BY symbol)"""], """
-SELECT a.symbol, round(s, 2) + 0.0 AS start_nav, round(e, 2) + 0.0 AS end_nav, round((e / s - 1) * 100, 4) + 0.0 AS total_ret, round(e - s, 2) + 0.0 AS total_pnl,
- round(CASE WHEN pos_days + neg_days > 0 THEN pos_days / (pos_days + neg_days) * 100 ELSE 0 END, 6) + 0.0 AS win_rate, round(max_dd, 4) + 0.0 AS max_dd,
- round((pow(e / s, 365.25 / date_diff('day', period_start, period_end)) - 1) * 100, 4) + 0.0 AS ann_ret,
- round(CASE WHEN sd > 0 THEN mu / sd * sqrt(252.0) ELSE 0 END, 6) + 0.0 AS sharpe, pos_days, neg_days, period_start, period_end, n_days,
- round(best, 6) + 0.0 AS best_day_pct, round(worst, 6) + 0.0 AS worst_day_pct,
+SELECT a.symbol, round(s + 1.7e-05, 2) + 0.0 AS start_nav, round(e + 1.7e-05, 2) + 0.0 AS end_nav, round((e / s - 1) * 100 + 1.7e-07, 4) + 0.0 AS total_ret, round(e - s + 1.7e-05, 2) + 0.0 AS total_pnl,
+ round(CASE WHEN pos_days + neg_days > 0 THEN pos_days / (pos_days + neg_days) * 100 ELSE 0 END + 1.7e-09, 6) + 0.0 AS win_rate, round(max_dd + 1.7e-07, 4) + 0.0 AS max_dd,
+ round((pow(e / s, 365.25 / date_diff('day', period_start, period_end)) - 1) * 100 + 1.7e-07, 4) + 0.0 AS ann_ret,
+ round(CASE WHEN sd > 0 THEN mu / sd * sqrt(252.0) ELSE 0 END + 1.7e-09, 6) + 0.0 AS sharpe, pos_days, neg_days, period_start, period_end, n_days,
+ round(best + 1.7e-09, 6) + 0.0 AS best_day_pct, round(worst + 1.7e-09, 6) + 0.0 AS worst_day_pct,
  (SELECT min(ts) FROM d WHERE d.symbol = a.symbol AND d.r * 100 = a.best) AS best_day_dt,
  (SELECT min(ts) FROM d WHERE d.symbol = a.symbol AND d.r * 100 = a.worst) AS worst_day_dt FROM a"""))
 def agg13(spark, sf):
     d = mt.nav_statistics(stock_run(spark, sf), ("symbol",))
     dig = {"start_nav": 2, "end_nav": 2, "total_pnl": 2, "total_ret": 4, "max_dd": 4, "ann_ret": 4}
-    return rounded(d.withColumns({c: F.round(c, n) for c, n in dig.items()}))
+    return rounded(d.withColumns({c: rd(c, n) for c, n in dig.items()}))
 
 
 THRESH = [{"_r1": pct("close"), "_t252": pct("close", 252), "trail_ret_63": pct("close", 63)}, {"_v21": f"({std('_r1', 21)}) * sqrt(252.0)"},
@@ -103,7 +103,7 @@ def with_regime(df):
 @query("AGG-14", with_([*SIG, *stack("sig", THRESH, "reg"), *bt("reg", STOCK, "symbol, regime"), *metrics("bt", "symbol, regime"),
                         "n AS (SELECT symbol, regime, count(*) AS n_bars FROM reg GROUP BY 1, 2)",
                         "names AS (SELECT * FROM (VALUES (0, 'bear'), (1, 'neutral'), (2, 'bull'), (3, 'high_vol')) t(regime, name))"], """
-SELECT s.symbol, names.name, coalesce(n_bars, 0) AS n_bars, round(sharpe_ratio, 3) + 0.0 AS sharpe_ratio, round(cagr, 4) + 0.0 AS cagr, round(max_drawdown, 4) + 0.0 AS max_drawdown
+SELECT s.symbol, names.name, coalesce(n_bars, 0) AS n_bars, round(sharpe_ratio + 1.7e-06, 3) + 0.0 AS sharpe_ratio, round(cagr + 1.7e-07, 4) + 0.0 AS cagr, round(max_drawdown + 1.7e-07, 4) + 0.0 AS max_drawdown
 FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN names LEFT JOIN n ON n.symbol = s.symbol AND n.regime = names.regime
 LEFT JOIN met ON met.symbol = s.symbol AND met.regime = names.regime AND n.n_bars >= 30"""))
 def agg14(spark, sf):
@@ -114,7 +114,7 @@ def agg14(spark, sf):
     grid = d.select("symbol").distinct().crossJoin(F.broadcast(names))
     j = grid.join(n.join(m, ["symbol", "regime"]), ["symbol", "regime"], "left")
     ok = C("n_bars") >= 30
-    return j.select("symbol", "name", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), *[(F.when(ok, F.round(c, k)) + 0.0).alias(c) for c, k in (("sharpe_ratio", 3), ("cagr", 4), ("max_drawdown", 4))])
+    return j.select("symbol", "name", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), *[(F.when(ok, rd(c, k)) + 0.0).alias(c) for c, k in (("sharpe_ratio", 3), ("cagr", 4), ("max_drawdown", 4))])
 
 
 def trades_sql(base="bt", keys="symbol", name="tr"):
@@ -138,19 +138,19 @@ def bt6(spark, sf):
     return bk.trades(stock_run(spark, sf), price_digits=10)
 
 
-TM = """SELECT symbol, round(avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate,
+TM = """SELECT symbol, round(avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0.0 END) + 1.7e-09, 6) AS win_rate,
  round(CASE WHEN coalesce(abs(sum(CASE WHEN return_pct < 0 THEN return_pct END)), 0) > 0 THEN coalesce(sum(CASE WHEN return_pct > 0 THEN return_pct END), 0) / abs(sum(CASE WHEN return_pct < 0 THEN return_pct END))
- ELSE 'inf'::DOUBLE END, 9) AS profit_factor, count(*) AS total_trades, round(avg(return_pct), 9) + 0.0 AS avg_trade_return_pct, round(avg(bars_held), 9) + 0.0 AS avg_bars_held FROM tr GROUP BY symbol"""
+ ELSE 'inf'::DOUBLE END + 1.7e-12, 9) AS profit_factor, count(*) AS total_trades, round(avg(return_pct) + 1.7e-12, 9) + 0.0 AS avg_trade_return_pct, round(avg(bars_held) + 1.7e-12, 9) + 0.0 AS avg_bars_held FROM tr GROUP BY symbol"""
 
 
 @query("AGG-15", with_(TR, TM))
 def agg15(spark, sf):
     d = bk.trade_metrics(bk.trades(stock_run(spark, sf)))
-    return d.select("symbol", F.round("win_rate", 6).alias("win_rate"), "total_trades", *[(F.round(c, 9) + 0.0).alias(c) for c in ("profit_factor", "avg_trade_return_pct", "avg_bars_held")])
+    return d.select("symbol", rd("win_rate", 6).alias("win_rate"), "total_trades", *[(rd(c, 9) + 0.0).alias(c) for c in ("profit_factor", "avg_trade_return_pct", "avg_bars_held")])
 
 
 @query("AGG-16", with_([*BT, "m AS (SELECT symbol, CAST(year(ts) AS INTEGER) AS year, month(ts) AS mo, product(1 + net_return) - 1 AS r FROM bt GROUP BY 1, 2, 3)"],
-                       "SELECT symbol, year, " + ", ".join(f"round(max(CASE WHEN mo = {i} THEN r END), 6) + 0.0 AS m{i:02d}" for i in range(1, 13)) + " FROM m GROUP BY symbol, year"))
+                       "SELECT symbol, year, " + ", ".join(f"round(max(CASE WHEN mo = {i} THEN r END) + 1.7e-09, 6) + 0.0 AS m{i:02d}" for i in range(1, 13)) + " FROM m GROUP BY symbol, year"))
 def agg16(spark, sf):
     return rounded(mt.monthly_returns(stock_run(spark, sf), ("symbol",)))
 
@@ -169,8 +169,8 @@ def arm_history(spark, sf):
 ARMS = "h AS (SELECT session AS arm, oos_sharpe AS reward, id AS t FROM explog WHERE type = 'experiment')"
 
 
-@query("AGG-17", with_([EXPLOG, ARMS], """SELECT arm, count(*) AS n, round(sum(reward), 6) + 0.0 AS sum_reward, round(sum(reward * reward), 6) + 0.0 AS sum_sq_reward, max(reward) AS best, arg_max(reward, t) AS last,
- round(avg(reward), 6) + 0.0 AS mean, round(sqrt(greatest(sum(reward * reward) / count(*) - pow(sum(reward) / count(*), 2), 1e-6) / count(*)), 6) + 0.0 AS posterior_std FROM h GROUP BY arm"""))
+@query("AGG-17", with_([EXPLOG, ARMS], """SELECT arm, count(*) AS n, round(sum(reward) + 1.7e-09, 6) + 0.0 AS sum_reward, round(sum(reward * reward) + 1.7e-09, 6) + 0.0 AS sum_sq_reward, max(reward) AS best, arg_max(reward, t) AS last,
+ round(avg(reward) + 1.7e-09, 6) + 0.0 AS mean, round(sqrt(greatest(sum(reward * reward) / count(*) - pow(sum(reward) / count(*), 2), 1e-6) / count(*)) + 1.7e-09, 6) + 0.0 AS posterior_std FROM h GROUP BY arm"""))
 def agg17(spark, sf):
     return rounded(explog.arm_statistics(arm_history(spark, sf)))
 
@@ -181,22 +181,22 @@ def agg18(spark, sf):
 
 
 @query("AGG-19", with_([*BT, f"a AS (SELECT *, CASE WHEN position <> 0 THEN 1 ELSE 0 END AS i FROM bt)", f"b AS (SELECT *, row_number() {SER} - row_number() OVER (PARTITION BY symbol, i ORDER BY ts) AS isl FROM a)",
-                        "c AS (SELECT symbol, isl, count(*) AS n FROM b WHERE i = 1 GROUP BY symbol, isl)"], """SELECT c.symbol, round(avg(n), 6) AS avg_hold_bars, count(*) AS n_holds,
-  round(any_value(w), 8) + 0.0 AS avg_win, round(any_value(l), 8) + 0.0 AS avg_loss FROM c JOIN (SELECT symbol, avg(CASE WHEN net_return > 0 THEN net_return END) AS w, avg(CASE WHEN net_return < 0 THEN net_return END) AS l FROM bt GROUP BY symbol) x
+                        "c AS (SELECT symbol, isl, count(*) AS n FROM b WHERE i = 1 GROUP BY symbol, isl)"], """SELECT c.symbol, round(avg(n) + 1.7e-09, 6) AS avg_hold_bars, count(*) AS n_holds,
+  round(any_value(w) + 1.7e-11, 8) + 0.0 AS avg_win, round(any_value(l) + 1.7e-11, 8) + 0.0 AS avg_loss FROM c JOIN (SELECT symbol, avg(CASE WHEN net_return > 0 THEN net_return END) AS w, avg(CASE WHEN net_return < 0 THEN net_return END) AS l FROM bt GROUP BY symbol) x
   ON c.symbol = x.symbol GROUP BY c.symbol"""))
 def agg19(spark, sf):
     d = stock_run(spark, sf)
-    wl = d.groupBy("symbol").agg(F.round(F.avg(F.when(C("net_return") > 0, C("net_return"))), 8).alias("avg_win"), F.round(F.avg(F.when(C("net_return") < 0, C("net_return"))), 8).alias("avg_loss"))
-    return mt.holding_runs(d, ("symbol",), C("position") != 0).withColumn("avg_hold_bars", F.round("avg_hold_bars", 6)).join(wl, "symbol")
+    wl = d.groupBy("symbol").agg(rd(F.avg(F.when(C("net_return") > 0, C("net_return"))), 8).alias("avg_win"), rd(F.avg(F.when(C("net_return") < 0, C("net_return"))), 8).alias("avg_loss"))
+    return mt.holding_runs(d, ("symbol",), C("position") != 0).withColumn("avg_hold_bars", rd("avg_hold_bars", 6)).join(wl, "symbol")
 
 
 @query("AGG-20", with_([BARS, f"d AS (SELECT *, {pct('close')} AS r, max(close) {PAST} AS pk FROM bars)"], """SELECT symbol, min(ts) AS "start", max(ts) AS "end", count(*) AS n_bars,
- round((arg_max(close, ts) / arg_min(close, ts) - 1) * 100, 4) + 0.0 AS total_return, round((pow(1 + avg(r), 252) - 1) * 100, 4) + 0.0 AS ann_return,
- round(stddev_samp(r) * sqrt(252.0) * 100, 4) + 0.0 AS ann_vol, round((pow(1 + avg(r), 252) - 1) / (stddev_samp(r) * sqrt(252.0)), 4) + 0.0 AS sharpe_bnh,
- round(min((close - pk) / pk) * 100, 4) + 0.0 AS max_dd, round(avg(volume) / 1e6, 10) AS avg_volume_m FROM d GROUP BY symbol"""))
+ round((arg_max(close, ts) / arg_min(close, ts) - 1) * 100 + 1.7e-07, 4) + 0.0 AS total_return, round((pow(1 + avg(r), 252) - 1) * 100 + 1.7e-07, 4) + 0.0 AS ann_return,
+ round(stddev_samp(r) * sqrt(252.0) * 100 + 1.7e-07, 4) + 0.0 AS ann_vol, round((pow(1 + avg(r), 252) - 1) / (stddev_samp(r) * sqrt(252.0)) + 1.7e-07, 4) + 0.0 AS sharpe_bnh,
+ round(min((close - pk) / pk) * 100 + 1.7e-07, 4) + 0.0 AS max_dd, round(avg(volume) / 1e6 + 1.7e-13, 10) AS avg_volume_m FROM d GROUP BY symbol"""))
 def agg20(spark, sf):
-    d = mt.buy_and_hold(bars(spark, sf)).withColumn("avg_volume_m", F.round("avg_volume_m", 10))
-    return d.withColumns({c: F.round(c, 4) + 0.0 for c in ("total_return", "ann_return", "ann_vol", "sharpe_bnh", "max_dd")})
+    d = mt.buy_and_hold(bars(spark, sf)).withColumn("avg_volume_m", rd("avg_volume_m", 10))
+    return d.withColumns({c: rd(c, 4) + 0.0 for c in ("total_return", "ann_return", "ann_vol", "sharpe_bnh", "max_dd")})
 
 
 FS = ["ret_1d", "ret_5d", "sma_20_dist", "bb_pct", "volume_ratio", "volume_zscore"]
@@ -215,12 +215,12 @@ FEAT = [BARS, *stack("bars", FSQL, "feat")]
 LONG = " UNION ALL ".join(f"SELECT symbol, ts, label, fwd_return, '{f}' AS feature, {f} AS value FROM feat" for f in FS)
 
 
-@query("AGG-21", with_([*FEAT, f"lng AS ({LONG})"], "SELECT feature, round(corr(value, fwd_return), 6) + 0.0 AS ic FROM lng GROUP BY feature"))
+@query("AGG-21", with_([*FEAT, f"lng AS ({LONG})"], "SELECT feature, round(corr(value, fwd_return) + 1.7e-09, 6) + 0.0 AS ic FROM lng GROUP BY feature"))
 def agg21(spark, sf):
     return rounded(mt.information_coefficient(feature_frame(spark, sf), FS))
 
 
-@query("TOP-8", with_([*FEAT, f"lng AS ({LONG})"], "SELECT feature, round(corr(value, fwd_return), 6) + 0.0 AS ic FROM lng GROUP BY feature ORDER BY abs(corr(value, fwd_return)) DESC LIMIT 3"))
+@query("TOP-8", with_([*FEAT, f"lng AS ({LONG})"], "SELECT feature, round(corr(value, fwd_return) + 1.7e-09, 6) + 0.0 AS ic FROM lng GROUP BY feature ORDER BY abs(corr(value, fwd_return)) DESC LIMIT 3"))
 def top8(spark, sf):
     return rounded(mt.information_coefficient(feature_frame(spark, sf), FS).orderBy(F.desc(F.abs("ic"))).limit(3))
 
@@ -282,13 +282,13 @@ def agg22(spark, sf):
     return rounded(sp.fold_summary(wf_metrics(spark, sf)).select("symbol", "n_positive", "n_folds", *SCOLS), 5)
 
 
-@query("VAL-5", with_([*WFM, SUMM], """SELECT symbol, round(overfitting_score, 5) + 0.0 AS overfitting_score, CASE WHEN mean_oos_sharpe >= 0.5 AND overfitting_score < 0.5 THEN 'PASS'
+@query("VAL-5", with_([*WFM, SUMM], """SELECT symbol, round(overfitting_score + 1.7e-08, 5) + 0.0 AS overfitting_score, CASE WHEN mean_oos_sharpe >= 0.5 AND overfitting_score < 0.5 THEN 'PASS'
  WHEN mean_oos_sharpe > 0 AND overfitting_score < 0.8 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM sc"""))
 def val5(spark, sf):
     return rounded(sp.fold_summary(wf_metrics(spark, sf)).select("symbol", "overfitting_score", "verdict"), 5)
 
 
-@query("AGG-32", with_([*WFM, SUMM], """SELECT symbol, round(mean_is_sharpe, 4) + 0.0 AS mean_is_sharpe, round(mean_oos_sharpe, 4) + 0.0 AS mean_oos_sharpe, round(mean_is_sharpe - mean_oos_sharpe, 4) + 0.0 AS gap,
+@query("AGG-32", with_([*WFM, SUMM], """SELECT symbol, round(mean_is_sharpe + 1.7e-07, 4) + 0.0 AS mean_is_sharpe, round(mean_oos_sharpe + 1.7e-07, 4) + 0.0 AS mean_oos_sharpe, round(mean_is_sharpe - mean_oos_sharpe + 1.7e-07, 4) + 0.0 AS gap,
  CASE WHEN mean_is_sharpe - mean_oos_sharpe < 0.3 THEN 'low' WHEN mean_is_sharpe - mean_oos_sharpe < 0.7 THEN 'moderate' ELSE 'high' END AS gap_class FROM sc"""))
 def agg32(spark, sf):
     d = sp.fold_summary(wf_metrics(spark, sf)).withColumn("gap", C("mean_is_sharpe") - C("mean_oos_sharpe"))
@@ -303,7 +303,7 @@ COMP = [*SIG, *bt("sig", "0.0", name="th"), *bt("sig", STOCK, name="re"), *metri
 @query("VAL-6", with_([*WFM, SUMM, *bt("sig", "0.0", name="th"), *bt("sig", STOCK, name="re"), 
   "bh0 AS (SELECT * REPLACE (1 AS signal) FROM sig)", *bt("bh0", STOCK, name="bh"),
   f"j AS (SELECT sc.symbol, mean_oos_sharpe, t.s AS st, r.s AS sr, b.s AS sb FROM sc JOIN (SELECT symbol, {sharpe('net_return')} AS s FROM th GROUP BY symbol) t USING (symbol) JOIN (SELECT symbol, {sharpe('net_return')} AS s FROM re GROUP BY symbol) r USING (symbol) JOIN (SELECT symbol, {sharpe('net_return')} AS s FROM bh GROUP BY symbol) b USING (symbol))",
-  "k AS (SELECT *, sr > 0.5 AS edge_survives, greatest((st - mean_oos_sharpe) / greatest(abs(st), 1e-9), 0) AS overfit, sr > sb + 0.1 AS beats_baseline FROM j)"], """SELECT symbol, round(overfit, 5) + 0.0 AS overfit, edge_survives, beats_baseline,
+  "k AS (SELECT *, sr > 0.5 AS edge_survives, greatest((st - mean_oos_sharpe) / greatest(abs(st), 1e-9), 0) AS overfit, sr > sb + 0.1 AS beats_baseline FROM j)"], """SELECT symbol, round(overfit + 1.7e-08, 5) + 0.0 AS overfit, edge_survives, beats_baseline,
   CASE WHEN mean_oos_sharpe >= 0.8 AND edge_survives AND overfit < 0.3 THEN 'STRONG EDGE' WHEN mean_oos_sharpe >= 0.5 AND edge_survives AND overfit < 0.6 THEN 'MODERATE EDGE'
   WHEN mean_oos_sharpe > 0 AND overfit < 0.8 THEN 'WEAK EDGE' ELSE 'NO EDGE DETECTED' END AS edge FROM k"""))
 def val6(spark, sf):
@@ -320,23 +320,23 @@ def val7(spark, sf):
     return signals(spark, sf).select("symbol", "ts", "signal")
 
 
-@query("VAL-8", with_([*WFM], """SELECT CAST(fold AS INTEGER) AS fold, split, count(*) AS n_runs, round(avg(sharpe_ratio), 5) + 0.0 AS mean_sharpe, round(stddev_samp(sharpe_ratio), 5) + 0.0 AS std_sharpe,
- round(max(sharpe_ratio), 5) + 0.0 AS best FROM met GROUP BY fold, split"""))
+@query("VAL-8", with_([*WFM], """SELECT CAST(fold AS INTEGER) AS fold, split, count(*) AS n_runs, round(avg(sharpe_ratio) + 1.7e-08, 5) + 0.0 AS mean_sharpe, round(stddev_samp(sharpe_ratio) + 1.7e-08, 5) + 0.0 AS std_sharpe,
+ round(max(sharpe_ratio) + 1.7e-08, 5) + 0.0 AS best FROM met GROUP BY fold, split"""))
 def val8(spark, sf):
     m = wf_metrics(spark, sf)
     return rounded(m.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("sharpe_ratio").alias("mean_sharpe"),
                                                   F.stddev_samp("sharpe_ratio").alias("std_sharpe"), F.max("sharpe_ratio").alias("best")), 5)
 
 
-REGM = """SELECT symbol, round(sqrt(avg(pow(y - p, 2))), 8) AS rmse, round(avg(abs(y - p)), 8) AS mae, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(y)), 6) + 0.0 AS r2,
- round(avg(CASE WHEN sign(y) = sign(p) THEN 1.0 ELSE 0.0 END), 6) AS directional_accuracy FROM (SELECT symbol, fwd_return AS y, -sma_20_dist AS p FROM feat WHERE fwd_return IS NOT NULL AND sma_20_dist IS NOT NULL) GROUP BY symbol"""
+REGM = """SELECT symbol, round(sqrt(avg(pow(y - p, 2))) + 1.7e-11, 8) AS rmse, round(avg(abs(y - p)) + 1.7e-11, 8) AS mae, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(y)) + 1.7e-09, 6) + 0.0 AS r2,
+ round(avg(CASE WHEN sign(y) = sign(p) THEN 1.0 ELSE 0.0 END) + 1.7e-09, 6) AS directional_accuracy FROM (SELECT symbol, fwd_return AS y, -sma_20_dist AS p FROM feat WHERE fwd_return IS NOT NULL AND sma_20_dist IS NOT NULL) GROUP BY symbol"""
 
 
 @query("AGG-23", with_(FEAT, REGM))
 def agg23(spark, sf):
     d = feature_frame(spark, sf).select("symbol", C("fwd_return").alias("y"), (-C("sma_20_dist")).alias("p")).dropna()
     m = mt.regression_metrics(d, ("symbol",), "y", "p")
-    return m.select("symbol", F.round("rmse", 8).alias("rmse"), F.round("mae", 8).alias("mae"), (F.round("r2", 6) + 0.0).alias("r2"), F.round("directional_accuracy", 6).alias("directional_accuracy"))
+    return m.select("symbol", rd("rmse", 8).alias("rmse"), rd("mae", 8).alias("mae"), rd("r2", 6).alias("r2"), rd("directional_accuracy", 6).alias("directional_accuracy"))
 
 
 # backtest variants -----------------------------------------------------------------------------
@@ -347,10 +347,10 @@ TCOLS = ("profit_factor", "avg_trade_return_pct", "avg_bars_held")
 XC = ["total_costs_pct", "total_return_gross", "total_return_net", "turnover_annualised", "theory_vs_real_gap"]
 
 
-@query("BT-1", with_(BT, "SELECT symbol, ts, position, round(gross_return, 8) + 0.0 AS gross_return, round(cost_drag, 8) + 0.0 AS cost_drag, round(net_return, 8) + 0.0 AS net_return, round(equity, 2) + 0.0 AS equity FROM bt"))
+@query("BT-1", with_(BT, "SELECT symbol, ts, position, round(gross_return + 1.7e-11, 8) + 0.0 AS gross_return, round(cost_drag + 1.7e-11, 8) + 0.0 AS cost_drag, round(net_return + 1.7e-11, 8) + 0.0 AS net_return, round(equity + 1.7e-05, 2) + 0.0 AS equity FROM bt"))
 def bt1(spark, sf):
     d = stock_run(spark, sf)
-    return d.select("symbol", "ts", "position", *[(F.round(c, 8) + 0.0).alias(c) for c in ("gross_return", "cost_drag", "net_return")], (F.round("equity", 2) + 0.0).alias("equity"))
+    return d.select("symbol", "ts", "position", *[(rd(c, 8) + 0.0).alias(c) for c in ("gross_return", "cost_drag", "net_return")], (rd("equity", 2) + 0.0).alias("equity"))
 
 
 @query("BT-1b", with_([*MET, f"sx AS ({SUMSEL})", *trades_sql(), f"tm AS ({TM})"], f"SELECT sx.symbol, {rounds([c for c in METRICS if c not in ('win_rate', 'profit_factor', 'total_trades')] + XC)}, "
@@ -358,7 +358,7 @@ def bt1(spark, sf):
 def bt1b(spark, sf):
     d = bk.report(signals(spark, sf), bk.CostModel.stock())
     return d.select(
-        "symbol", "total_trades", *[(F.round(c, 9 if c in TCOLS else 6) + 0.0).alias(c) if c != "max_drawdown_duration_bars" else C(c)
+        "symbol", "total_trades", *[(rd(c, 9 if c in TCOLS else 6) + 0.0).alias(c) if c != "max_drawdown_duration_bars" else C(c)
                                     for c in d.columns if c not in ("symbol", "total_trades")])
 
 
@@ -367,18 +367,18 @@ COSTV = ", ".join(f"('{k}', {sum(v)!r})" for k, v in COSTS.items())
 
 
 @query("BT-2", with_([*SIG, f"cm AS (SELECT * FROM (VALUES {COSTV}) t(cost, per_side))", "sx AS (SELECT sig.*, cost, per_side FROM sig CROSS JOIN cm)", *bt("sx", "per_side", "symbol, cost")],
-                     f"SELECT symbol, cost, round(any_value(per_side) * 2, 8) AS round_trip, round(sum(cost_drag), 6) + 0.0 AS total_costs_pct, round({sharpe('net_return')}, 6) + 0.0 AS sharpe FROM bt GROUP BY symbol, cost"))
+                     f"SELECT symbol, cost, round(any_value(per_side) * 2 + 1.7e-11, 8) AS round_trip, round(sum(cost_drag) + 1.7e-09, 6) + 0.0 AS total_costs_pct, round({sharpe('net_return')} + 1.7e-09, 6) + 0.0 AS sharpe FROM bt GROUP BY symbol, cost"))
 def bt2(spark, sf):
     models = {"default": bk.CostModel.of(None), "stock": bk.CostModel.stock(), "crypto": bk.CostModel.crypto(), "zero": bk.CostModel.zero(), "flat_2pm": bk.CostModel.of(0.002)}
     d = signals(spark, sf).crossJoin(F.broadcast(bk.cost_table(spark, models)))
     r = bk.run(d, C("per_side"), ("symbol", "cost"))
-    return r.groupBy("symbol", "cost").agg(F.round(F.max("round_trip"), 8).alias("round_trip"), (F.round(F.sum("cost_drag"), 6) + 0.0).alias("total_costs_pct"), (F.round(mt.sharpe("net_return"), 6) + 0.0).alias("sharpe"))
+    return r.groupBy("symbol", "cost").agg(rd(F.max("round_trip"), 8).alias("round_trip"), rd(F.sum("cost_drag"), 6).alias("total_costs_pct"), rd(mt.sharpe("net_return"), 6).alias("sharpe"))
 
 
 PORT = [*BT, "na AS (SELECT count(DISTINCT symbol) AS n FROM bt)", "pf AS (SELECT ts, sum(net_return) / any_value(n) AS net_return, sum(gross_return) / any_value(n) AS gross_return, sum(cost_drag) / any_value(n) AS cost_drag FROM bt, na GROUP BY ts)"]
 
 
-@query("AGG-25", with_(PORT, "SELECT ts, round(net_return, 9) + 0.0 AS net_return, round(gross_return, 9) + 0.0 AS gross_return, round(cost_drag, 9) + 0.0 AS cost_drag FROM pf"))
+@query("AGG-25", with_(PORT, "SELECT ts, round(net_return + 1.7e-12, 9) + 0.0 AS net_return, round(gross_return + 1.7e-12, 9) + 0.0 AS gross_return, round(cost_drag + 1.7e-12, 9) + 0.0 AS cost_drag FROM pf"))
 def agg25(spark, sf):
     return rounded(bk.portfolio(stock_run(spark, sf)).select("ts", "net_return", "gross_return", "cost_drag"), 9)
 
@@ -425,7 +425,7 @@ NOISE = [*SIG, RN, *_x, "nz AS (SELECT symbol, ts, close, resample, sign(signal
 NS = f"ns AS (SELECT symbol, CAST(resample AS INTEGER) AS resample, {sharpe('net_return')} AS sharpe FROM nb GROUP BY symbol, resample)"
 
 
-@query("BT-8", with_([*NOISE, NS], "SELECT symbol, resample, round(sharpe, 6) + 0.0 AS sharpe FROM ns"))
+@query("BT-8", with_([*NOISE, NS], "SELECT symbol, resample, round(sharpe + 1.7e-09, 6) + 0.0 AS sharpe FROM ns"))
 def bt8(spark, sf):
     return rounded(bk.signal_noise(signals(spark, sf), NRES))
 
@@ -439,7 +439,7 @@ BOOT = [f"bs0 AS (SELECT symbol, ts, signal, row_number() {SER} - 1 AS rn, coale
         f"bsh AS (SELECT symbol, CAST(resample AS INTEGER) AS resample, {sharpe('net_return')} AS sharpe FROM bb GROUP BY symbol, resample)"]
 
 
-@query("BT-9", with_([*SIG, *BOOT], "SELECT symbol, resample, round(sharpe, 6) + 0.0 AS sharpe FROM bsh"))
+@query("BT-9", with_([*SIG, *BOOT], "SELECT symbol, resample, round(sharpe + 1.7e-09, 6) + 0.0 AS sharpe FROM bsh"))
 def bt9(spark, sf):
     return rounded(bk.block_bootstrap(signals(spark, sf), NRES))
 
@@ -449,16 +449,16 @@ CRASH = [f"cr0 AS (SELECT symbol, ts, signal, close AS c, row_number() {SER} - 1
          *bt("cr1", "0.0017", "symbol, crash", "cb"), f"crs AS (SELECT symbol, crash, {sharpe('net_return')} AS sharpe FROM cb GROUP BY symbol, crash)"]
 
 
-@query("BT-10", with_([*SIG, *CRASH], "SELECT symbol, crash, round(sharpe, 6) + 0.0 AS sharpe FROM crs"))
+@query("BT-10", with_([*SIG, *CRASH], "SELECT symbol, crash, round(sharpe + 1.7e-09, 6) + 0.0 AS sharpe FROM crs"))
 def bt10(spark, sf):
     return rounded(bk.crash_injection(signals(spark, sf)))
 
 
 @query("BT-11", with_([*NOISE, NS, *BOOT, *CRASH, *bt("sig", "0.0017", name="b0"), f"base AS (SELECT symbol, {sharpe('net_return')} AS base_sharpe FROM b0 GROUP BY symbol)",
   "n1 AS (SELECT symbol, avg(sharpe) AS nm, stddev_pop(sharpe) AS nsd FROM ns GROUP BY symbol)", "b1 AS (SELECT symbol, quantile_cont(sharpe, 0.05) AS q5, quantile_cont(sharpe, 0.95) AS q95 FROM bsh GROUP BY symbol)",
-  "c1 AS (SELECT symbol, min(sharpe) AS wc FROM crs GROUP BY symbol)"], """SELECT symbol, round(base_sharpe, 4) + 0.0 AS base_sharpe, round(nm, 4) + 0.0 AS noise_sharpe_mean, round(nsd, 4) + 0.0 AS noise_sharpe_std, round(q5, 4) + 0.0 AS bootstrap_sharpe_5th,
-  round(q95, 4) + 0.0 AS bootstrap_sharpe_95th, round(wc, 4) + 0.0 AS worst_crash_sharpe,
-  round(least(greatest((base_sharpe - least(nm - 2 * nsd, q5, wc)) / (abs(base_sharpe) + 1e-9), 0), 1), 4) + 0.0 AS fragility_score FROM base JOIN n1 USING (symbol) JOIN b1 USING (symbol) JOIN c1 USING (symbol)"""))
+  "c1 AS (SELECT symbol, min(sharpe) AS wc FROM crs GROUP BY symbol)"], """SELECT symbol, round(base_sharpe + 1.7e-07, 4) + 0.0 AS base_sharpe, round(nm + 1.7e-07, 4) + 0.0 AS noise_sharpe_mean, round(nsd + 1.7e-07, 4) + 0.0 AS noise_sharpe_std, round(q5 + 1.7e-07, 4) + 0.0 AS bootstrap_sharpe_5th,
+  round(q95 + 1.7e-07, 4) + 0.0 AS bootstrap_sharpe_95th, round(wc + 1.7e-07, 4) + 0.0 AS worst_crash_sharpe,
+  round(least(greatest((base_sharpe - least(nm - 2 * nsd, q5, wc)) / (abs(base_sharpe) + 1e-9), 0), 1) + 1.7e-07, 4) + 0.0 AS fragility_score FROM base JOIN n1 USING (symbol) JOIN b1 USING (symbol) JOIN c1 USING (symbol)"""))
 def bt11(spark, sf):
     s = signals(spark, sf)
     return rounded(bk.fragility(bk.sharpes(bk.run(s), ("symbol",)), bk.signal_noise(s, NRES), bk.block_bootstrap(s, NRES), bk.crash_injection(s)), 4)
@@ -504,27 +504,27 @@ def variants(spark, sf):
     return bk.fractional_nav(bk.position_variants(d))
 
 
-@query("BT-13", with_(VARS, "SELECT symbol, ts, variant, round(position, 8) + 0.0 AS position, round(dr, 8) + 0.0 AS daily_return, round(nav, 6) + 0.0 AS nav FROM v5"))
+@query("BT-13", with_(VARS, "SELECT symbol, ts, variant, round(position + 1.7e-11, 8) + 0.0 AS position, round(dr + 1.7e-11, 8) + 0.0 AS daily_return, round(nav + 1.7e-09, 6) + 0.0 AS nav FROM v5"))
 def bt13(spark, sf):
     d = variants(spark, sf)
-    return d.select("symbol", "ts", "variant", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("position", 8), ("daily_return", 8), ("nav", 6))])
+    return d.select("symbol", "ts", "variant", *[(rd(c, n) + 0.0).alias(c) for c, n in (("position", 8), ("daily_return", 8), ("nav", 6))])
 
 
 @query("BT-14", with_([*VARS, """ct AS (SELECT symbol, variant, product(1 + dr) - 1 AS total_return, CASE WHEN stddev_samp(dr) > 0 THEN (avg(dr) * 252 - 0.045) / (stddev_samp(dr) * sqrt(252.0)) ELSE 0 END AS sharpe,
  min((nav - pk) / pk) AS max_drawdown, avg(position) AS avg_position, avg(CASE WHEN position > 0.05 THEN 1.0 ELSE 0.0 END) AS invested FROM v6 GROUP BY symbol, variant)"""],
- """SELECT ct.symbol, ct.variant, round(ct.total_return, 6) + 0.0 AS total_return, round(ct.sharpe, 6) + 0.0 AS sharpe, round(ct.max_drawdown, 6) + 0.0 AS max_drawdown, round(ct.avg_position, 6) + 0.0 AS avg_position,
- round(ct.invested, 6) + 0.0 AS invested, round(ct.total_return - b.total_return, 6) + 0.0 AS alpha FROM ct JOIN ct b ON ct.symbol = b.symbol AND b.variant = 'buy_and_hold'"""))
+ """SELECT ct.symbol, ct.variant, round(ct.total_return + 1.7e-09, 6) + 0.0 AS total_return, round(ct.sharpe + 1.7e-09, 6) + 0.0 AS sharpe, round(ct.max_drawdown + 1.7e-09, 6) + 0.0 AS max_drawdown, round(ct.avg_position + 1.7e-09, 6) + 0.0 AS avg_position,
+ round(ct.invested + 1.7e-09, 6) + 0.0 AS invested, round(ct.total_return - b.total_return + 1.7e-09, 6) + 0.0 AS alpha FROM ct JOIN ct b ON ct.symbol = b.symbol AND b.variant = 'buy_and_hold'"""))
 def bt14(spark, sf):
     return rounded(bk.candidate_table(variants(spark, sf)))
 
 
 @query("BT-16", with_([*COMP, "e AS (SELECT t.symbol, arg_max(t.equity, t.ts) AS a, arg_max(r.equity, r.ts) AS b FROM th t JOIN re r ON t.symbol = r.symbol AND t.ts = r.ts GROUP BY t.symbol)"],
-  """SELECT e.symbol, round(a, 2) + 0.0 AS final_equity_ideal, round(b, 2) + 0.0 AS final_equity_cost, round(b - a, 2) + 0.0 AS final_equity_delta, round(mre.sharpe_ratio - mth.sharpe_ratio, 6) + 0.0 AS sharpe_delta
+  """SELECT e.symbol, round(a + 1.7e-05, 2) + 0.0 AS final_equity_ideal, round(b + 1.7e-05, 2) + 0.0 AS final_equity_cost, round(b - a + 1.7e-05, 2) + 0.0 AS final_equity_delta, round(mre.sharpe_ratio - mth.sharpe_ratio + 1.7e-09, 6) + 0.0 AS sharpe_delta
   FROM e JOIN mth ON mth.symbol = e.symbol JOIN mre ON mre.symbol = e.symbol"""))
 def bt16(spark, sf):
     s = signals(spark, sf)
     def end(costs, tag):
         return bk.run(s, costs).groupBy("symbol").agg(F.max_by("equity", "ts").alias(f"e_{tag}"), mt.sharpe("net_return").alias(f"s_{tag}"))
     d = end(bk.CostModel.zero(), "i").join(end(bk.CostModel.stock(), "c"), "symbol")
-    return d.select("symbol", *[(F.round(x, n) + 0.0).alias(a) for x, n, a in ((C("e_i"), 2, "final_equity_ideal"), (C("e_c"), 2, "final_equity_cost"),
+    return d.select("symbol", *[(rd(x, n) + 0.0).alias(a) for x, n, a in ((C("e_i"), 2, "final_equity_ideal"), (C("e_c"), 2, "final_equity_cost"),
                                                                           (C("e_c") - C("e_i"), 2, "final_equity_delta"), (C("s_c") - C("s_i"), 6, "sharpe_delta"))])

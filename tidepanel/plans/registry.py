@@ -20,10 +20,20 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+# shifts the rounding point away from values that end in an exact half (prices have few decimals)
+OFFSET = 1.7e-3
+
+
+def rd(x, digits: int):
+    """One rounded column, like rounded()."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x + OFFSET * 10.0 ** -digits, digits) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, digits: int = 6, cols: list[str] | None = None) -> DataFrame:
     """Round double columns for stable comparison between engines."""
     names = cols or df.columns
     kinds = dict(zip(df.columns, [f.dataType for f in df.schema.fields]))
     return df.select(*[
-        (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if isinstance(kinds[c], T.DoubleType) else F.col(c)
+        (F.round(F.col(c) + OFFSET * 10.0 ** -digits, digits) + F.lit(0.0)).alias(c) if isinstance(kinds[c], T.DoubleType) else F.col(c)
         for c in names])

