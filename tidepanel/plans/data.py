@@ -252,12 +252,12 @@ def dq11(spark, sf):
     return d.select(*KEYS, rd("r20", 8).alias("r20"), rd("m200", 6).alias("m200"))
 
 
-@query("DQ-12", with_(D, f"SELECT symbol, ts, {rnd('CASE WHEN close IS NULL OR volume = 0 THEN 0 ELSE close / volume END', 8, 'x')}, {rnd('coalesce(open, 0)', 12, 'y')}, CASE WHEN close IS NULL OR volume = 0 OR open IS NULL THEN 0 ELSE 1 END AS finite_row FROM dirty"))
+@query("DQ-12", with_(D, f"SELECT symbol, ts, {rnd('CASE WHEN close IS NULL OR volume = 0 THEN 0 ELSE close / volume END', 8, 'x')}, {rnd('coalesce(open, 0)', 10, 'y')}, CASE WHEN close IS NULL OR volume = 0 OR open IS NULL THEN 0 ELSE 1 END AS finite_row FROM dirty"))
 def dq12(spark, sf):
     inf = F.lit(float("inf"))
     d = dirty(spark, sf).select(*KEYS, F.when(C("volume") == 0, inf).otherwise(C("close") / nz("volume")).alias("x"), C("open").alias("y"))
     d = dq.finite(d, ["x", "y"])
-    return d.select(*KEYS, rd("x", 8).alias("x"), rd("y", 12).alias("y"), "finite_row")
+    return d.select(*KEYS, rd("x", 8).alias("x"), rd("y", 10).alias("y"), "finite_row")
 
 
 # projections -----------------------------------------------------------------------------------
@@ -282,9 +282,9 @@ def prj3(spark, sf):
     return bars(spark, sf).where(C("ts").between(F.lit("1997-01-01").cast("timestamp_ntz"), F.lit("1999-06-30").cast("timestamp_ntz"))).select(*KEYS, *O5)
 
 
-@query("PRJ-4", "SELECT n_nationkey, n_name FROM nation WHERE regexp_matches(n_name, '^[A-Z]{1,5}$')")
+@query("PRJ-4", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^[A-Z]{1,5}$')")
 def prj4(spark, sf):
-    return table(spark, sf, "nation").where(C("n_name").rlike("^[A-Z]{1,5}$")).select("n_nationkey", "n_name")
+    return table(spark, sf, "part").where(C("p_type").rlike("^[A-Z]{1,5}$")).select("p_partkey", "p_type")
 
 
 @query("PRJ-5", b_sql("WHERE close * volume >= 3000", "symbol, ts, close, volume"))
@@ -292,9 +292,9 @@ def prj5(spark, sf):
     return bars(spark, sf).where(C("close") * C("volume") >= 3000).select(*KEYS, "close", "volume")
 
 
-@query("PRJ-6", with_([EXPLOG], "SELECT id, type, sharpe FROM explog WHERE type = 'experiment' AND list_has_any(tags, ['data', 'model', 'time', 'value', 'market']) AND sharpe >= 0.5 AND contains(lower(title || ' ' || array_to_string(tags, ' ')), 'a') ORDER BY id DESC LIMIT 10"))
+@query("PRJ-6", with_([EXPLOG], "SELECT id, type, sharpe FROM explog WHERE type = 'experiment' AND list_has_any(tags, ['that', 'with', 'from']) AND sharpe >= 0.5 AND contains(lower(title || ' ' || array_to_string(tags, ' ')), 'the') ORDER BY id DESC LIMIT 10"))
 def prj6(spark, sf):
-    return explog.search(experiments(spark, sf), "A", "experiment", ["data", "model", "time", "value", "market"], 0.5, 10).select("id", "type", "sharpe")
+    return explog.search(experiments(spark, sf), "The", "experiment", ["that", "with", "from"], 0.5, 10).select("id", "type", "sharpe")
 
 
 @query("PRJ-7", chain([BARS], "bars", [{"r": pct("close")}], f"SELECT symbol, ts, {rnd('CASE WHEN r IS NOT NULL THEN least(greatest(r, -0.01), 0.01) END', 9, 'clipped')}, CAST(sign(r) AS DOUBLE) AS s, CASE WHEN r > 0.01 THEN 'up' WHEN r < -0.01 THEN 'down' ELSE 'flat' END AS kind FROM {{last}}"))
@@ -317,10 +317,10 @@ def prj9(spark, sf):
 
 
 # joins -----------------------------------------------------------------------------------------
-@query("JN-1", with_(SIG, "SELECT symbol, ts, signal, round(close + 1.7e-15, 12) AS close FROM sig JOIN bars USING (symbol, ts, close) WHERE signal <> 0"))
+@query("JN-1", with_(SIG, "SELECT symbol, ts, signal, round(close + 1.7e-13, 10) + 0.0 AS close FROM sig JOIN bars USING (symbol, ts, close) WHERE signal <> 0"))
 def jn1(spark, sf):
     s = signals(spark, sf).where("signal <> 0").select(*KEYS, "signal")
-    return s.join(bars(spark, sf).select(*KEYS, "close"), ["symbol", "ts"]).select(*KEYS, "signal", rd("close", 12).alias("close"))
+    return s.join(bars(spark, sf).select(*KEYS, "close"), ["symbol", "ts"]).select(*KEYS, "signal", rd("close", 10).alias("close"))
 
 
 @query("JN-2", with_(SIG, "SELECT bars.symbol, bars.ts, coalesce(x.signal, 0) AS signal FROM bars LEFT JOIN (SELECT * FROM sig WHERE signal > 0) x ON x.symbol = bars.symbol AND x.ts = bars.ts"))
@@ -401,13 +401,11 @@ def jn8(spark, sf):
 
 
 def text_queries(spark, sf):
-    """Queries of the similarity join: the benchmark passages."""
-    b = table(spark, sf, "benchmark")
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " "), " "), lambda w: F.length(w) >= 4)
-    return b.select(C("item_id").alias("qid"), C("text").alias("q_title"), F.array_distinct(words).alias("q_tags"))
+    """Queries of the similarity join: log entries of the other types."""
+    return experiments(spark, sf).where("type <> 'experiment'").select(C("id").alias("qid"), C("title").alias("q_title"), C("tags").alias("q_tags"))
 
 
-SIMSQL = [EXPLOG, """qq AS (SELECT item_id AS qid, text AS q_title, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: length(w) >= 4)) AS q_tags FROM benchmark)""",
+SIMSQL = [EXPLOG, "qq AS (SELECT id AS qid, title AS q_title, tags AS q_tags FROM explog WHERE type <> 'experiment')",
   "ex AS (SELECT id, title, tags FROM explog WHERE type = 'experiment')",
   "dc AS (SELECT 'q' || qid AS k, q_title AS t FROM qq UNION ALL SELECT 'e' || id, title FROM ex)",
   r"wd AS (SELECT k, regexp_extract_all(lower(t), '(\w\w+)', 1) AS w FROM dc)",
@@ -416,11 +414,12 @@ SIMSQL = [EXPLOG, """qq AS (SELECT item_id AS qid, text AS q_title, list_distinc
   "wt AS (SELECT k, tf.term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM dc)) / (1.0 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term)",
   "nm AS (SELECT k, sqrt(sum(w * w)) AS n FROM wt GROUP BY k)", "v AS (SELECT wt.k, term, w / n AS w FROM wt JOIN nm ON wt.k = nm.k)",
   "cs AS (SELECT a.k AS qk, b.k AS ek, sum(a.w * b.w) AS c FROM v a JOIN v b ON a.term = b.term AND a.k[1] = 'q' AND b.k[1] = 'e' GROUP BY 1, 2)",
-  """al AS (SELECT qid, id, 0.6 * CASE WHEN len(q_tags) > 0 AND len(tags) > 0 THEN len(list_intersect(q_tags, tags))::DOUBLE / (len(q_tags) + len(tags) - len(list_intersect(q_tags, tags))) ELSE 0 END + 0.4 * coalesce(c, 0) AS score
-   FROM qq CROSS JOIN ex LEFT JOIN cs ON qk = 'q' || qid AND ek = 'e' || id)"""]
+  "sh AS (SELECT qid, id, count(*) AS n FROM (SELECT qid, unnest(q_tags) AS tag FROM qq) JOIN (SELECT id, unnest(tags) AS tag FROM ex) USING (tag) GROUP BY 1, 2)",
+  """al AS (SELECT qq.qid, ex.id, 0.6 * CASE WHEN len(q_tags) > 0 AND len(tags) > 0 THEN coalesce(sh.n, 0)::DOUBLE / (len(q_tags) + len(tags) - coalesce(sh.n, 0)) ELSE 0 END + 0.4 * coalesce(c, 0) AS score
+   FROM qq CROSS JOIN ex LEFT JOIN cs ON qk = 'q' || qid AND ek = 'e' || ex.id LEFT JOIN sh ON sh.qid = qq.qid AND sh.id = ex.id)"""]
 
 
-@query("JN-9", with_(SIMSQL, f"SELECT qid, id, CAST(rk AS INTEGER) AS \"rank\", {rnd('score', 6, 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM al WHERE score > 0.30) WHERE rk <= 3"))
+@query("JN-9", with_(SIMSQL, f"SELECT qid, id, CAST(rk AS INTEGER) AS \"rank\", {rnd('score', 6, 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rk FROM al WHERE score > 0.30) WHERE rk <= 3"))
 def jn9(spark, sf):
     log = experiments(spark, sf).where("type = 'experiment'").select("id", "title", "tags")
     return rounded(explog.similar(text_queries(spark, sf), log))
@@ -632,20 +631,20 @@ def agg28(spark, sf):
     return experiments(spark, sf).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.max("sharpe").alias("best_sharpe"), F.count_if(C("type") == "promotion").alias("promoted"), F.count_if(C("oos_sharpe") >= 1.5).alias("significant"))
 
 
-@query("AGG-29", with_([*BT, f"x AS (SELECT *, lag(position) {SER} AS pp, max(equity) {PAST} AS pk FROM bt)"], f"""SELECT symbol, count(CASE WHEN position <> 0 AND coalesce(pp, 0) = 0 THEN 1 END) AS entries, count(CASE WHEN position = 0 AND pp <> 0 THEN 1 END) AS exits,
- {rnd('avg(CASE WHEN position = 0 AND pp <> 0 THEN CASE WHEN net_return > -0.0005 THEN 1.0 ELSE 0.0 END END)', 6, 'exit_win_rate')}, {rnd('min((equity - pk) / pk)', 6, 'peak_to_trough')} FROM x GROUP BY symbol"""))
+@query("AGG-29", with_([*BT, f"x AS (SELECT *, lag(position) {SER} AS pp, lag(net_return) {SER} AS pr, max(equity) {PAST} AS pk FROM bt)"], f"""SELECT symbol, count(CASE WHEN position <> 0 AND coalesce(pp, 0) = 0 THEN 1 END) AS entries, count(CASE WHEN position = 0 AND pp <> 0 THEN 1 END) AS exits,
+ {rnd('avg(CASE WHEN position = 0 AND pp <> 0 THEN CASE WHEN coalesce(pr, 0) > 0 THEN 1.0 ELSE 0.0 END END)', 6, 'exit_win_rate')}, {rnd('min((equity - pk) / pk)', 6, 'peak_to_trough')} FROM x GROUP BY symbol"""))
 def agg29(spark, sf):
     p = Series()
-    d = mt.underwater(stock_run(spark, sf), ("symbol",)).withColumn("pp", F.coalesce(p.lag("position"), F.lit(0.0)))
+    d = mt.underwater(stock_run(spark, sf), ("symbol",)).withColumns({"pp": F.coalesce(p.lag("position"), F.lit(0.0)), "pr": p.lag("net_return")})
     out = (C("position") == 0) & (C("pp") != 0)
     return rounded(d.groupBy("symbol").agg(F.count_if((C("position") != 0) & (C("pp") == 0)).alias("entries"), F.count_if(out).alias("exits"),
-                                           F.avg(F.when(out, (C("net_return") > -0.0005).cast("double"))).alias("exit_win_rate"), F.min("drawdown").alias("peak_to_trough")))
+                                           F.avg(F.when(out, (C("pr") > 0).cast("double"))).alias("exit_win_rate"), F.min("drawdown").alias("peak_to_trough")))
 
 
-@query("AGG-30", with_([EXPLOG], "SELECT id, sharpe, max_dd, CASE WHEN sharpe >= 1.5 THEN 'STRONG' WHEN sharpe >= 0.8 THEN 'MODERATE' ELSE 'WEAK' END AS verdict FROM explog WHERE type = 'experiment' AND sharpe >= 0.8 AND abs(max_dd) <= 25"))
+@query("AGG-30", with_([EXPLOG], "SELECT id, sharpe, max_dd + 0.0 AS max_dd, CASE WHEN sharpe >= 1.5 THEN 'STRONG' WHEN sharpe >= 0.8 THEN 'MODERATE' ELSE 'WEAK' END AS verdict FROM explog WHERE type = 'experiment' AND sharpe >= 0.8 AND abs(max_dd) <= 25"))
 def agg30(spark, sf):
     e = experiments(spark, sf).where((C("type") == "experiment") & (C("sharpe") >= 0.8) & (F.abs("max_dd") <= 25))
-    return e.select("id", "sharpe", "max_dd", F.when(C("sharpe") >= 1.5, "STRONG").when(C("sharpe") >= 0.8, "MODERATE").otherwise("WEAK").alias("verdict"))
+    return e.select("id", "sharpe", (C("max_dd") + 0.0).alias("max_dd"), F.when(C("sharpe") >= 1.5, "STRONG").when(C("sharpe") >= 0.8, "MODERATE").otherwise("WEAK").alias("verdict"))
 
 
 @query("AGG-31", with_([EXPLOG, "x AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY CASE WHEN type = 'experiment' THEN oos_sharpe ELSE id END DESC, id DESC) AS place FROM explog)"],
