@@ -38,15 +38,20 @@ def norm_cdf_unscaled(x: Column) -> Column:
     return 0.5 * (1.0 + sign * (1.0 - poly * F.exp(-ax * ax)))
 
 
+def let(x: Column, fn) -> Column:
+    """fn(x) with x evaluated once; for formulas on result tables that would otherwise repeat long expressions."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def norm_ppf(p: Column, eps: float = 1e-12) -> Column:
     """Inverse normal distribution function by the rational approximation, symmetric around 1/2."""
-    p = F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))
-    tail = F.least(p, 1.0 - p)
-    t = F.sqrt(-2.0 * F.ln(tail))
-    num = PPF_C[0] + PPF_C[1] * t + PPF_C[2] * t * t
-    den = 1.0 + PPF_D[0] * t + PPF_D[1] * t * t + PPF_D[2] * t * t * t
-    z = t - num / den
-    return F.when(p < 0.5, -z).otherwise(z)
+    def inner(p):
+        def z(t):
+            num = PPF_C[0] + PPF_C[1] * t + PPF_C[2] * t * t
+            return t - num / (1.0 + PPF_D[0] * t + PPF_D[1] * t * t + PPF_D[2] * t * t * t)
+        v = let(F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p))), z)
+        return F.when(p < 0.5, -1.0).otherwise(1.0) * v
+    return let(F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps)), inner)
 
 
 # Acklam's rational coefficients for the inverse normal (relative error below 1.2e-9).
@@ -66,10 +71,8 @@ def _poly(coef, x: Column) -> Column:
 
 def norm_ppf_precise(p: Column) -> Column:
     """Inverse normal for statistics that were defined with an exact quantile."""
-    p = F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0 - 1e-16))
-    q = p - 0.5
-    r = q * q
-    centre = _poly(ACKLAM_A, r) * q / _poly((*ACKLAM_B, 1.0), r)
-    t = F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p)))
-    tail = _poly(ACKLAM_C, t) / _poly((*ACKLAM_D, 1.0), t)
-    return F.when(p < ACKLAM_LOW, tail).when(p > 1.0 - ACKLAM_LOW, -tail).otherwise(centre)
+    def inner(p):
+        centre = let(p - 0.5, lambda q: _poly(ACKLAM_A, q * q) * q / _poly((*ACKLAM_B, 1.0), q * q))
+        tail = let(F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p))), lambda t: _poly(ACKLAM_C, t) / _poly((*ACKLAM_D, 1.0), t))
+        return F.when(p < ACKLAM_LOW, tail).when(p > 1.0 - ACKLAM_LOW, -tail).otherwise(centre)
+    return let(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0 - 1e-16)), inner)

@@ -98,40 +98,41 @@ def split_rank(df: DataFrame, group: list[str], value: str, out: str, parts: int
 def exact_quantiles(df: DataFrame, group: list[str], value: str, qs: list[float], accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated quantiles per group: (group..., q, value), exact for any group size.
 
-    A sketch brackets the two order statistics each quantile needs; one pass counts the values below
-    the bracket and numbers only the values inside it, so no task ever holds a whole group.
+    A sketch brackets the two order statistics each quantile needs. One pass counts the values below each
+    bracket (partial sums, no shuffle of rows); a second numbers only the values inside the brackets, about
+    8 / accuracy of the rows. Groups are columns such as feature, regime or fold, whose number is fixed by
+    the schema, so the bracket table is broadcast.
     """
     d = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    delta = 4.0 / accuracy
+    delta, m = 4.0 / accuracy, range(len(qs))
     lo = F.array(*[F.lit(max(0.0, q - delta)) for q in qs])
     hi = F.array(*[F.lit(min(1.0, q + delta)) for q in qs])
-    sk = (d.groupBy(*group)
-          .agg(F.percentile_approx("_v", lo, accuracy).alias("_lo"), F.percentile_approx("_v", hi, accuracy).alias("_hi"),
-               F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
-    sk = sk.select(*group, "_n", F.explode(F.arrays_zip(
-        F.array(*[F.lit(float(q)) for q in qs]).alias("q"), F.col("_lo"), F.col("_hi"))).alias("_z"), "_min", "_max")
-    sk = sk.select(*group, "_n", F.col("_z.q").alias("q"),
-                   F.when(F.col("_z.q") - delta <= 0, F.col("_min")).otherwise(F.col("_z._lo")).alias("_lo"),
-                   F.when(F.col("_z.q") + delta >= 1, F.col("_max")).otherwise(F.col("_z._hi")).alias("_hi"))
-    per = sk.groupBy(*group).agg(F.collect_list(F.struct("q", "_n", "_lo", "_hi")).alias("_b"))
-    j = d.join(per, group) if group else d.crossJoin(F.broadcast(per))
-    # each row meets only the (at most len(qs)) brackets it can matter for
-    e = j.select(*group, "_v", F.explode("_b").alias("b")).select(
-        *group, "_v", F.col("b.q").alias("q"), F.col("b._n").alias("_n"),
-        F.col("b._lo").alias("_lo"), F.col("b._hi").alias("_hi"))
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    vals = e.groupBy(*group, "q", "_n", F.when(inside, F.col("_v")).alias("_v"),
-                     (F.col("_v") < F.col("_lo")).alias("_low")).agg(F.count(F.lit(1)).alias("_c"))
-    below = vals.where("_v IS NULL AND _low").groupBy(*group, "q").agg(F.sum("_c").alias("_below"))
-    ins = vals.where("_v IS NOT NULL").join(below, [*group, "q"], "left")
-    w = Window.partitionBy(*group, "q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ins = ins.withColumn("_cum", F.coalesce(F.col("_below"), F.lit(0)) + F.sum("_c").over(w))
-    pos = F.col("q") * (F.col("_n") - 1)
-    k = F.floor(pos)
-    first = F.min(F.when(F.col("_cum") > k, F.col("_v")))
-    second = F.min(F.when(F.col("_cum") > F.least(k + 1, F.col("_n") - 1), F.col("_v")))
-    return (ins.groupBy(*group, "q", "_n").agg(first.alias("_a"), second.alias("_b2"))
-            .select(*group, "q", (F.col("_a") + (pos - k) * (F.col("_b2") - F.col("_a"))).alias("value")))
+    cut = d.groupBy(*group).agg(F.percentile_approx("_v", lo, accuracy).alias("_lo"), F.percentile_approx("_v", hi, accuracy).alias("_hi"),
+                                F.count(F.lit(1)).alias("_n"))
+    j = d.join(F.broadcast(cut), group) if group else d.crossJoin(F.broadcast(cut))
+    v, at = F.col("_v"), lambda c, i: F.get(c, F.lit(i))
+    # per quantile: rows below the bracket and the nearest neighbour on either side
+    side = j.groupBy(*group).agg(F.max("_n").alias("_n"), F.array(*[F.struct(
+        F.lit(i).alias("i"), F.count_if(v < at("_lo", i)).alias("below"), F.max(F.when(v < at("_lo", i), v)).alias("prev"),
+        F.min(F.when(v > at("_hi", i), v)).alias("next")) for i in m]).alias("_s"))
+    side = side.select(*group, "_n", F.explode("_s").alias("_s")).select(*group, "_n", "_s.*")
+    hits = F.array_compact(F.array(*[F.when((v >= at("_lo", i)) & (v <= at("_hi", i)), F.lit(i)) for i in m]))
+    ins = j.select(*group, "_v", F.explode(hits).alias("i")).groupBy(*group, "i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ins = ins.withColumn("_run", F.sum("_c").over(w))
+    ins = ins.join(side, [*group, "i"]).withColumn("_cum", F.col("below") + F.col("_run"))
+    q = at(F.array(*[F.lit(float(x)) for x in qs]), 0) if len(qs) == 1 else F.get(F.array(*[F.lit(float(x)) for x in qs]), F.col("i"))
+    ins = ins.withColumn("q", q).withColumn("_pos", F.col("q") * (F.col("_n") - 1))
+    ins = ins.withColumns({"_k": F.floor("_pos"), "_k2": F.least(F.floor("_pos") + 1, F.col("_n") - 1)})
+    def stat(k):
+        inside = F.min(F.when(F.col("_cum") > F.col(k), v))
+        return F.when(F.max(F.col(k)) < F.max("below"), F.max("prev")).otherwise(F.coalesce(inside, F.max("next")))
+    out = ins.groupBy(*group, "i", "q").agg(
+        stat("_k").alias("_a"), stat("_k2").alias("_b"), F.max(F.col("_pos") - F.col("_k")).alias("_f"),
+        ((F.max("_k") >= F.max("below") - 1) & (F.max("_k2") <= F.max("_cum"))).alias("_ok"))
+    val = F.when(F.col("_ok"), F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).otherwise(
+        F.raise_error(F.lit("quantile bracket missed; raise the accuracy")).cast("double"))
+    return out.select(*group, "q", val.alias("value"))
 
 
 def bounded_groups(df: DataFrame, keys: list[str], limit: int = 250_000) -> DataFrame:

@@ -37,8 +37,8 @@ def mutual_information(df: DataFrame, features: list[str], label: str, keys: lis
     keys = keys or []
     long = unpivot(df.where(C(label).isNotNull()), [*keys, label], features).where("value IS NOT NULL")
     qs = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(long, [*keys, "feature"], "value", qs).groupBy(*keys, "feature").agg(F.collect_list("value").alias("edges"))
-    d = long.join(edges, [*keys, "feature"]).withColumn("bin", F.size(F.filter("edges", lambda e: e < C("value"))))
+    edges = exact_quantiles(long, [*keys, "feature"], "value", qs).groupBy(*keys, "feature").agg(F.sort_array(F.collect_list("value")).alias("edges"))
+    d = long.join(F.broadcast(edges), [*keys, "feature"]).withColumn("bin", F.size(F.filter("edges", lambda e: e < C("value"))))
     cnt = d.groupBy(*keys, "feature", "bin", label).agg(F.count(F.lit(1)).cast("double").alias("n"))
     w = Window.partitionBy(*keys, "feature")
     tot, nb, ny = F.sum("n").over(w), F.sum("n").over(w.partitionBy(*keys, "feature", "bin")), F.sum("n").over(w.partitionBy(*keys, "feature", label))

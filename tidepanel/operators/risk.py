@@ -341,7 +341,8 @@ def execution_schedule(orders: DataFrame, n: int = 10, sigma="sigma", eta: float
 def schedule_cost(sched: DataFrame, keys, n: int = 10, eta: float = 0.01, gamma: float = 0.001, qty="qty", sigma="sigma", lam="lam") -> DataFrame:
     """Expected cost, variance and utility of each schedule (interval length 1)."""
     x = C(qty)
-    a = sched.groupBy(*keys).agg(F.max(qty).alias(qty), F.max(sigma).alias(sigma), F.max(lam).alias(lam), F.sum(C("sold") * C("sold")).alias("_s2"),
+    rest = [F.max(c).alias(c) for c in (qty, sigma, lam) if c not in keys]
+    a = sched.groupBy(*keys).agg(*rest, F.sum(C("sold") * C("sold")).alias("_s2"),
                                  F.sum("sold").alias("_s"), F.sum(F.when(C("step") < n, C("remaining") * C("remaining"))).alias("_x2"))
     cost = 0.5 * gamma * x * x + eta * C("_s2") + 0.5 * gamma * C("_s")
     a = a.withColumns({"expected_cost": cost, "variance_cost": C(sigma) * C(sigma) * C("_x2")})

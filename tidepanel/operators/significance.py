@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.normal import EULER_MASCHERONI, norm_cdf, norm_cdf_unscaled, norm_ppf, norm_ppf_precise
+from ..functions.normal import EULER_MASCHERONI, let, norm_cdf, norm_cdf_unscaled, norm_ppf, norm_ppf_precise
 from ..functions.windows import Series, col, corr_agg, flag, nz
 from . import metrics
 
@@ -30,7 +30,7 @@ def _psr_z(sharpe, n, skew, kurt, bench, year=252) -> Column:
 
 def probabilistic_sharpe(df: DataFrame, sharpe="sharpe", n="n_bars", skew="skewness", kurt="kurtosis", benchmark: float = 0.0) -> DataFrame:
     z = _psr_z(sharpe, n, skew, kurt, F.lit(benchmark))
-    psr = F.when(col(n) < 5, 0.0).otherwise(norm_cdf_unscaled(z))
+    psr = F.when(col(n) < 5, 0.0).otherwise(let(z, norm_cdf_unscaled))
     d = df.withColumn("_psr", psr).withColumns({"psr": F.round("_psr", 4), "z_score": F.round(z, 4)})
     lab = (F.when(col(n) < 5, "insufficient_data").when(C("_psr") >= 0.99, "very_high_confidence").when(C("_psr") >= 0.95, "statistically_significant")
            .when(C("_psr") >= 0.90, "suggestive").otherwise("not_significant"))
@@ -49,7 +49,7 @@ def _dsr_log(sharpe, n, trials, skew, kurt, year=252):
     star = F.sqrt(F.greatest(var, F.lit(1e-12))) * expected_max(col(trials)) * math.sqrt(year)
     single = (col(n) < 10) | (col(trials) < 1)
     star = F.when(single, 0.0).otherwise(star)
-    dsr = F.when(col(n) < 5, 0.0).otherwise(norm_cdf_unscaled(_psr_z(sharpe, n, skew, kurt, star)))
+    dsr = F.when(col(n) < 5, 0.0).otherwise(let(_psr_z(sharpe, n, skew, kurt, star), norm_cdf_unscaled))
     return F.round(dsr, 4), star, single
 
 
@@ -75,7 +75,7 @@ def deflated_sharpe_overfit(sharpe, trials, n_obs, skew, excess_kurt, year: int
     n = col(n_obs)
     star = expected_max(col(trials), norm_ppf_precise) / F.sqrt(n.cast("double"))
     var = F.greatest((1.0 + sb * sb * (0.5 + col(excess_kurt) / 4.0) - col(skew) * sb) / n, F.lit(1e-12))
-    return F.when(n < 5, 0.5).otherwise(norm_cdf((sb - star) / F.sqrt(var)))
+    return F.when(n < 5, 0.5).otherwise(let((sb - star) / F.sqrt(var), norm_cdf))
 
 
 def dsr_gate(sharpe, n, star=0.0, min_trials: int = 10) -> Column:

@@ -21,15 +21,23 @@ C = F.col
 KEYS = ("symbol", "ts")
 
 # one run per symbol: Sharpe, bars, moments, and the number of trials so far
-RUNS = [*BT, f"""runs AS (SELECT symbol AS run_id, {sharpe('net_return')} * 3 AS sharpe, count(*) AS n_bars, skewness(net_return) AS skewness, kurtosis(net_return) + 3 AS kurtosis,
+RUNS = [*BT, f"""runs AS (SELECT symbol AS run_id, 4 * ({sharpe('net_return')} - avg({sharpe('net_return')}) OVER ()) AS sharpe, count(*) AS n_bars, skewness(net_return) AS skewness, kurtosis(net_return) + 3 AS kurtosis,
   CAST(substring(symbol, 2) AS BIGINT) % 40 + 1 AS n_trials FROM bt GROUP BY symbol)"""]
 
 
+REV = [*SIG, "rv AS (SELECT * REPLACE (-signal AS signal) FROM sig)", *bt("rv", STOCK)]
+
+
+def reversal_run(spark, sf):
+    """The baseline with its direction turned round: the bars revert, so part of the symbols pass gates."""
+    return bk.run(signals(spark, sf).withColumn("signal", -C("signal")), bk.CostModel.stock())
+
+
 def runs(spark, sf):
-    """Sharpe scaled by three so that significance levels vary over the table."""
+    """One run per symbol: four times its Sharpe relative to the universe mean, so that significance varies."""
     d = stock_run(spark, sf)
-    n = F.count(F.lit(1)).cast("double")
-    a = d.groupBy("symbol").agg((mt.sharpe("net_return") * 3.0).alias("sharpe"), F.count(F.lit(1)).alias("n_bars"), F.skewness("net_return").alias("g1"), F.kurtosis("net_return").alias("g2"))
+    a = d.groupBy("symbol").agg(mt.sharpe("net_return").alias("_s"), F.count(F.lit(1)).alias("n_bars"), F.skewness("net_return").alias("g1"), F.kurtosis("net_return").alias("g2"))
+    a = a.crossJoin(F.broadcast(a.agg(F.avg("_s").alias("_m")))).withColumn("sharpe", 4.0 * (C("_s") - C("_m")))
     k = C("n_bars").cast("double")
     return a.select(C("symbol").alias("run_id"), "sharpe", "n_bars", (C("g1") * F.sqrt(k * (k - 1)) / (k - 2)).alias("skewness"),
                     ((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * C("g2") + 6) + 3).alias("kurtosis"), (F.substring("symbol", 2, 20).cast("bigint") % 40 + 1).alias("n_trials"))
@@ -162,14 +170,14 @@ def stat12(spark, sf):
     return o.select("symbol", "overfitting_score", "severity", "gap_score", "dsr", "pbo", F.round("stability", 4).alias("stability"), F.concat_ws("; ", "warnings").alias("warnings"), F.concat_ws("; ", "recommendations").alias("recommendations"))
 
 
-@query("STAT-13", with_([*BT, f"x AS (SELECT *, row_number() {SER} - 1 AS x FROM bt)"], f"SELECT symbol, {rnd('regr_r2(equity, x)', 6, 'equity_r2')} FROM x GROUP BY symbol"))
+@query("STAT-13", with_([*REV, f"x AS (SELECT *, row_number() {SER} - 1 AS x FROM bt)"], f"SELECT symbol, {rnd('regr_r2(equity, x)', 6, 'equity_r2')} FROM x GROUP BY symbol"))
 def stat13(spark, sf):
-    return rounded(sg.equity_r2(stock_run(spark, sf), ("symbol",)))
+    return rounded(sg.equity_r2(reversal_run(spark, sf), ("symbol",)))
 
 
-@query("STAT-14", with_([*BT, f"x AS (SELECT *, row_number() {SER} - 1 AS rn, count(*) {ALL} AS n FROM bt)", f"s AS (SELECT symbol, rn // (n // 5) AS sl, {sharpe('net_return')} AS sh FROM x WHERE rn // (n // 5) < 5 GROUP BY 1, 2)"], f"SELECT symbol, {rnd('avg(sh)', 6, 'cpcv_sharpe')} FROM s GROUP BY symbol"))
+@query("STAT-14", with_([*REV, f"x AS (SELECT *, row_number() {SER} - 1 AS rn, count(*) {ALL} AS n FROM bt)", f"s AS (SELECT symbol, rn // (n // 5) AS sl, {sharpe('net_return')} AS sh FROM x WHERE rn // (n // 5) < 5 GROUP BY 1, 2)"], f"SELECT symbol, {rnd('avg(sh)', 6, 'cpcv_sharpe')} FROM s GROUP BY symbol"))
 def stat14(spark, sf):
-    return rounded(sg.slice_sharpe(stock_run(spark, sf), ("symbol",)))
+    return rounded(sg.slice_sharpe(reversal_run(spark, sf), ("symbol",)))
 
 
 @query("STAT-15", with_(FOLDS, f"SELECT symbol, {rnd('CASE WHEN count(oos_sharpe) < 2 THEN 0 WHEN abs(avg(oos_sharpe)) < 1e-9 THEN 1 ELSE stddev_samp(oos_sharpe) / abs(avg(oos_sharpe)) END', 4, 'param_cv')} FROM fm GROUP BY symbol"))
@@ -177,19 +185,19 @@ def stat15(spark, sf):
     return rounded(sg.parameter_cv(fold_pairs(spark, sf), ("symbol",), "oos_sharpe"), 4)
 
 
-@query("STAT-16", with_([*BT, f"x AS (SELECT *, CASE WHEN lag(net_return) {SER} * net_return < 0 THEN 1.0 ELSE 0.0 END AS fl FROM bt)", "y AS (SELECT symbol, m AS mult, net_return - fl * 0.0015 * m * 2 AS r FROM x CROSS JOIN (SELECT unnest([1, 2, 3]) AS m))"], f"SELECT symbol, CAST(mult AS INTEGER) AS mult, {rnd(sharpe('r'), 6, 'sharpe')} FROM y GROUP BY symbol, mult"))
+@query("STAT-16", with_([*REV, f"x AS (SELECT *, CASE WHEN lag(net_return) {SER} * net_return < 0 THEN 1.0 ELSE 0.0 END AS fl FROM bt)", "y AS (SELECT symbol, m AS mult, net_return - fl * 0.0015 * m * 2 AS r FROM x CROSS JOIN (SELECT unnest([1, 2, 3]) AS m))"], f"SELECT symbol, CAST(mult AS INTEGER) AS mult, {rnd(sharpe('r'), 6, 'sharpe')} FROM y GROUP BY symbol, mult"))
 def stat16(spark, sf):
-    return rounded(sg.cost_scaling(stock_run(spark, sf), ("symbol",)))
+    return rounded(sg.cost_scaling(reversal_run(spark, sf), ("symbol",)))
 
 
-TTR = [*BT, f"tt AS (SELECT symbol, count(*) AS n, avg(net_return) AS mu, stddev_samp(net_return) AS sd, {sharpe('net_return')} AS sr, skewness(net_return) AS sk, kurtosis(net_return) AS ku FROM bt GROUP BY symbol)",
+TTR = [*REV, f"tt AS (SELECT symbol, count(*) AS n, avg(net_return) AS mu, stddev_samp(net_return) AS sd, {sharpe('net_return')} AS sr, skewness(net_return) AS sk, kurtosis(net_return) AS ku FROM bt GROUP BY symbol)",
        f"t2 AS (SELECT *, mu * sqrt(252.0) / (sd + 1e-9) * sqrt(n / 252.0) AS t_stat, least(greatest(1 - sk * sr + (ku + 2) / 4 * sr * sr, 0.5), 5) AS cr, {s_ppf('0.95')} + {s_ppf('0.5')} AS z FROM tt)",
        "t3 AS (SELECT *, CASE WHEN abs(sr) < 1e-6 THEN 999 ELSE z * z * cr / (sr * sr) / 252 END AS trl FROM t2)"]
 
 
 @query("STAT-17", with_(TTR, f"SELECT symbol, n, {rnd('sr', 6, 'sharpe')}, {rnd('t_stat', 6, 't_stat')}, {rnd('least(trl, 1e6)', 4, 'min_trl_years')} FROM t3"))
 def stat17(spark, sf):
-    d = sg.t_and_track_record(stock_run(spark, sf), ("symbol",))
+    d = sg.t_and_track_record(reversal_run(spark, sf), ("symbol",))
     return d.select("symbol", "n", rd("sharpe", 6).alias("sharpe"), rd("t_stat", 6).alias("t_stat"), rd(F.least("min_trl_years", F.lit(1e6)), 4).alias("min_trl_years"))
 
 
@@ -201,7 +209,7 @@ GATE8 = [*TTR, f"x AS (SELECT *, row_number() {SER} - 1 AS rn, count(*) {ALL} AS
 
 @query("STAT-18", with_(GATE8, "SELECT symbol, np AS n_passed, CASE WHEN np >= 5 THEN 1 ELSE 0 END AS overall_pass FROM gg"))
 def stat18(spark, sf):
-    return sg.robustness_gates(stock_run(spark, sf), ("symbol",)).select("symbol", "n_passed", "overall_pass")
+    return sg.robustness_gates(reversal_run(spark, sf), ("symbol",)).select("symbol", "n_passed", "overall_pass")
 
 
 # risk ------------------------------------------------------------------------------------------
@@ -330,7 +338,7 @@ def rsk8(spark, sf):
     return d.select("o_orderkey", "approved", "n_soft", "rejected_by", rd("final_size", 7).alias("final_size"))
 
 
-CAP = [*BT, f"cp AS (SELECT symbol, abs({sharpe('net_return')}) AS sharpe, sum(turnover) / (count(*) / 252.0) / 4 AS t FROM bt GROUP BY symbol)", "ck AS (SELECT *, pow(t / 252.0 / 5e7, 0.6) * sqrt(252.0) * t AS k FROM cp)"]
+CAP = [*REV, f"cp AS (SELECT symbol, abs({sharpe('net_return')}) AS sharpe, sum(turnover) / (count(*) / 252.0) / 40 AS t FROM bt GROUP BY symbol)", "ck AS (SELECT *, pow(t / 252.0 / 5e7, 0.6) * sqrt(252.0) * t AS k FROM cp)"]
 
 
 def cap_solve(target, lo, hi):
@@ -341,7 +349,7 @@ def cap_solve(target, lo, hi):
 @query("RSK-9", with_(CAP, "SELECT symbol, " + ", ".join([rnd(f"greatest(sharpe - sharpe * k * pow({c}, 0.6), 0)", 6, n) for n, c in (("sharpe_at_100k", "1e5"), ("sharpe_at_1m", "1e6"), ("sharpe_at_10m", "1e7"), ("sharpe_at_100m", "1e8"))])
   + f", {rnd(cap_solve('sharpe / 2', '1e5', '2.5e8'), 0, 'optimal_capacity_usd')}, {rnd(cap_solve('0.3', '1e5', '5e9'), 0, 'max_capacity_usd')}, {rnd('sharpe - 0.0015 * t * sqrt(252.0)', 6, 'sr_at_3x_slippage')}, CASE WHEN sharpe - 0.0015 * t * sqrt(252.0) >= 0.3 THEN 1 ELSE 0 END AS passes_slippage_gate FROM ck"))
 def rsk9(spark, sf):
-    a = stock_run(spark, sf).groupBy("symbol").agg(F.abs(mt.sharpe("net_return")).alias("sharpe"), (F.sum("turnover") / (F.count(F.lit(1)) / 252.0) / 4).alias("turnover"))
+    a = reversal_run(spark, sf).groupBy("symbol").agg(F.abs(mt.sharpe("net_return")).alias("sharpe"), (F.sum("turnover") / (F.count(F.lit(1)) / 252.0) / 40).alias("turnover"))
     d = rs.capacity(a)
     return d.select("symbol", *[rd(c, 6).alias(c) for c in ("sharpe_at_100k", "sharpe_at_1m", "sharpe_at_10m", "sharpe_at_100m", "sr_at_3x_slippage")], *[rd(c, 0).alias(c) for c in ("optimal_capacity_usd", "max_capacity_usd")], "passes_slippage_gate")
 
@@ -611,7 +619,7 @@ def ml16(spark, sf):
 
 
 ATT = [*FEAT, *SIG[1:], f"sg AS (SELECT feat.*, sig.signal FROM feat JOIN (SELECT symbol, ts, signal FROM sig) sig USING (symbol, ts))", "bs AS (SELECT " + ", ".join(f"avg({f}) AS b_{f}" for f in FS) + " FROM sg)",
-       "at AS (" + " UNION ALL ".join(f"SELECT symbol, ts, '{f}' AS feature, {f} AS value, abs({f} - b_{f}) * sign(({f} - b_{f}) * signal + 1e-9) AS imp FROM sg, bs" for f in FS) + ")"]
+       "att AS (" + " UNION ALL ".join(f"SELECT symbol, ts, '{f}' AS feature, {f} AS value, abs({f} - b_{f}) * sign(({f} - b_{f}) * signal + 1e-9) AS imp FROM sg, bs" for f in FS) + ")"]
 
 
 def attributions(spark, sf):
@@ -619,18 +627,18 @@ def attributions(spark, sf):
     return ml.attribution(d, FS)
 
 
-@query("ML-17", with_(ATT, f"SELECT symbol, ts, feature, {rnd('imp', 6, 'importance')}, CASE WHEN imp > 0 THEN 'bullish' ELSE 'bearish' END AS direction FROM at WHERE abs(imp) >= 1e-10"))
+@query("ML-17", with_(ATT, f"SELECT symbol, ts, feature, {rnd('imp', 6, 'importance')}, CASE WHEN imp > 0 THEN 'bullish' ELSE 'bearish' END AS direction FROM att WHERE abs(imp) >= 1e-10"))
 def ml17(spark, sf):
     return rounded(attributions(spark, sf).select(*KEYS, "feature", "importance", "direction"))
 
 
-@query("TOP-9", with_([*ATT, "ar AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(imp) DESC, feature) AS k FROM at WHERE abs(imp) >= 1e-10)"], "SELECT symbol, ts, string_agg(feature, ',' ORDER BY k) AS top FROM ar WHERE k <= 3 GROUP BY symbol, ts"))
+@query("TOP-9", with_([*ATT, "ar AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(imp) DESC, feature) AS k FROM att WHERE abs(imp) >= 1e-10)"], "SELECT symbol, ts, string_agg(feature, ',' ORDER BY k) AS top FROM ar WHERE k <= 3 GROUP BY symbol, ts"))
 def top9(spark, sf):
     t = ml.top_attributions(attributions(spark, sf), 3)
     return t.select(*KEYS, F.concat_ws(",", F.transform("top", lambda x: x["feature"])).alias("top"))
 
 
-@query("AGG-27", with_([*ATT, "ar AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(imp) DESC, feature) AS k FROM at WHERE abs(imp) >= 1e-10)", "nw AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol, ts FROM ar) ORDER BY ts DESC, symbol LIMIT 30)"],
+@query("AGG-27", with_([*ATT, "ar AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(imp) DESC, feature) AS k FROM att WHERE abs(imp) >= 1e-10)", "nw AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol, ts FROM ar) ORDER BY ts DESC, symbol LIMIT 30)"],
   f"SELECT feature, {rnd('avg(abs(imp))', 6, 'mean_abs_importance')}, count(*) AS n_appearances FROM ar JOIN nw USING (symbol, ts) WHERE k <= 3 GROUP BY feature"))
 def agg27(spark, sf):
     return rounded(ml.importance_summary(ml.top_attributions(attributions(spark, sf), 3), 30))
