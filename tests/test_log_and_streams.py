@@ -40,7 +40,7 @@ def brute(queries, log, top=3):
 
 def test_similarity_join_equals_brute_force_with_many_copies(spark):
     rng = np.random.default_rng(11)
-    words = [f"w{i}" for i in range(30)]
+    words = [f"w{i}" for i in range(14)]
 
     def entry(i):
         return (i, " ".join(rng.choice(words, 7)), [str(x) for x in set(rng.choice(words, 6))])
