@@ -1,4 +1,4 @@
-"""A sample of registered queries against their SQL answers; tools_check.py runs all of them."""
+"""A sample of registered queries against their SQL answers; tools/check.py runs all of them."""
 import duckdb
 import numpy as np
 import pandas as pd

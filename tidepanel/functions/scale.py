@@ -109,7 +109,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, qs: list[float]
     hi = F.array(*[F.lit(min(1.0, q + delta)) for q in qs])
     cut = d.groupBy(*group).agg(F.percentile_approx("_v", lo, accuracy).alias("_lo"), F.percentile_approx("_v", hi, accuracy).alias("_hi"),
                                 F.count(F.lit(1)).alias("_n"))
-    j = d.join(F.broadcast(cut), group) if group else d.crossJoin(F.broadcast(cut))
+    j = d.join(F.broadcast(cut), group) if group else with_row(d, cut)
     v, at = F.col("_v"), lambda c, i: F.get(c, F.lit(i))
     # per quantile: rows below the bracket and the nearest neighbour on either side
     side = j.groupBy(*group).agg(F.max("_n").alias("_n"), F.array(*[F.struct(
@@ -135,6 +135,18 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, qs: list[float]
     return out.select(*group, "q", val.alias("value"))
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate next to every row, as a scalar subquery rather than a join."""
+    row = one_row.select(F.struct(*one_row.columns).alias("_r")).scalar()
+    return df.withColumn("_r", row).select(*df.columns, *[F.col(f"_r.{c}").alias(c) for c in one_row.columns])
+
+
+def repeat(df: DataFrame, values: list[dict]) -> DataFrame:
+    """Every row once per parameter set (a short literal list), by exploding a literal array."""
+    arr = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in d.items()]) for d in values])
+    return df.withColumn("_p", F.explode(arr)).select(*df.columns, "_p.*")
+
+
 def bounded_groups(df: DataFrame, keys: list[str], limit: int = 250_000) -> DataFrame:
     """Refuse (never trim) series longer than a grouped-map function can hold in one task.
 

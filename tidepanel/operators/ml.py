@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scale import exact_quantiles
+from ..functions.scale import exact_quantiles, with_row
 from ..functions.windows import Series, clip, col, nz
 from ..session import cut_lineage
 from .drift import unpivot
@@ -157,7 +157,7 @@ def regime_weight(regime="regime") -> Column:
 def class_weight(df: DataFrame, label: str) -> DataFrame:
     """Weight that balances the two classes."""
     a = df.agg(F.count_if(C(label) == 0).alias("_n0"), F.count_if(C(label) == 1).alias("_n1"))
-    return df.crossJoin(F.broadcast(a)).withColumn("class_weight", F.when(C(label) == 1, C("_n0") / nz(C("_n1").cast("double"))).otherwise(1.0)).drop("_n0", "_n1")
+    return with_row(df, a).withColumn("class_weight", F.when(C(label) == 1, C("_n0") / nz(C("_n1").cast("double"))).otherwise(1.0)).drop("_n0", "_n1")
 
 
 # --- training ----------------------------------------------------------------------------------
@@ -329,7 +329,7 @@ def attribution(df: DataFrame, features: list[str], signal_col: str = "signal",
     """Long rows (symbol, ts, feature, value, importance, direction): distance from the feature's mean signed
     by the signal, or tree importance signed the same way."""
     base = df.agg(*[F.avg(f).alias(f"_b_{f}") for f in features])
-    d = df.crossJoin(F.broadcast(base))
+    d = with_row(df, base)
     arr = F.array(*[F.struct(F.lit(f).alias("feature"), C(f).cast("double").alias("value"), (C(f) - C(f"_b_{f}")).alias("dev")) for f in features])
     long = d.select("symbol", "ts", C(signal_col).alias("_s"), F.explode(arr).alias("x")).select("symbol", "ts", "_s", "x.*")
     if importance is None:

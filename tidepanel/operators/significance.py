@@ -6,6 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.normal import EULER_MASCHERONI, let, norm_cdf, norm_cdf_unscaled, norm_ppf, norm_ppf_precise
+from ..functions.scale import with_row
 from ..functions.windows import Series, col, corr_agg, flag, nz
 from . import metrics
 
@@ -119,12 +120,12 @@ def feature_stability(imp: DataFrame, keys=(), fold="fold", feature="feature", v
     """
     folds = imp.groupBy(*keys).agg(F.countDistinct(fold).alias("_k")) if keys else imp.agg(F.countDistinct(fold).alias("_k"))
     s = imp.groupBy(*keys, feature).agg(F.sum(value).alias("_s"), F.sum(C(value) * C(value)).alias("_ss"))
-    d = s.join(folds, list(keys)) if keys else s.crossJoin(F.broadcast(folds))
+    d = s.join(folds, list(keys)) if keys else with_row(s, folds)
     mean = C("_s") / C("_k")
     d = d.withColumns({"mean_importance": mean, "std_importance": F.sqrt(F.greatest(C("_ss") / C("_k") - mean * mean, F.lit(0.0)))})
     d = d.withColumn("cov", C("std_importance") / (C("mean_importance") + 1e-9))
     med = d.groupBy(*keys).agg(F.greatest(F.percentile("mean_importance", F.lit(0.5)), F.lit(1e-9)).alias("_med")) if keys else d.agg(F.greatest(F.percentile("mean_importance", F.lit(0.5)), F.lit(1e-9)).alias("_med"))
-    d = d.join(med, list(keys)) if keys else d.crossJoin(F.broadcast(med))
+    d = d.join(med, list(keys)) if keys else with_row(d, med)
     d = d.withColumn("important", flag(C("mean_importance") > C("_med")))
     return d.withColumn("unstable", flag((C("cov") > 0.5) & (C("important") == 1))).select(*keys, feature, "mean_importance", "std_importance", "cov", "important", "unstable")
 

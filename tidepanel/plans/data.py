@@ -5,7 +5,8 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.windows import Series, clip, flag, nz
+from ..functions.scale import repeat
+from ..functions.windows import Series, clip, flag, nz, pct_rank
 from ..operators import backtest as bk, explog, features as feats, metrics as mt, quality as dq, ranking as rk, regime as rg, risk as rs, splits as sp
 from ..operators.features import calendar as cal, cross
 from ..sources import panel as pn
@@ -457,8 +458,8 @@ def agg17b(spark, sf):
 
 @query("JN-11", with_([*SIG, "pm AS (SELECT unnest([0.0, 0.0005, 0.001, 0.002]) AS side)", "px AS (SELECT sig.*, side FROM sig CROSS JOIN pm)", *bt("px", "side", "symbol, side")], f"SELECT symbol, side::DOUBLE AS side, {rnd(sharpe('net_return'), 6, 'sharpe')} FROM bt GROUP BY symbol, side"))
 def jn11(spark, sf):
-    grid = spark.createDataFrame([(x,) for x in (0.0, 0.0005, 0.001, 0.002)], "side double")
-    return rounded(bk.sharpes(bk.run(signals(spark, sf).crossJoin(F.broadcast(grid)), C("side"), ("symbol", "side")), ("symbol", "side")))
+    d = repeat(signals(spark, sf), [{"side": x} for x in (0.0, 0.0005, 0.001, 0.002)])
+    return rounded(bk.sharpes(bk.run(d, C("side"), ("symbol", "side")), ("symbol", "side")))
 
 
 # set operations --------------------------------------------------------------------------------
@@ -509,7 +510,6 @@ RANK = [BARS, *stack("bars", [{"mom": f"CASE WHEN lag(close, 63) {SER} IS NOT NU
 
 def rank_frame(spark, sf):
     """Bars with momentum, trend flag, volatility and a confidence derived from momentum."""
-    from ..functions.windows import pct_rank
     p = Series()
     d = bars(spark, sf).withColumns({"mom": p.pct("close", 63), "_a": p.mean("close", 50), "_b": p.mean("close", 100), "r": p.pct("close"), "_hi": p.max("high", 252, 63), "_lo": p.min("low", 252, 63)})
     d = d.withColumns({"sma_50_above_200": flag(C("_a") > C("_b")), "vol_21d": p.std("r", 21) * math.sqrt(252.0), "confidence": 0.5 + clip(F.coalesce("mom", F.lit(0.0)), -0.4, 0.4),

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.scale import repeat
 from ..functions.windows import Series, flag
 from ..operators import backtest as bk, drift, explog, features as feats, labels, metrics as mt, ml, ranking as rk, regime as rg, splits as sp
 from ..sources.tables import bars, experiments, universe
@@ -108,10 +109,9 @@ FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN names LEFT JOIN n ON n.symb
 LEFT JOIN met ON met.symbol = s.symbol AND met.regime = names.regime AND n.n_bars >= 30"""))
 def agg14(spark, sf):
     d = with_regime(signals(spark, sf))
-    names = spark.createDataFrame([(0, "bear"), (1, "neutral"), (2, "bull"), (3, "high_vol")], "regime int, name string")
     m = mt.all_metrics(bk.run(d, bk.CostModel.stock(), ("symbol", "regime")), ("symbol", "regime"))
     n = d.groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n_bars"))
-    grid = d.select("symbol").distinct().crossJoin(F.broadcast(names))
+    grid = repeat(d.select("symbol").distinct(), [{"regime": i, "name": n} for i, n in enumerate(("bear", "neutral", "bull", "high_vol"))])
     j = grid.join(n.join(m, ["symbol", "regime"]), ["symbol", "regime"], "left")
     ok = C("n_bars") >= 30
     return j.select("symbol", "name", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), *[(F.when(ok, rd(c, k)) + 0.0).alias(c) for c, k in (("sharpe_ratio", 3), ("cagr", 4), ("max_drawdown", 4))])
@@ -370,7 +370,7 @@ COSTV = ", ".join(f"('{k}', {sum(v)!r})" for k, v in COSTS.items())
                      f"SELECT symbol, cost, round(any_value(per_side) * 2 + 1.7e-11, 8) AS round_trip, round(sum(cost_drag) + 1.7e-09, 6) + 0.0 AS total_costs_pct, round({sharpe('net_return')} + 1.7e-09, 6) + 0.0 AS sharpe FROM bt GROUP BY symbol, cost"))
 def bt2(spark, sf):
     models = {"default": bk.CostModel.of(None), "stock": bk.CostModel.stock(), "crypto": bk.CostModel.crypto(), "zero": bk.CostModel.zero(), "flat_2pm": bk.CostModel.of(0.002)}
-    d = signals(spark, sf).crossJoin(F.broadcast(bk.cost_table(spark, models)))
+    d = bk.with_costs(signals(spark, sf), models)
     r = bk.run(d, C("per_side"), ("symbol", "cost"))
     return r.groupBy("symbol", "cost").agg(rd(F.max("round_trip"), 8).alias("round_trip"), rd(F.sum("cost_drag"), 6).alias("total_costs_pct"), rd(mt.sharpe("net_return"), 6).alias("sharpe"))
 

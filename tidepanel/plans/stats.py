@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.scale import with_row
 from ..functions.windows import Series, clip, flag, nz
 from ..operators import backtest as bk, drift, features as feats, labels as lb, metrics as mt, ml, ranking as rk, regime as rg, risk as rs, sequential as sq, significance as sg, splits as sp, user
 from ..session import cut_lineage
@@ -37,7 +38,7 @@ def runs(spark, sf):
     """One run per symbol: four times its Sharpe relative to the universe mean, so that significance varies."""
     d = stock_run(spark, sf)
     a = d.groupBy("symbol").agg(mt.sharpe("net_return").alias("_s"), F.count(F.lit(1)).alias("n_bars"), F.skewness("net_return").alias("g1"), F.kurtosis("net_return").alias("g2"))
-    a = a.crossJoin(F.broadcast(a.agg(F.avg("_s").alias("_m")))).withColumn("sharpe", 4.0 * (C("_s") - C("_m")))
+    a = with_row(a, a.agg(F.avg("_s").alias("_m"))).withColumn("sharpe", 4.0 * (C("_s") - C("_m")))
     k = C("n_bars").cast("double")
     return a.select(C("symbol").alias("run_id"), "sharpe", "n_bars", (C("g1") * F.sqrt(k * (k - 1)) / (k - 2)).alias("skewness"),
                     ((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * C("g2") + 6) + 3).alias("kurtosis"), (F.substring("symbol", 2, 20).cast("bigint") % 40 + 1).alias("n_trials"))
@@ -82,10 +83,28 @@ def stat4(spark, sf):
     return sg.minimum_backtest_length(runs(spark, sf))
 
 
-@query("STAT-5")
+def s_ppf2(p):
+    """Acklam's rational approximation."""
+    def poly(cs, x):
+        out = repr(cs[0])
+        for c in cs[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+    a = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+    b = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01, 1.0)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0)
+    q, t = f"(({p}) - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - ({p}))))"
+    r = f"({q} * {q})"
+    tail = f"{poly(c, t)} / {poly(d, t)}"
+    return f"(CASE WHEN ({p}) < 0.02425 THEN {tail} WHEN ({p}) > 0.97575 THEN -({tail}) ELSE {poly(a, r)} * {q} / {poly(b, r)} END)"
+
+
+@query("STAT-5", with_([*RUNS, f"e0 AS (SELECT *, {NT} AS nn, sharpe / sqrt(252.0) AS sb FROM runs)", f"e1 AS (SELECT *, ((1 - 0.5772156649) * {s_ppf2('(1 - 1.0 / nn)')} + 0.5772156649 * {s_ppf2('(1 - 1.0 / (nn * exp(1)))')}) / sqrt(n_bars) AS star FROM e0)",
+  "e2 AS (SELECT *, (sb - star) / sqrt(greatest((1 + sb * sb * (0.5 + (kurtosis - 3) / 4) - skewness * sb) / n_bars, 1e-12)) AS z FROM e1)"], f"SELECT run_id, round({s_cdf('z')}, 4) + 0.0 AS dsr FROM e2"))
 def stat5(spark, sf):
     r = runs(spark, sf).withColumn("excess", C("kurtosis") - 3.0)
-    return r.select("run_id", F.round(sg.deflated_sharpe_overfit("sharpe", C("n_trials"), "n_bars", "skewness", "excess"), 4).alias("dsr"))
+    return r.select("run_id", (F.round(sg.deflated_sharpe_overfit("sharpe", C("n_trials"), "n_bars", "skewness", "excess"), 4) + 0.0).alias("dsr"))
 
 
 @query("STAT-6", with_([*RUNS, "z AS (SELECT *, (sharpe - sqrt(2 * ln(10.0)) / sqrt(n_bars)) * sqrt(n_bars - 1) AS z FROM runs)"], f"SELECT run_id, {rnd(s_cdf('z'), 6, 'dsr')} FROM z"))
@@ -154,7 +173,7 @@ def stat10(spark, sf):
     return runs(spark, sf).select("run_id", (pen + 0.0).alias("penalty"), (bon + 0.0).alias("bonferroni"))
 
 
-@query("STAT-11")
+@query("STAT-11", with_([*RUNS, f"q AS (SELECT *, {s_ppf2('(1 - 0.05 / n_trials)')} AS z FROM runs)"], "SELECT run_id, CASE WHEN sharpe <= 0 THEN 'inf'::DOUBLE ELSE round(pow(z / sharpe, 2), 2) END AS min_years FROM q"))
 def stat11(spark, sf):
     return runs(spark, sf).select("run_id", sg.minimum_years("sharpe", "n_trials").alias("min_years"))
 
@@ -165,7 +184,7 @@ def stat12(spark, sf):
     st = sg.stability_score(sg.feature_stability(importances(spark, sf)))
     d = is_oos(spark, sf).join(sg.pbo(fold_pairs(spark, sf), ["symbol"]).drop("n_folds"), "symbol")
     r = runs(spark, sf).select(C("run_id").alias("symbol"), C("n_trials").alias("n_tests"), C("n_bars").alias("oos_bars"), "skewness", (C("kurtosis") - 3).alias("excess_kurtosis"))
-    d = d.join(r, "symbol").crossJoin(F.broadcast(st)).withColumn("n_features", F.lit(len(FS)))
+    d = with_row(d.join(r, "symbol"), st).withColumn("n_features", F.lit(len(FS)))
     o = sg.overfitting_report(d)
     return o.select("symbol", "overfitting_score", "severity", "gap_score", "dsr", "pbo", F.round("stability", 4).alias("stability"), F.concat_ws("; ", "warnings").alias("warnings"), F.concat_ws("; ", "recommendations").alias("recommendations"))
 
@@ -322,7 +341,7 @@ ORD = [*CORR8, "r8 AS (SELECT symbol, ts, r, row_number() OVER (PARTITION BY sym
 def orders_to_screen(spark, sf):
     """Orders with portfolio state derived from their own numbers, joined to return statistics of a symbol."""
     n = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("_ns"))
-    o = table(spark, sf, "orders").crossJoin(F.broadcast(n))
+    o = with_row(table(spark, sf, "orders"), n)
     k, c = C("o_orderkey"), C("o_custkey")
     o = o.select("o_orderkey", F.concat(F.lit("S"), (c % C("_ns")).cast("string")).alias("symbol"), (F.when(k % 2 == 0, 1).otherwise(-1) * (C("o_totalprice") % 40) / 100).alias("size"), ((k % 45) / 100.0).alias("sector_exposure"),
                  ((c % 12) / 100.0).alias("atr"), F.lit(1.0).alias("price"), ((c % 100) / 100.0).alias("cash_pct"), ((k % 6) / 100.0).alias("stop_loss_pct"), ((c % 30) / 100.0).alias("gross_positions"), (0.5 + (k % 50) / 100.0).alias("confidence"),
@@ -457,7 +476,10 @@ def ml1(spark, sf):
     return rounded(ml.mutual_information(model_frame(spark, sf), FS, "label"), 8)
 
 
-@query("ML-1b")
+@query("ML-1b", with_([*FEAT, f"fb AS (SELECT *, least(floor((row_number() {SER} - 1) * 3 / count(*) {ALL}), 2) AS block FROM feat)", "lg AS (" + " UNION ALL ".join(f"SELECT block, label, '{f}' AS feature, {f} AS value FROM fb WHERE {f} IS NOT NULL AND label IS NOT NULL" for f in FS) + ")",
+  "ed AS (SELECT block, feature, quantile_cont(value, [" + ", ".join(str(i / 10) for i in range(1, 10)) + "]) AS e FROM lg GROUP BY 1, 2)", "cn AS (SELECT lg.block, lg.feature, len(list_filter(e, lambda x: x < value)) AS b, label, count(*)::DOUBLE AS n FROM lg JOIN ed ON lg.feature = ed.feature AND lg.block = ed.block GROUP BY 1, 2, 3, 4)",
+  "cw AS (SELECT *, sum(n) OVER (PARTITION BY block, feature) AS t, sum(n) OVER (PARTITION BY block, feature, b) AS nb, sum(n) OVER (PARTITION BY block, feature, label) AS ny FROM cn)", "mb AS (SELECT block, feature, sum(n / t * ln(n * t / (nb * ny))) AS mi FROM cw GROUP BY 1, 2)"],
+  f"SELECT feature, {rnd('median(mi) / (1 + stddev_pop(mi) / (median(mi) + 1e-8))', 8, 'mi')} FROM mb GROUP BY feature"))
 def ml1b(spark, sf):
     return rounded(ml.stable_mi(model_frame(spark, sf), FS, "label"), 8)
 
@@ -591,7 +613,7 @@ def ml14(spark, sf):
 def ml15(spark, sf):
     d = member_frame(spark, sf)
     w = ml.accuracy_weights(d.where("label IS NOT NULL")).agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "weight"))), lambda s: s["weight"]).alias("w"))
-    d = d.crossJoin(F.broadcast(w))
+    d = with_row(d, w)
     return d.select(*KEYS, rd(ml.ensemble_score("member_p", C("w"))["score_mean"], 6).alias("average"), rd(ml.vote("member_p"), 6).alias("vote"))
 
 

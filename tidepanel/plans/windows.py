@@ -311,7 +311,19 @@ def stf1(spark, sf):
     return sq.filter_signals(signals(spark, sf))
 
 
-@query("STF-2")
+def tier(dd):
+    return f"CASE WHEN {dd} >= 0.20 THEN 3 WHEN {dd} >= 0.10 THEN 2 WHEN {dd} >= 0.05 THEN 1 ELSE 0 END"
+
+
+TIER = [*BT, f"q AS (SELECT symbol, ts, equity AS nav, row_number() {SER} AS rn FROM bt)",
+        """w AS (SELECT symbol, ts, nav, rn, nav AS pk, 0 AS tr, 0 AS cm, 0.0::DOUBLE AS dd, 0 AS ch FROM q WHERE rn = 1 UNION ALL
+  SELECT symbol, ts, nav, rn, CASE WHEN go AND tg = 0 THEN nav ELSE p1 END, CASE WHEN go OR tg > tr THEN tg ELSE tr END, CASE WHEN tg < tr AND NOT go THEN cm + 1 ELSE 0 END, dd, CASE WHEN go OR tg > tr THEN 1 ELSE 0 END
+  FROM (SELECT *, tg < tr AND cm + 1 >= 3 AS go FROM (SELECT *, """ + tier("dd") + """ AS tg FROM (SELECT q.symbol, q.ts, q.nav, q.rn, greatest(w.pk, q.nav) AS p1, w.tr, w.cm, (greatest(w.pk, q.nav) - q.nav) / greatest(w.pk, q.nav) AS dd
+   FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn + 1))))"""]
+
+
+@query("STF-2", "WITH RECURSIVE " + ",\n".join(TIER) + """ SELECT symbol, ts, round(nav, 2) AS nav, round(dd, 6) + 0.0 AS drawdown, (['normal', 'caution', 'derisked', 'halted'])[tr + 1] AS tier, ([1.0, 0.75, 0.5, 0.0])[tr + 1]::DOUBLE AS scale,
+ ch AS changed, round(greatest(0, pk / nav - 1), 6) + 0.0 AS recovery_pct FROM w""")
 def stf2(spark, sf):
     d = sq.drawdown_tiers(stock_run(spark, sf))
     return d.select(*KEYS, F.round("nav", 2).alias("nav"), F.round("drawdown", 6).alias("drawdown"), "tier", "scale", "changed", F.round("recovery_pct", 6).alias("recovery_pct"))
