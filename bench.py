@@ -37,7 +37,7 @@ def main():
         "features_chunked": lambda: drain(feats.generate_features(panel(), ["FEA-9", "FEA-12"], chunk_rows=2000)),
         "backtest_metrics": lambda: drain(mt.all_metrics(bk.run(signals(spark, SF), bk.CostModel.stock()), ("symbol",))),
         "trades": lambda: drain(bk.trades(bk.run(signals(spark, SF), bk.CostModel.stock()))),
-        "walk_forward": lambda: drain(sp.walk_forward(panel(), sp.bar_folds(panel()), sp.momentum_signal)),
+        "walk_forward": lambda: drain(sp.walk_forward(panel(), sp.bar_folds(panel()), sp.momentum)),
         "bootstrap_8": lambda: drain(bk.block_bootstrap(signals(spark, SF), 8)),
     }
     for key in ("TOP-1", "BT-15", "WIN-12b", "AGG-16", "LBL-1", "REG-2", "REG-5", "RSK-8", "RSK-11", "VAL-9", "DQ-10", "JN-8", "STF-7"):

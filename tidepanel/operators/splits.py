@@ -87,16 +87,28 @@ def momentum_signal(bars: DataFrame, fast: int = 20, slow: int = 50, rsi_period:
     return d.withColumn("signal", long_ - short if allow_short else long_).drop("_d1", "_fast", "_slow", "_rsi")
 
 
-Strategy = Callable[[DataFrame], DataFrame]
+Strategy = Callable[[DataFrame, Series], DataFrame]
+FOLD = Series(keys=("symbol", "fold"))
+
+
+def fold_signals(bars: DataFrame, folds: DataFrame, strategy: Strategy) -> DataFrame:
+    """Signals per fold. Series run over the fold's train bars followed by its test bars, so train signals
+    start without history and test signals have the train window, and nothing else, behind them."""
+    return strategy(assign_bar_folds(bars, folds), FOLD)
+
+
+def momentum(df: DataFrame, p: Series = Series()) -> DataFrame:
+    """The momentum baseline as a strategy."""
+    return momentum_signal(df, p=p)
 
 
 def walk_forward(bars: DataFrame, folds: DataFrame, strategy: Strategy, costs: backtest.CostModel = backtest.CostModel.stock(),
                  initial_capital: float = 100_000.0) -> DataFrame:
     """All folds of all symbols in one job: in-sample at no cost, out-of-sample at cost.
 
-    The strategy sees full history (it must be causal); positions restart inside each (fold, split).
+    Positions restart inside each (fold, split).
     """
-    d = assign_bar_folds(strategy(bars), folds)
+    d = fold_signals(bars, folds, strategy)
     side = F.when(C("split") == "test", costs.per_side).otherwise(0.0)
     keys = ("symbol", "fold", "split")
     bt = backtest.run(d, side, keys, initial_capital=initial_capital)
@@ -105,7 +117,7 @@ def walk_forward(bars: DataFrame, folds: DataFrame, strategy: Strategy, costs: b
 
 def stitched(bars: DataFrame, folds: DataFrame, strategy: Strategy, costs: backtest.CostModel = backtest.CostModel.stock()) -> DataFrame:
     """Out-of-sample bars of all folds in time order as one backtest per symbol."""
-    d = assign_bar_folds(strategy(bars), folds).where("split = 'test'")
+    d = fold_signals(bars, folds, strategy).where("split = 'test'")
     bt = backtest.run(d, costs)
     return metrics.all_metrics(bt, ("symbol",))
 

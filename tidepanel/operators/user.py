@@ -13,10 +13,10 @@ C = F.col
 FACTORS: dict[str, Callable[[Series], Layers]] = {}
 
 
-def strategy(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """A function from the panel to the panel plus ``signal``; checked for the column it must add."""
-    def wrapped(panel: DataFrame) -> DataFrame:
-        out = fn(panel)
+def strategy(fn: Callable[[DataFrame, Series], DataFrame]) -> Callable[[DataFrame, Series], DataFrame]:
+    """A function from (panel, series spec) to the panel plus ``signal``; checked for the column it must add."""
+    def wrapped(panel: DataFrame, p: Series = Series()) -> DataFrame:
+        out = fn(panel, p)
         if "signal" not in out.columns:
             raise ValueError("a strategy must return a 'signal' column")
         return out

@@ -226,15 +226,17 @@ def top8(spark, sf):
 
 
 # walk-forward ----------------------------------------------------------------------------------
-WF = [*SIG, f"num AS (SELECT *, row_number() {SER} - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM sig)",
+WF = [BARS, f"num AS (SELECT *, row_number() {SER} - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars)",
       "fl AS (SELECT DISTINCT symbol, unnest(range(0, CAST(floor((n - 168) / 21) + 1 AS BIGINT))) AS fold FROM num)",
-      """asg AS (SELECT num.*, fold, CASE WHEN rn BETWEEN fold * 21 AND fold * 21 + 125 THEN 'train' ELSE 'test' END AS split FROM num JOIN fl USING (symbol)
-       WHERE rn BETWEEN fold * 21 AND fold * 21 + 125 OR rn BETWEEN fold * 21 + 147 AND fold * 21 + 167)"""]
+      """asg0 AS (SELECT num.*, fold, CASE WHEN rn BETWEEN fold * 21 AND fold * 21 + 125 THEN 'train' ELSE 'test' END AS split FROM num JOIN fl USING (symbol)
+       WHERE rn BETWEEN fold * 21 AND fold * 21 + 125 OR rn BETWEEN fold * 21 + 147 AND fold * 21 + 167)""",
+      *[c.replace("PARTITION BY symbol ", "PARTITION BY symbol, fold ").replace("FROM bars", "FROM asg0").replace("sig", "asg", 1) if c.startswith("sig AS") else
+        c.replace("PARTITION BY symbol ", "PARTITION BY symbol, fold ").replace("FROM bars", "FROM asg0") for c in SIG[1:]]]
 K3 = "symbol, fold, split"
 WFM = [*WF, *bt("asg", f"CASE WHEN split = 'test' THEN {STOCK} ELSE 0.0 END", K3), *metrics("bt", K3)]
 
 
-@query("VAL-1", with_(WF[:-1], "SELECT symbol, CAST(fold AS INTEGER) AS fold, fold * 21 AS train_start, fold * 21 + 125 AS train_end, fold * 21 + 147 AS test_start, fold * 21 + 167 AS test_end FROM fl"))
+@query("VAL-1", with_(WF[:3], "SELECT symbol, CAST(fold AS INTEGER) AS fold, fold * 21 AS train_start, fold * 21 + 125 AS train_end, fold * 21 + 147 AS test_start, fold * 21 + 167 AS test_end FROM fl"))
 def val1(spark, sf):
     return sp.bar_folds(bars(spark, sf))
 
@@ -256,7 +258,7 @@ def val3(spark, sf):
 
 def wf_metrics(spark, sf):
     b = bars(spark, sf)
-    return sp.walk_forward(b, sp.bar_folds(b), sp.momentum_signal)
+    return sp.walk_forward(b, sp.bar_folds(b), sp.momentum)
 
 
 @query("VAL-4", with_(WFM, f"SELECT symbol, CAST(fold AS INTEGER) AS fold, split, {rounds(METRICS)} FROM met"))
@@ -267,7 +269,7 @@ def val4(spark, sf):
 @query("VAL-4b", with_([*WF, "oos AS (SELECT * FROM asg WHERE split = 'test')", *bt("oos", STOCK), *metrics("bt")], f"SELECT symbol, {rounds(METRICS)} FROM met"))
 def val4b(spark, sf):
     b = bars(spark, sf)
-    return rounded(sp.stitched(b, sp.bar_folds(b), sp.momentum_signal).select("symbol", *METRICS))
+    return rounded(sp.stitched(b, sp.bar_folds(b), sp.momentum).select("symbol", *METRICS))
 
 
 SUMM = """sm AS (SELECT symbol, avg(CASE WHEN split = 'train' THEN sharpe_ratio END) AS mean_is_sharpe, avg(CASE WHEN split = 'test' THEN sharpe_ratio END) AS mean_oos_sharpe,
@@ -300,8 +302,12 @@ def agg32(spark, sf):
 COMP = [*SIG, *bt("sig", "0.0", name="th"), *bt("sig", STOCK, name="re"), *metrics("th", name="mth"), *metrics("re", name="mre")]
 
 
-@query("VAL-6", with_([*WFM, SUMM, *bt("sig", "0.0", name="th"), *bt("sig", STOCK, name="re"), 
-  "bh0 AS (SELECT * REPLACE (1 AS signal) FROM sig)", *bt("bh0", STOCK, name="bh"),
+# whole-history signals next to the fold signals, under other names
+SIGX = [c.replace("sig_", "sigx_").replace("sig AS", "sigx AS") for c in SIG[1:]]
+
+
+@query("VAL-6", with_([*WFM, SUMM, *SIGX, *bt("sigx", "0.0", name="th"), *bt("sigx", STOCK, name="re"), 
+  "bh0 AS (SELECT * REPLACE (1 AS signal) FROM sigx)", *bt("bh0", STOCK, name="bh"),
   f"j AS (SELECT sc.symbol, mean_oos_sharpe, t.s AS st, r.s AS sr, b.s AS sb FROM sc JOIN (SELECT symbol, {sharpe('net_return')} AS s FROM th GROUP BY symbol) t USING (symbol) JOIN (SELECT symbol, {sharpe('net_return')} AS s FROM re GROUP BY symbol) r USING (symbol) JOIN (SELECT symbol, {sharpe('net_return')} AS s FROM bh GROUP BY symbol) b USING (symbol))",
   "k AS (SELECT *, sr > 0.5 AS edge_survives, greatest((st - mean_oos_sharpe) / greatest(abs(st), 1e-9), 0) AS overfit, sr > sb + 0.1 AS beats_baseline FROM j)"], """SELECT symbol, round(overfit + 1.7e-08, 5) + 0.0 AS overfit, edge_survives, beats_baseline,
   CASE WHEN mean_oos_sharpe >= 0.8 AND edge_survives AND overfit < 0.3 THEN 'STRONG EDGE' WHEN mean_oos_sharpe >= 0.5 AND edge_survives AND overfit < 0.6 THEN 'MODERATE EDGE'

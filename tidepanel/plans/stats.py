@@ -730,7 +730,7 @@ def stf4(spark, sf):
 @query("UDF-1", with_(WFM, f"SELECT symbol, CAST(fold AS INTEGER) AS fold, split, {rnd('sharpe_ratio', 6, 'sharpe_ratio')} FROM met"))
 def udf1(spark, sf):
     b = bars(spark, sf)
-    strategy = user.strategy(lambda d: sp.momentum_signal(d))
+    strategy = user.strategy(lambda d, p: sp.momentum_signal(d, p=p))
     return rounded(sp.walk_forward(b, sp.bar_folds(b), strategy).select("symbol", "fold", "split", "sharpe_ratio"))
 
 
