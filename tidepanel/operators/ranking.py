@@ -72,10 +72,7 @@ def exposure_gate(dates: DataFrame, top_n: int, breadth_threshold: float = 0.0)
 def top_n(df: DataFrame, n, score: str = "score") -> DataFrame:
     """Best n per date, ties by symbol; the rank filter lets Spark cut each partition before the shuffle."""
     w = by_date().orderBy(F.desc(score), "symbol")
-    d = df.withColumn("rank", F.row_number().over(w))
-    if isinstance(n, Column):
-        return d.where(C("rank") <= n)
-    return d.where(C("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w)).where(C("rank") <= n)
 
 
 def weights(df: DataFrame, score: str = "score", proportional: bool = True) -> DataFrame:
