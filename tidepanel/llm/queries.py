@@ -1,9 +1,9 @@
 """The registered query of each operator, and SQL answers where SQL can express one."""
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, sharding, simhash, sketches, toxicity
+from . import decontaminate, language, lines, mixing, pii, sharding, simhash, sketches, tokens, toxicity
 
 QUERIES = {f.__name__: f for f in (
-    simhash.op1_simhash_neardup, toxicity.op4_toxicity, decontaminate.op6_decontamination, sharding.op7_sharding,
+    simhash.op1_simhash_neardup, lines.op2_line_dedup, pii.op3_pii, toxicity.op4_toxicity, tokens.op5_token_counts, decontaminate.op6_decontamination, sharding.op7_sharding,
     mixing.op8_mixing, language.op9_language_id, sketches.op10_fingerprints)}
 ORACLES = {"op8_mixing": mixing.ORACLE}
