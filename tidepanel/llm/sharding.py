@@ -60,8 +60,8 @@ def matrix(parts: DataFrame, shards: int) -> DataFrame:
 
 
 def _slice(key: Column, slices: int) -> Column:
-    """Which of equal ranges of hash values a hash lies in; order is kept."""
-    return (F.shiftrightunsigned(key, 40) * slices / (1 << 24)).cast("int")
+    """Which of equal ranges of hash values, from 0 to 2**63, a hash lies in; order is kept."""
+    return (F.shiftright(key, 39) * slices / (1 << 24)).cast("int")
 
 
 def _place(rows: DataFrame, group: str, key: str, ties: list[str], slices: int) -> DataFrame:
@@ -81,7 +81,7 @@ def assign(rows: DataFrame, shards: int = 8, parts: int = PARTS) -> DataFrame:
     """
     names = rows.columns
     h = lambda n: F.shiftrightunsigned(F.xxhash64(F.lit(SEED + n), "doc_id", "mark"), 1)  # noqa: E731  not negative, so order by value is order by range
-    rows = keep(rows.withColumns({"part": F.pmod(F.xxhash64("doc_id", "mark"), F.lit(parts)), "__one": F.shiftleft(h(1), 1), "__two": F.shiftleft(h(2), 1)}))
+    rows = keep(rows.withColumns({"part": F.pmod(F.xxhash64("doc_id", "mark"), F.lit(parts)), "__one": h(1), "__two": h(2)}))
     counts = keep(rows.groupBy("part").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     placed = _place(rows, "part", "__one", ["doc_id", "mark"], 1 + total // (parts * SORTED))

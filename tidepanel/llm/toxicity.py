@@ -104,7 +104,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
     """Weights from a sample of labelled rows bounded by ``per_class`` rows a class; term counts are summed in Spark.
 
     A term's weight is its smoothed log ratio between the classes; it needs at least five toxic texts, weight 3 and a difference of
-    six standard errors between the shares of texts that hold it. A beginning that says as much as the words that start with it replaces them. Phrases of a hit and a neighbour that
+    six standard errors between the shares of texts that hold it, or weight 1.5 and fifteen. A beginning that says as much as the words that start with it replaces them. Phrases of a hit and a neighbour that
     occur only in clean texts (five or more) become exceptions. Without labels the lexicon is empty and all scores are zero.
     """
     sample, share = labelled_sample(docs, labels, per_class)
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
     both = (F.col("toxic") + F.col("clean")) / F.lit(float(n["toxic"] + n["clean"]))
     error = F.sqrt(both * (1 - both) * F.lit(1 / n["toxic"] + 1 / max(n["clean"], 1)))
     apart = (F.col("toxic") / F.lit(n["toxic"]) - F.col("clean") / F.lit(max(n["clean"], 1))) / F.greatest(error, F.lit(1e-12))
-    picked = total.where("term <> '' and toxic >= 5").withColumn("w", weight).withColumn("z", apart).where("w >= 3 and z >= 6")
+    picked = total.where("term <> '' and toxic >= 5").withColumn("w", weight).withColumn("z", apart).where("(w >= 3 and z >= 6) or (w >= 1.5 and z >= 15)")
     found = {r["term"]: r["w"] for r in picked.orderBy(F.desc("z"), "term").limit(max_terms).collect()}
     lex = Lexicon({t: w for t, w in found.items() if not any(found.get(t[:k], -9.0) >= w - 0.7 for k in range(5, len(t)))}, tuple(exceptions))
 
