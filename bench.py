@@ -27,7 +27,7 @@ def drain(df):
 
 def main():
     spark = get_session("bench", CPUS, partitions=CPUS * 3)
-    work = tempfile.mkdtemp(prefix="tidepanel-bench-")
+    work = tempfile.mkdtemp(prefix="tidepanel-bench-")  # one local process
     panel = lambda: bars(spark, SF)
     cases = {
         "bars": lambda: drain(panel()),
@@ -35,10 +35,10 @@ def main():
         "features_own_cached": lambda: drain(cached_features(panel(), lambda b: feats.generate_features(b, OWN), work)),
         "features_cross_asset": lambda: drain(feats.generate_features(panel(), ["FEA-22", "FEA-24", "FEA-27", "FEA-40", "FEA-41"], macro(spark, SF))),
         "features_chunked": lambda: drain(feats.generate_features(panel(), ["FEA-9", "FEA-12"], chunk_rows=2000)),
-        "backtest_metrics": lambda: drain(mt.all_metrics(bk.run(signals(spark, SF), bk.CostModel.stock()), ("symbol",))),
-        "trades": lambda: drain(bk.trades(bk.run(signals(spark, SF), bk.CostModel.stock()))),
+        "backtest_metrics": lambda: drain(mt.all_metrics(bk.run(signals(spark, SF), bk.cost("stock")), ("symbol",))),
+        "trades": lambda: drain(bk.trades(bk.run(signals(spark, SF), bk.cost("stock")))),
         "walk_forward": lambda: drain(sp.walk_forward(panel(), sp.bar_folds(panel()), sp.momentum)),
-        "bootstrap_8": lambda: drain(bk.block_bootstrap(signals(spark, SF), 8)),
+        "bootstrap_50": lambda: drain(bk.block_bootstrap(signals(spark, SF), 50)),
     }
     for key in ("TOP-1", "BT-15", "WIN-12b", "AGG-16", "LBL-1", "REG-2", "REG-5", "RSK-8", "RSK-11", "VAL-9", "DQ-10", "JN-8", "STF-7"):
         cases[key] = lambda key=key: drain(QUERIES[key](spark, SF))

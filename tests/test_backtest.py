@@ -13,7 +13,7 @@ def make(spark, closes, signals):
 
 
 def test_position_is_delayed_one_bar(spark):
-    bt = bk.run(make(spark, [100, 110, 121], [1, 1, 1]), bk.CostModel.zero()).toPandas().sort_values("ts")
+    bt = bk.run(make(spark, [100, 110, 121], [1, 1, 1]), bk.cost("zero")).toPandas().sort_values("ts")
     assert bt["position"].tolist() == [0, 1, 1]
     assert np.allclose(bt["equity"], [100_000, 110_000, 121_000])
 
@@ -25,7 +25,7 @@ def test_costs_are_charged_on_turnover(spark):
 
 
 def test_reversal_makes_two_trades_and_last_one_stays_open(spark):
-    bt = bk.run(make(spark, [100, 100, 110, 99, 99, 90], [1, 1, -1, -1, -1, -1]), bk.CostModel.zero())
+    bt = bk.run(make(spark, [100, 100, 110, 99, 99, 90], [1, 1, -1, -1, -1, -1]), bk.cost("zero"))
     t = bk.trades(bt).toPandas().sort_values("entry_date").reset_index(drop=True)
     assert t["direction"].tolist() == ["long", "short"]
     assert np.allclose(t["return_pct"], [-1.0, round(-(90 / 99 - 1) * 100, 4)])

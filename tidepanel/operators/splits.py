@@ -102,20 +102,20 @@ def momentum(df: DataFrame, p: Series = Series()) -> DataFrame:
     return momentum_signal(df, p=p)
 
 
-def walk_forward(bars: DataFrame, folds: DataFrame, strategy: Strategy, costs: backtest.CostModel = backtest.CostModel.stock(),
+def walk_forward(bars: DataFrame, folds: DataFrame, strategy: Strategy, costs: tuple = backtest.cost("stock"),
                  initial_capital: float = 100_000.0) -> DataFrame:
     """All folds of all symbols in one job: in-sample at no cost, out-of-sample at cost.
 
     Positions restart inside each (fold, split).
     """
     d = fold_signals(bars, folds, strategy)
-    side = F.when(C("split") == "test", costs.per_side).otherwise(0.0)
+    side = F.when(C("split") == "test", backtest.per_side(costs)).otherwise(0.0)
     keys = ("symbol", "fold", "split")
     bt = backtest.run(d, side, keys, initial_capital=initial_capital)
     return metrics.all_metrics(bt, keys)
 
 
-def stitched(bars: DataFrame, folds: DataFrame, strategy: Strategy, costs: backtest.CostModel = backtest.CostModel.stock()) -> DataFrame:
+def stitched(bars: DataFrame, folds: DataFrame, strategy: Strategy, costs: tuple = backtest.cost("stock")) -> DataFrame:
     """Out-of-sample bars of all folds in time order as one backtest per symbol."""
     d = fold_signals(bars, folds, strategy).where("split = 'test'")
     bt = backtest.run(d, costs)

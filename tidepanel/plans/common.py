@@ -1,11 +1,12 @@
 """Shared inputs of the registered queries."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import backtest, splits
+from ..session import shared_folder
 from ..sources.tables import bars
 
 
@@ -14,11 +15,9 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stock_run(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.run(signals(spark, sf), backtest.CostModel.stock())
+    return backtest.run(signals(spark, sf), backtest.cost("stock"))
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is named (tests)."""
-    import uuid
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared}/tidepanel-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidepanel-")
+    """A new folder below the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/tidepanel-{uuid.uuid4().hex}"

@@ -131,13 +131,11 @@ def src14(spark, sf):
     return pn.every_nth(bars(spark, sf), 100).select(*KEYS)
 
 
-@query("SRC-15", """WITH e AS (SELECT * FROM (VALUES (0, 'Broad'), (1, 'Technology'), (2, 'SmallCap'), (3, 'Broad'), (4, 'Broad'), (5, 'Technology'), (6, 'Financials'), (7, 'Energy'), (8, 'HealthCare'), (9, 'Industrials'),
- (10, 'ConsumerDisc'), (11, 'ConsumerStaples'), (12, 'Utilities'), (13, 'Materials'), (14, 'RealEstate'), (15, 'Communication'), (16, 'Commodity'), (17, 'Commodity'), (18, 'Commodity'), (19, 'Bonds'), (20, 'Bonds'), (21, 'Bonds'),
- (22, 'Bonds'), (23, 'Bonds'), (24, 'Emerging'), (25, 'International'), (26, 'RealEstate'), (27, 'Innovation'), (28, 'Semiconductors'), (29, 'Biotech')) t(i, sector))
+@query("SRC-15", f"""WITH e AS (SELECT * FROM (VALUES {", ".join(str((i, x[2])) for i, x in enumerate(pn.ETFS))}) t(i, sector))
 SELECT sector, count(*) AS n_parts, round(avg(p_retailprice) + 1.7e-9, 6) AS avg_price FROM part JOIN e ON p_size % 30 = i GROUP BY sector""")
 def src15(spark, sf):
     """Parts grouped by the literal fund dimension (position in the list = size modulo 30), broadcast."""
-    dim = spark.createDataFrame([(i, *x.split()) for i, x in enumerate(pn.ETFS.replace("\n", "").split("|"))], "i int, symbol string, sector string")
+    dim = spark.createDataFrame([(i, *x) for i, x in enumerate(pn.ETFS)], "i int, symbol string, name string, sector string")
     p = table(spark, sf, "part").join(F.broadcast(dim), C("p_size") % 30 == C("i"))
     return rounded(p.groupBy("sector").agg(F.count(F.lit(1)).alias("n_parts"), F.avg("p_retailprice").alias("avg_price")))
 
@@ -145,7 +143,7 @@ def src15(spark, sf):
 @query("SRC-16", with_([*SIG, "hs AS (SELECT symbol, ts, signal, high AS close FROM sig)", *bt("hs", STOCK)], f"SELECT symbol, {rnd(sharpe('net_return'), 6, 'sharpe')} FROM bt GROUP BY symbol"))
 def src16(spark, sf):
     s = signals(spark, sf)
-    return rounded(bk.sharpes(bk.run(s, bk.CostModel.stock(), price=bk.close_column(s, "high")), ("symbol",)))
+    return rounded(bk.sharpes(bk.run(s, bk.cost("stock"), price=bk.close_column(s, "high")), ("symbol",)))
 
 
 @query("SRC-17", f"""WITH {BARS}, s AS (SELECT symbol, min(ts)::DATE AS a, max(ts)::DATE AS b FROM bars GROUP BY symbol),

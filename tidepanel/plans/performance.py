@@ -109,7 +109,7 @@ FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN names LEFT JOIN n ON n.symb
 LEFT JOIN met ON met.symbol = s.symbol AND met.regime = names.regime AND n.n_bars >= 30"""))
 def agg14(spark, sf):
     d = with_regime(signals(spark, sf))
-    m = mt.all_metrics(bk.run(d, bk.CostModel.stock(), ("symbol", "regime")), ("symbol", "regime"))
+    m = mt.all_metrics(bk.run(d, bk.cost("stock"), ("symbol", "regime")), ("symbol", "regime"))
     n = d.groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n_bars"))
     grid = repeat(d.select("symbol").distinct(), [{"regime": i, "name": n} for i, n in enumerate(("bear", "neutral", "bull", "high_vol"))])
     j = grid.join(n.join(m, ["symbol", "regime"]), ["symbol", "regime"], "left")
@@ -316,8 +316,8 @@ def val6(spark, sf):
     s = signals(spark, sf)
     def sh(df, costs, name):
         return bk.sharpes(bk.run(df, costs), ("symbol",)).withColumnRenamed("sharpe", name)
-    d = sp.fold_summary(wf_metrics(spark, sf)).select("symbol", "mean_oos_sharpe").join(sh(s, bk.CostModel.zero(), "sharpe_theory"), "symbol")
-    d = d.join(sh(s, bk.CostModel.stock(), "sharpe_real"), "symbol").join(sh(s.withColumn("signal", F.lit(1)), bk.CostModel.stock(), "sharpe_base"), "symbol")
+    d = sp.fold_summary(wf_metrics(spark, sf)).select("symbol", "mean_oos_sharpe").join(sh(s, bk.cost("zero"), "sharpe_theory"), "symbol")
+    d = d.join(sh(s, bk.cost("stock"), "sharpe_real"), "symbol").join(sh(s.withColumn("signal", F.lit(1)), bk.cost("stock"), "sharpe_base"), "symbol")
     return rounded(sp.edge_verdict(d).select("symbol", "overfit", "edge_survives", "beats_baseline", "edge"), 5)
 
 
@@ -362,7 +362,7 @@ def bt1(spark, sf):
 @query("BT-1b", with_([*MET, f"sx AS ({SUMSEL})", *trades_sql(), f"tm AS ({TM})"], f"SELECT sx.symbol, {rounds([c for c in METRICS if c not in ('win_rate', 'profit_factor', 'total_trades')] + XC)}, "
        "coalesce(tm.win_rate, 0) AS win_rate, tm.profit_factor, coalesce(tm.total_trades, 0) AS total_trades, coalesce(avg_trade_return_pct, 0) AS avg_trade_return_pct, coalesce(avg_bars_held, 0) AS avg_bars_held FROM sx LEFT JOIN tm USING (symbol)"))
 def bt1b(spark, sf):
-    d = bk.report(signals(spark, sf), bk.CostModel.stock())
+    d = bk.report(signals(spark, sf), bk.cost("stock"))
     return d.select(
         "symbol", "total_trades", *[(rd(c, 9 if c in TCOLS else 6) + 0.0).alias(c) if c != "max_drawdown_duration_bars" else C(c)
                                     for c in d.columns if c not in ("symbol", "total_trades")])
@@ -375,7 +375,7 @@ COSTV = ", ".join(f"('{k}', {sum(v)!r})" for k, v in COSTS.items())
 @query("BT-2", with_([*SIG, f"cm AS (SELECT * FROM (VALUES {COSTV}) t(cost, per_side))", "sx AS (SELECT sig.*, cost, per_side FROM sig CROSS JOIN cm)", *bt("sx", "per_side", "symbol, cost")],
                      f"SELECT symbol, cost, round(any_value(per_side) * 2 + 1.7e-11, 8) AS round_trip, round(sum(cost_drag) + 1.7e-09, 6) + 0.0 AS total_costs_pct, round({sharpe('net_return')} + 1.7e-09, 6) + 0.0 AS sharpe FROM bt GROUP BY symbol, cost"))
 def bt2(spark, sf):
-    models = {"default": bk.CostModel.of(None), "stock": bk.CostModel.stock(), "crypto": bk.CostModel.crypto(), "zero": bk.CostModel.zero(), "flat_2pm": bk.CostModel.of(0.002)}
+    models = {"default": bk.cost(), "stock": bk.cost("stock"), "crypto": bk.cost("crypto"), "zero": bk.cost("zero"), "flat_2pm": bk.cost(0.002)}
     d = bk.with_costs(signals(spark, sf), models)
     r = bk.run(d, C("per_side"), ("symbol", "cost"))
     return r.groupBy("symbol", "cost").agg(rd(F.max("round_trip"), 8).alias("round_trip"), rd(F.sum("cost_drag"), 6).alias("total_costs_pct"), rd(mt.sharpe("net_return"), 6).alias("sharpe"))
@@ -414,7 +414,7 @@ def jn5(spark, sf):
 @query("BT-7", with_([*SIG, PV, INP, "inn AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY symbol, period) AS n FROM inp) WHERE n >= 10)", *bt("inn", STOCK, "symbol, period"), *metrics("bt", "symbol, period")],
                      f"SELECT symbol, period, {rounds(METRICS)} FROM met"))
 def bt7(spark, sf):
-    r = bk.stress(signals(spark, sf), bk.period_table(spark, {**PERIODS, "gfc_2008": bk.STRESS_PERIODS["gfc_2008"]}), bk.CostModel.stock())
+    r = bk.stress(signals(spark, sf), bk.period_table(spark, {**PERIODS, "gfc_2008": bk.STRESS_PERIODS["gfc_2008"]}), bk.cost("stock"))
     return rounded(mt.all_metrics(r, ("symbol", "period")).select("symbol", "period", *METRICS))
 
 
@@ -422,7 +422,7 @@ def lcg(x):
     return f"((({x}) * 48271 + 11) % 2147483647)"
 
 
-NRES = 8
+NRES = 50
 RN = f"nm AS (SELECT *, row_number() {SER} AS rn FROM sig)"
 _x = [f"g0 AS (SELECT nm.*, resample, (rn * 1000003 + resample * 7919 + 42) % 2147483647 AS x0 FROM nm CROSS JOIN (SELECT unnest(range({NRES})) AS resample))"]
 for _i in range(12):
@@ -531,6 +531,6 @@ def bt16(spark, sf):
     s = signals(spark, sf)
     def end(costs, tag):
         return bk.run(s, costs).groupBy("symbol").agg(F.max_by("equity", "ts").alias(f"e_{tag}"), mt.sharpe("net_return").alias(f"s_{tag}"))
-    d = end(bk.CostModel.zero(), "i").join(end(bk.CostModel.stock(), "c"), "symbol")
+    d = end(bk.cost("zero"), "i").join(end(bk.cost("stock"), "c"), "symbol")
     return d.select("symbol", *[(rd(x, n) + 0.0).alias(a) for x, n, a in ((C("e_i"), 2, "final_equity_ideal"), (C("e_c"), 2, "final_equity_cost"),
                                                                           (C("e_c") - C("e_i"), 2, "final_equity_delta"), (C("s_c") - C("s_i"), 6, "sharpe_delta"))])

@@ -31,7 +31,7 @@ REV = [*SIG, "rv AS (SELECT * REPLACE (-signal AS signal) FROM sig)", *bt("rv",
 
 def reversal_run(spark, sf):
     """The baseline with its direction turned round: the bars revert, so part of the symbols pass gates."""
-    return bk.run(signals(spark, sf).withColumn("signal", -C("signal")), bk.CostModel.stock())
+    return bk.run(signals(spark, sf).withColumn("signal", -C("signal")), bk.cost("stock"))
 
 
 def runs(spark, sf):
@@ -264,7 +264,7 @@ def rsk2(spark, sf):
 @query("BT-4", with_([*VOLS, f"mp AS (SELECT symbol, ts, close, sign(signal) * abs({size_sql()}) AS signal FROM vs)", *bt("mp", STOCK)], f"SELECT symbol, {rnd(sharpe('net_return'), 6, 'sharpe')}, {rnd('avg(abs(position))', 8, 'avg_position')} FROM bt GROUP BY symbol"))
 def bt4(spark, sf):
     d = rs.managed_positions(signals(spark, sf))
-    r = bk.run(d, bk.CostModel.stock(), signal="position_size")
+    r = bk.run(d, bk.cost("stock"), signal="position_size")
     return r.groupBy("symbol").agg(rd(mt.sharpe("net_return"), 6).alias("sharpe"), rd(F.avg(F.abs("position")), 8).alias("avg_position"))
 
 
@@ -418,12 +418,12 @@ def rsk12(spark, sf):
     return rounded(d.select("o_orderkey", "step", "remaining", "sold"), 5)
 
 
-@query("RSK-12b", with_(["oq AS (SELECT o_orderkey, round(o_totalprice / 100) AS qty, 0.5 + (o_custkey % 10) / 10.0 AS sigma, unnest(range(0, 5)) AS i FROM orders)", "oz AS (SELECT *, pow(10.0, -8 + 6 * i / 4.0) AS lam FROM oq)", SCH[1].replace("FROM oq", "FROM oz"), SCH[2], SCH[3],
+@query("RSK-12b", with_(["oq AS (SELECT o_orderkey, round(o_totalprice / 100) AS qty, 0.5 + (o_custkey % 10) / 10.0 AS sigma, unnest(range(0, 20)) AS i FROM orders)", "oz AS (SELECT *, pow(10.0, -8 + 6 * i / 19.0) AS lam FROM oq)", SCH[1].replace("FROM oq", "FROM oz"), SCH[2], SCH[3],
   SCH[4].replace("PARTITION BY o_orderkey", "PARTITION BY o_orderkey, i"), "oc AS (SELECT o_orderkey, i, any_value(lam) AS lam, any_value(qty) AS q, any_value(sigma) AS s, sum(sold * sold) AS s2, sum(sold) AS s1, sum(CASE WHEN step < 10 THEN remaining * remaining END) AS x2 FROM od GROUP BY 1, 2)"],
   f"SELECT o_orderkey, {rnd('log10(lam)', 3, 'log_lam')}, {rnd('0.0005 * q * q + 0.01 * s2 + 0.0005 * s1', 3, 'expected_cost')}, {rnd('s * s * x2', 0, 'variance_cost')} FROM oc"))
 def rsk12b(spark, sf):
     """Frontier over risk aversion: cost and variance of every order's schedule."""
-    d = rs.frontier(liquidations(spark, sf), points=5)
+    d = rs.frontier(liquidations(spark, sf), points=20)
     c = rs.schedule_cost(rs.execution_schedule(d), ("o_orderkey", "lam"))
     return c.select("o_orderkey", rd(F.log10("lam"), 3).alias("log_lam"), rd("expected_cost", 3).alias("expected_cost"), rd("variance_cost", 0).alias("variance_cost"))
 
@@ -434,8 +434,8 @@ def rsk12b(spark, sf):
   f"SELECT symbol, variant, {rnd(sharpe('net_return'), 6, 'sharpe')}, {rnd('sum(cost_drag)', 7, 'total_costs')} FROM bt GROUP BY symbol, variant"))
 def bt17(spark, sf):
     d = rs.managed_positions(signals(spark, sf))
-    st = bk.CostModel.stock().per_side
-    v = {"baseline_theory": (C("signal"), 0.0), "baseline_realistic": (C("signal"), st), "long_theory": (F.lit(1), 0.0), "long_realistic": (F.lit(1), st), "risk_managed": (C("position_size"), st), "executed": (C("signal"), bk.CostModel().per_side)}
+    st = bk.per_side("stock")
+    v = {"baseline_theory": (C("signal"), 0.0), "baseline_realistic": (C("signal"), st), "long_theory": (F.lit(1), 0.0), "long_realistic": (F.lit(1), st), "risk_managed": (C("position_size"), st), "executed": (C("signal"), bk.per_side())}
     arr = F.array(*[F.struct(F.lit(k).alias("variant"), s.cast("double").alias("signal"), F.lit(c).alias("side")) for k, (s, c) in v.items()])
     d = d.select(*KEYS, "close", F.explode(arr).alias("_v")).select(*KEYS, "close", "_v.*")
     r = bk.run(d, C("side"), ("symbol", "variant"))
@@ -607,7 +607,7 @@ def ml14(spark, sf):
     return d.select(*KEYS, ml.signal("m", "conf", 0.1).alias("signal"), ml.threshold_signal("m").alias("plain"))
 
 
-@query("ML-15", with_([*MEM, "ac AS (SELECT member, greatest(avg(CASE WHEN (pr > 0.5)::INT = label THEN 1.0 ELSE 0.0 END) - 0.5, 0) AS e FROM (SELECT label, unnest([0, 1, 2]) AS member, unnest(p) AS pr FROM mb WHERE label IS NOT NULL) GROUP BY member)",
+@query("ML-15", with_([*[m.replace("mb AS (", "mb AS MATERIALIZED (") for m in MEM], "ac AS MATERIALIZED (SELECT member, greatest(avg(CASE WHEN (pr > 0.5)::INT = label THEN 1.0 ELSE 0.0 END) - 0.5, 0) AS e FROM (SELECT label, unnest([0, 1, 2]) AS member, unnest(p) AS pr FROM mb WHERE label IS NOT NULL) GROUP BY member)",
   "aw AS (SELECT member, CASE WHEN (SELECT sum(e) FROM ac) > 1e-9 THEN e / (SELECT sum(e) FROM ac) ELSE 1.0 / 3 END AS w FROM ac)", "ap AS (SELECT list(w ORDER BY member) AS w FROM aw)"],
   f"SELECT symbol, ts, {rnd('(p[1] * w[1] + p[2] * w[2] + p[3] * w[3]) / (w[1] + w[2] + w[3])', 6, 'average')}, {rnd('((p[1] > 0.5)::INT + (p[2] > 0.5)::INT + (p[3] > 0.5)::INT) / 3.0', 6, 'vote')} FROM mb, ap"))
 def ml15(spark, sf):

@@ -403,12 +403,11 @@ win("FN-4", [{"z": "(close - 101) / 2", "u": "volume / 151.0"}, {"cdf": s_cdf("z
     lambda b, p: b.withColumns({"z": (C("close") - 101) / 2, "u": C("volume") / 151.0}).withColumns({"cdf": normal.norm_cdf(C("z")), "cdf0": normal.norm_cdf_unscaled(C("z")), "ppf": normal.norm_ppf(C("u"))}), digits=8)
 
 
-@query("FN-5", "SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * embedding[9 - i]::DOUBLE)) + 1.7e-8, 5) + 0.0 AS dot, round(embedding[8]::DOUBLE - embedding[1]::DOUBLE + 1.7e-8, 5) + 0.0 AS spread, len(embedding)::INTEGER AS n FROM embeddings")
+@query("FN-5", "SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * embedding[len(embedding) + 1 - i]::DOUBLE)) + 1.7e-8, 5) + 0.0 AS dot, round(embedding[len(embedding)]::DOUBLE - embedding[1]::DOUBLE + 1.7e-8, 5) + 0.0 AS spread, len(embedding)::INTEGER AS n FROM embeddings")
 def fn5(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
-    head = F.slice("e", 1, 8)
-    dot = F.aggregate(F.zip_with(head, F.reverse(head), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rounded(e.select("vec_id", dot.alias("dot"), (F.get("e", F.lit(7)) - F.get("e", F.lit(0))).alias("spread"), F.size("e").alias("n")), 5)
+    dot = F.aggregate(F.zip_with("e", F.reverse("e"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rounded(e.select("vec_id", dot.alias("dot"), (F.element_at("e", -1) - F.element_at("e", 1)).alias("spread"), F.size("e").alias("n")), 5)
 
 
 @query("FN-6", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 2.0 WHEN '2-HIGH' THEN 1.5 ELSE 1.0 END::DOUBLE AS mult FROM orders")

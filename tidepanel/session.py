@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,18 @@ def get_session(app: str = "tidepanel", cores: int | str = "*", partitions: int
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the cluster named none and no folder is set yet (tests).
+    A folder of our own is set only in a local session that names none; a cluster must name one that all its nodes share.
     """
     sc = df.sparkSession.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidepanel-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where driver and executors are one local process."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
+        raise ValueError("name a folder that all nodes share in spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="tidepanel-")

@@ -41,14 +41,13 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long table (ticker, ts, close): largest order per customer nation and day, in thousands."""
+    """Long table (ticker, ts, close): largest order per customer nation (modulo the tickers) and day, in thousands."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     names = F.array(*[F.lit(t) for t in MACRO_TICKERS])
     return (
         orders.join(cust, orders.o_custkey == cust.c_custkey)
-        .where(F.col("c_nationkey") < len(MACRO_TICKERS))
-        .select(F.element_at(names, F.col("c_nationkey") + 1).alias("ticker"),
+        .select(F.element_at(names, (F.col("c_nationkey") % len(MACRO_TICKERS) + 1).cast("int")).alias("ticker"),
                 F.col("o_orderdate").alias("ts"), "o_totalprice")
         .groupBy("ticker", "ts").agg((F.max("o_totalprice") / 1000.0).alias("close"))
     )
