@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD, keep, table
+from .common import keep, table
 
 NUMBER, UNIT, NAME = "", "", ""     # letters for private use: no text holds them as words
 #: Units that may follow a number.
@@ -12,6 +12,7 @@ UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h"
          "inch", "inches", "feet", "foot", "yards", "miles", "mile", "meters", "metres", "liters", "litres", "grams", "kilograms", "pounds", "ounces",
          "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "dollars", "euros", "cents", "degrees"]
 WINDOW = 8
+SPACE = r"\x20\x09-\x0D"
 #: benchmark windows are broadcast up to this many; a larger set is joined by shuffles
 BROADCAST_ROWS = 500_000
 
@@ -24,16 +25,17 @@ def bare(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Template words. A capitalised word inside a sentence is a name; digits are a number; a unit after a number is a unit."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[^.!?:\x20\x09-\x0D][\x20\x09-\x0D])\p{Lu}\p{Ll}[\p{L}\p{M}]*", NAME)
+    # what a match begins with is asked before what stands to its left, which would be looked at for every character
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?=\p{{Lu}})(?<=[^.!?:{SPACE}][{SPACE}])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*", NAME)
     t = F.lower(F.regexp_replace(t, r"[\p{P}\p{S}]+", ""))
     units = "|".join(UNITS)
-    digits = F.regexp_replace(F.regexp_replace(t, rf"(?<![^\x20\x09-\x0D])\p{{Nd}}+(?=({units})?(?:[\x20\x09-\x0D]|$))", NUMBER),
-                              rf"(?<={NUMBER})([\x20\x09-\x0D]*)(?:{units})(?=[\x20\x09-\x0D]|$)", f"$1{UNIT}")
+    digits = F.regexp_replace(F.regexp_replace(t, rf"(?=\p{{Nd}})(?<![^{SPACE}])\p{{Nd}}+(?=({units})?(?:[{SPACE}]|$))", NUMBER),
+                              rf"{NUMBER}([{SPACE}]*)(?:{units})(?=[{SPACE}]|$)", f"{NUMBER}$1{UNIT}")
     return F.when(t.rlike(r"\p{Nd}"), digits).otherwise(t)
 
 
 def split(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def window_hashes(words: Column, n: int = WINDOW) -> Column:
@@ -68,7 +70,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverag
     bench = keep(benchmark_windows(benchmark, n))
     probe = bench.select("win", "item_id", "item_pos", "n_windows", F.col("tw").isNotNull().alias("slots"))
     few = bench.count() <= BROADCAST_ROWS
-    words = docs.select(F.xxhash64("text").alias("mark"), window_hashes(split(template(F.col("text"))), n).alias("w"))
+    # words in a projection of their own: compiled, and computed once; inside the array functions they would be computed per use
+    words = docs.select(F.xxhash64("text").alias("mark"), split(template(F.col("text"))).alias("tw")).select("mark", window_hashes(F.col("tw"), n).alias("w"))
     hits = words.select("mark", F.posexplode("w").alias("pos", "win")).join(F.broadcast(probe) if few else probe, "win")
     hits = keep(hits.select("mark", "item_id", "item_pos", "n_windows", "slots", "pos").distinct())
     # values in the text, looked up only for texts with a matched window that has placeholders
