@@ -31,8 +31,8 @@ def main():
     panel = lambda: bars(spark, SF)
     cases = {
         "bars": lambda: drain(panel()),
-        "features_own_cold": lambda: drain(cached_features(panel(), lambda b: feats.generate_features(b, OWN), work)),
-        "features_own_cached": lambda: drain(cached_features(panel(), lambda b: feats.generate_features(b, OWN), work)),
+        "features_own_cold": lambda: drain(cached_features(panel(), lambda b: feats.generate_features(b, OWN), work, OWN)),
+        "features_own_cached": lambda: drain(cached_features(panel(), lambda b: feats.generate_features(b, OWN), work, OWN)),
         "features_cross_asset": lambda: drain(feats.generate_features(panel(), ["FEA-22", "FEA-24", "FEA-27", "FEA-40", "FEA-41"], macro(spark, SF))),
         "features_chunked": lambda: drain(feats.generate_features(panel(), ["FEA-9", "FEA-12"], chunk_rows=2000)),
         "backtest_metrics": lambda: drain(mt.all_metrics(bk.run(signals(spark, SF), bk.cost("stock")), ("symbol",))),

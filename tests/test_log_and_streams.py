@@ -114,8 +114,28 @@ def test_duplicates_are_dropped_in_a_stream(spark, tmp_path):
 
 
 def test_upsert_sink_is_replayable(spark, tmp_path):
-    d = spark.createDataFrame([("A", 1, 1.0), ("A", 1, 2.0)], "symbol string, ts int, v double")
-    write = sb.upsert_parquet(str(tmp_path), ["symbol", "ts"])
-    write(d, 0)
-    write(d, 0)
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path)).select("symbol", "v").collect()] == [("A", 2.0)]
+    schema = "v double, symbol string, at int"
+    write = sb.upsert_parquet(str(tmp_path), ["symbol"], "at")
+    first = spark.createDataFrame([(9.0, "A", 1), (2.0, "A", 2), (4.0, "B", 7), (5.0, "C", None)], schema)
+    write(first, 0)
+    write(first, 0)
+    read = lambda: {tuple(r) for r in sb.read_upserted(spark, str(tmp_path), ["symbol"], "at").collect()}
+    assert read() == {(2.0, "A", 2), (4.0, "B", 7), (5.0, "C", None)}
+    # a later batch: newer A, late B, equal time for C after a missing one
+    write(spark.createDataFrame([(3.0, "A", 3), (8.0, "B", 6), (1.0, "C", 0)], schema), 1)
+    assert read() == {(3.0, "A", 3), (4.0, "B", 7), (1.0, "C", 0)}
+    write(spark.createDataFrame([(0.5, "A", 3)], schema), 2)
+    assert (0.5, "A", 3) in read()
+
+
+def test_cache_tells_families_apart(spark, tmp_path):
+    from tidepanel.sources.panel import cached_features
+    panel, calls = spark.createDataFrame([("A", 1.0)], "symbol string, close double"), []
+
+    def make(name):
+        return lambda d: calls.append(name) or d.withColumn(name, d["close"] * 2)
+    for name in ("x", "y", "x"):
+        assert name in cached_features(panel, make(name), str(tmp_path), [name]).columns
+    cached_features(panel, make("x"), str(tmp_path), ["x"], macro=panel)
+    assert calls == ["x", "y", "x"]
+

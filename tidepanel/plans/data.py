@@ -121,8 +121,8 @@ def src12(spark, sf):
 def src13(spark, sf):
     root, b = scratch(spark), bars(spark, sf)
     make = lambda d: feats.generate_features(d, ["FEA-9"])
-    pn.cached_features(b, make, root)
-    return rounded(pn.cached_features(b, make, root).select(*KEYS, "vol_21d"))
+    pn.cached_features(b, make, root, ["FEA-9"])
+    return rounded(pn.cached_features(b, make, root, ["FEA-9"]).select(*KEYS, "vol_21d"))
 
 
 @query("SRC-14", f"""WITH {BARS}, n AS (SELECT symbol, ts, row_number() {SER} - 1 AS rn, greatest(count(*) {ALL} // 100, 1) AS st FROM bars)

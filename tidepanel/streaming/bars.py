@@ -1,7 +1,7 @@
 """Event streams into bars and sessions; the same functions run on batch frames."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 C = F.col
 
@@ -34,10 +34,21 @@ def enrich(bars: DataFrame, static: DataFrame, on: str = "symbol") -> DataFrame:
     return bars.join(static, on, "left")
 
 
-def upsert_parquet(path: str, keys: list[str]):
-    """foreachBatch sink: newest row per key and batch, one folder per batch id, so a replayed batch overwrites itself."""
+def _newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    first = [c for c in order if c in rest]
+    one = rows.groupBy(*keys).agg(F.max(F.struct(*first, *[c for c in rest if c not in first])).alias("_r"))
+    return one.select(*[C("_r")[c].alias(c) if c in rest else C(c) for c in rows.columns])
+
+
+def upsert_parquet(path: str, keys: list[str], order: str):
+    """foreachBatch sink: the row of a key with the greatest ``order``, one folder per batch id, so a replayed batch overwrites
+    itself. ``read_upserted`` merges the batches; rows without a value in ``order`` give way to all others."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else batch.distinct()
-        latest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _newest(batch, keys, [order]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
+
+
+def read_upserted(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """One row a key over all batches of ``upsert_parquet``: the greatest ``order``, of equal ones the one of the latest batch."""
+    return _newest(spark.read.parquet(path), keys, [order, "batch"]).drop("batch")
