@@ -401,3 +401,13 @@ def test_pipeline(spark, sf):
         now = new
     last = corpus_pipeline.STAGES[-1][1](spark, now, sf)
     assert last.count() == now.count() and last.groupBy("shard").count().selectExpr("max(count) - min(count) AS d").first().d <= 1
+
+
+def test_template_words_at_the_edges(spark):
+    from pyspark.sql import functions as F
+
+    from tidepanel.llm.decontaminate import NAME, NUMBER, UNIT, split, template
+    want = {None: [], "": [], " \t\n": [], "... -": [], "Anna met Bob at 5 km.": ["anna", "met", NAME, "at", NUMBER, UNIT],
+            " 7  kg, 12kg x9 9x": [NUMBER, UNIT, NUMBER + UNIT, "x9", "9x"], "No. Yes he is\u000bÉlan": ["no", "yes", "he", "is", NAME]}
+    rows = spark.createDataFrame([(t,) for t in want], "text string").select("text", split(template(F.col("text"))).alias("w")).collect()
+    assert {r["text"]: r["w"] for r in rows} == want
