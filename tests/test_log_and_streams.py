@@ -12,26 +12,25 @@ from tidepanel.streaming import bars as sb, stateful
 
 
 def brute(queries, log, top=3):
-    docs = [q[1] for q in queries] + [e[1] for e in log]
-
     def terms(t):
         w = re.findall(r"\w\w+", t.lower())
         return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
-    tf = [terms(t) for t in docs]
-    df = Counter(t for d in tf for t in d)
-    vec = []
-    for d in tf:
-        v = {t: (1 + math.log(c)) * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, c in d.items()}
-        n = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        vec.append({t: x / n for t, x in v.items()})
+    log_tf = [terms(e[1]) for e in log]
     out = []
-    for i, (qid, _, qt) in enumerate(queries):
+    for qid, title, qt in queries:
+        tf = [terms(title), *log_tf]        # the corpus of one query: itself and the log
+        df = Counter(t for d in tf for t in d)
+        vec = []
+        for d in tf:
+            v = {t: (1 + math.log(c)) * (math.log((1 + len(tf)) / (1 + df[t])) + 1) for t, c in d.items()}
+            n = math.sqrt(sum(x * x for x in v.values())) or 1.0
+            vec.append({t: x / n for t, x in v.items()})
         scored = []
         for j, (eid, _, et) in enumerate(log):
             a, b = set(qt), set(et)
             jac = len(a & b) / len(a | b) if a and b else 0.0
-            cos = sum(x * vec[len(queries) + j].get(t, 0.0) for t, x in vec[i].items())
-            s = 0.6 * jac + 0.4 * cos
+            cos = sum(x * vec[1 + j].get(t, 0.0) for t, x in vec[0].items())
+            s = 0.6 * jac + 0.4 * cos if title.strip() else jac
             if s > 0.30:
                 scored.append((-round(s, 12), eid))
         out += [(qid, e, k + 1) for k, (_, e) in enumerate(sorted(scored)[:top])]
@@ -46,7 +45,7 @@ def test_similarity_join_equals_brute_force_with_many_copies(spark):
         return (i, " ".join(rng.choice(words, 7)), [str(x) for x in set(rng.choice(words, 6))])
     log = [entry(i) for i in range(120)]
     log += [(200 + i, log[0][1], log[0][2]) for i in range(60)]          # a third of the log is one entry
-    queries = [(i, *log[i][1:]) for i in (0, 3)] + [entry(1000 + i) for i in range(15)] + [(2000, log[0][1], log[0][2])]
+    queries = [(i, *log[i][1:]) for i in (0, 3)] + [entry(1000 + i) for i in range(15)] + [(3000, " ", log[5][2]), (3001, "größe wérk " + log[7][1], log[7][2])] + [(2000, log[0][1], log[0][2])]
     q = spark.createDataFrame(queries, "qid bigint, q_title string, q_tags array<string>")
     e = spark.createDataFrame(log, "id bigint, title string, tags array<string>")
     got = sorted((r["qid"], r["id"], r["rank"]) for r in explog.similar(q, e).collect())

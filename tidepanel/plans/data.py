@@ -406,16 +406,17 @@ def text_queries(spark, sf):
 
 SIMSQL = [EXPLOG, "qq AS (SELECT id AS qid, title AS q_title, tags AS q_tags FROM explog WHERE type <> 'experiment')",
   "ex AS (SELECT id, title, tags FROM explog WHERE type = 'experiment')",
-  "dc AS (SELECT 'q' || qid AS k, q_title AS t FROM qq UNION ALL SELECT 'e' || id, title FROM ex)",
-  r"wd AS (SELECT k, regexp_extract_all(lower(t), '(\w\w+)', 1) AS w FROM dc)",
-  "tm AS (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wd)",
-  "tf AS (SELECT k, term, count(*) AS tf FROM tm GROUP BY 1, 2)", "df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)",
-  "wt AS (SELECT k, tf.term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM dc)) / (1.0 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term)",
-  "nm AS (SELECT k, sqrt(sum(w * w)) AS n FROM wt GROUP BY k)", "v AS (SELECT wt.k, term, w / n AS w FROM wt JOIN nm ON wt.k = nm.k)",
-  "cs AS (SELECT a.k AS qk, b.k AS ek, sum(a.w * b.w) AS c FROM v a JOIN v b ON a.term = b.term AND a.k[1] = 'q' AND b.k[1] = 'e' GROUP BY 1, 2)",
+  r"dc AS (SELECT 'q' AS s, qid AS k, regexp_extract_all(lower(q_title), '([\p{L}\p{N}_]{2,})', 1) AS w FROM qq UNION ALL SELECT 'e', id, regexp_extract_all(lower(title), '([\p{L}\p{N}_]{2,})', 1) FROM ex)",
+  "tf AS (SELECT s, k, term, 1 + ln(count(*)) AS f FROM (SELECT s, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM dc) GROUP BY 1, 2, 3)",
+  "df AS (SELECT term, count(*) AS df FROM tf WHERE s = 'e' GROUP BY 1)",
+  "wt AS MATERIALIZED (SELECT s, k, term, f * (ln((2.0 + (SELECT count(*) FROM ex)) / (1.0 + coalesce(df, 0))) + 1) AS b, f * (ln((2.0 + (SELECT count(*) FROM ex)) / (2.0 + coalesce(df, 0))) + 1) AS a FROM tf LEFT JOIN df USING (term))",
+  "nm AS (SELECT s, k, sum(a * a) AS a2, sum(b * b) AS b2 FROM wt GROUP BY 1, 2)",
+  "ds AS (SELECT x.k AS qid, y.k AS id, sum(x.a * y.a) AS d, sum(y.a * y.a - y.b * y.b) AS more FROM wt x JOIN wt y ON x.term = y.term AND x.s = 'q' AND y.s = 'e' GROUP BY 1, 2)",
+  "cs AS (SELECT qid AS qk, id AS ek, d / sqrt(p.a2 * (r.b2 + more)) AS c FROM ds JOIN nm p ON p.s = 'q' AND p.k = qid JOIN nm r ON r.s = 'e' AND r.k = id)",
   "sh AS (SELECT qid, id, count(*) AS n FROM (SELECT qid, unnest(q_tags) AS tag FROM qq) JOIN (SELECT id, unnest(tags) AS tag FROM ex) USING (tag) GROUP BY 1, 2)",
-  """al AS (SELECT qq.qid, ex.id, 0.6 * CASE WHEN len(q_tags) > 0 AND len(tags) > 0 THEN coalesce(sh.n, 0)::DOUBLE / (len(q_tags) + len(tags) - coalesce(sh.n, 0)) ELSE 0 END + 0.4 * coalesce(c, 0) AS score
-   FROM qq CROSS JOIN ex LEFT JOIN cs ON qk = 'q' || qid AND ek = 'e' || ex.id LEFT JOIN sh ON sh.qid = qq.qid AND sh.id = ex.id)"""]
+  """jq AS (SELECT qq.qid, ex.id, trim(q_title) <> '' AS asked, CASE WHEN len(q_tags) > 0 AND len(tags) > 0 THEN coalesce(sh.n, 0)::DOUBLE / (len(q_tags) + len(tags) - coalesce(sh.n, 0)) ELSE 0 END AS j, coalesce(c, 0) AS c
+   FROM qq CROSS JOIN ex LEFT JOIN cs ON qk = qid AND ek = ex.id LEFT JOIN sh ON sh.qid = qq.qid AND sh.id = ex.id)""",
+  "al AS (SELECT qid, id, CASE WHEN asked THEN 0.6 * j + 0.4 * c ELSE j END AS score FROM jq)"]
 
 
 @query("JN-9", with_(SIMSQL, f"SELECT qid, id, CAST(rk AS INTEGER) AS \"rank\", {rnd('score', 6, 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rk FROM al WHERE score > 0.30) WHERE rk <= 3"))

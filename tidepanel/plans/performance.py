@@ -156,8 +156,8 @@ def agg16(spark, sf):
 
 
 # experiment log and arms -----------------------------------------------------------------------
-EXPLOG = """explog AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 < 6 THEN 'experiment' ELSE (['experiment', 'finding', 'heuristic', 'failure', 'promotion'])[doc_id % 5 + 1] END AS type,
-  substring(text, 1, 120) AS title, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: length(w) >= 4)) AS tags,
+EXPLOG = r"""explog AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 < 6 THEN 'experiment' ELSE (['experiment', 'finding', 'heuristic', 'failure', 'promotion'])[doc_id % 5 + 1] END AS type,
+  text AS title, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N} ]', ' ', 'g'), ' '), lambda w: length(w) >= 4)) AS tags,
   source AS session, (n_chars % 400 - 150) / 100.0 AS sharpe, (n_chars % 370 - 140) / 100.0 AS oos_sharpe, -(n_chars % 45)::DOUBLE AS max_dd, (n_chars % 30)::DOUBLE AS ann_return FROM documents)"""
 
 

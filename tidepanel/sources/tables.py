@@ -70,12 +70,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Experiment log derived from documents: one entry per document, tags are its distinct first words.
+    """Experiment log derived from documents: one entry per document, its title is the whole text, its tags are the text's distinct
+    words of four or more letters or digits of any script.
 
     Columns: id, type, title, tags, ts, sharpe, oos_sharpe, max_dd, ann_return (all derived from the row).
     """
     d = table(spark, sf_dir, "documents")
-    clean = F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " ")
+    clean = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ]", " ")
     words = F.filter(F.split(clean, " "), lambda w: F.length(w) >= 4)
     kinds = F.array(*[F.lit(k) for k in ("experiment", "finding", "heuristic", "failure", "promotion")])
     # most entries are experiments, as in a real log
@@ -83,7 +84,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")))
     return d.select(
         F.col("doc_id").alias("id"), kind.alias("type"),
-        F.substring("text", 1, 120).alias("title"),
+        F.col("text").alias("title"),
         F.array_distinct(words).alias("tags"),
         F.col("source").alias("session"),
         ((F.col("n_chars") % 400 - 150) / 100.0).alias("sharpe"),
