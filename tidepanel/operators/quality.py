@@ -107,8 +107,13 @@ def missing_fraction(df: DataFrame, cols=OHLCV, limit: float = 0.05) -> DataFram
 
 
 def content_hash(df: DataFrame, cols=OHLCV) -> DataFrame:
-    """Order-free provenance hash per symbol: count and exact sum of row hashes."""
-    return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.xxhash64("ts", *cols).cast("decimal(38,0)")).alias("content_hash"))
+    """Order-free provenance hash per symbol: row count and exact sum of the first 60 bits of each row's MD5.
+
+    A row is its time and its values in millionths, so any engine gives the same sum.
+    """
+    values = [F.coalesce(F.round(C(c) * 1e6).cast("bigint").cast("string"), F.lit("null")) for c in cols]
+    row = F.md5(F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), *values))
+    return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")).alias("content_hash"))
 
 
 def quality_report(df: DataFrame, as_of, imputation: str = "ffill") -> DataFrame:

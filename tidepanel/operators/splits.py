@@ -12,18 +12,23 @@ from .features.technical import rsi
 C = F.col
 
 
+def fold_status(bars: DataFrame, train: int = 126, test: int = 21, embargo: int = 21, step: int | None = None, min_folds: int = 5) -> DataFrame:
+    """(symbol, n_bars, n_folds, status) of every symbol; status is ``ok`` or ``too few folds``."""
+    span = train + embargo + test
+    n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    k = F.when(C("n_bars") >= span, F.floor((C("n_bars") - span) / (step or test)) + 1).otherwise(0)
+    return n.withColumn("n_folds", k).withColumn("status", F.when(C("n_folds") >= max(min_folds, 1), "ok").otherwise("too few folds"))
+
+
 def bar_folds(bars: DataFrame, train: int = 126, test: int = 21, embargo: int = 21, step: int | None = None, min_folds: int = 5) -> DataFrame:
     """Purged folds by bar count per symbol: (symbol, fold, train_start.., test_end) as row positions and dates.
 
-    Symbols with fewer than ``min_folds`` folds fail the job.
+    A symbol with fewer than ``min_folds`` folds has none here and leaves the others alone; ``fold_status`` names it.
     """
     step = step or test
     span = train + embargo + test
-    n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    k = F.floor((C("n") - span) / step) + 1
-    f = n.withColumn("k", F.when(C("n") >= span, k).otherwise(0))
-    f = f.where(F.when(C("k") >= min_folds, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("too few folds for "), C("symbol"))).cast("boolean")))
-    f = f.select("symbol", F.explode(F.sequence(F.lit(0).cast("bigint"), C("k") - 1)).alias("fold"))
+    f = fold_status(bars, train, test, embargo, step, min_folds).where("status = 'ok'")
+    f = f.select("symbol", F.explode(F.sequence(F.lit(0).cast("bigint"), C("n_folds") - 1)).alias("fold"))
     s = C("fold") * step
     return f.select("symbol", C("fold").cast("int").alias("fold"), s.alias("train_start"), (s + train - 1).alias("train_end"),
                     (s + train + embargo).alias("test_start"), (s + span - 1).alias("test_end"))

@@ -232,7 +232,8 @@ def dq8(spark, sf):
     return rounded(dq.missing_fraction(dirty(spark, sf)), 8)
 
 
-@query("DQ-9")
+@query("DQ-9", with_([BARS, "rh AS (SELECT symbol, md5(concat_ws('|', strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), " + ", ".join(f"coalesce(CAST(CAST(round({c} * 1e6) AS BIGINT) AS VARCHAR), 'null')" for c in O5) + ")) AS h FROM bars)"],
+                     "SELECT symbol, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS content_hash FROM rh GROUP BY symbol"))
 def dq9(spark, sf):
     return dq.content_hash(bars(spark, sf)).select("symbol", "n_rows", C("content_hash").cast("string").alias("content_hash"))
 
@@ -566,7 +567,7 @@ SEL = [*GATE, "sl AS (SELECT * FROM (SELECT rk.*, n_eff, row_number() OVER (PART
 
 def selected(spark, sf):
     d = rank_frame(spark, sf).withColumn("score", rk.ranking_score("liquidity"))
-    return rk.top_n(d.join(gate_frame(d).select("ts", "n_eff"), "ts"), C("n_eff"))
+    return rk.top_n(d, 10).join(gate_frame(d).select("ts", "n_eff"), "ts").where("rank <= n_eff")   # a book never exceeds ten names
 
 
 @query("TOP-5", with_(SEL, f"SELECT symbol, ts, {rnd('weight', 8, 'weight')}, {rnd('equal_weight', 8, 'equal_weight')} FROM wt"))

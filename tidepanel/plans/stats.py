@@ -9,11 +9,11 @@ from ..functions.scale import with_row
 from ..functions.windows import Series, clip, flag, nz
 from ..operators import backtest as bk, drift, features as feats, labels as lb, metrics as mt, ml, ranking as rk, regime as rg, risk as rs, sequential as sq, significance as sg, splits as sp, user
 from ..session import cut_lineage
-from ..sources.tables import bars, events, table, universe
+from ..sources.tables import bars, events, experiments, table, universe
 from ..streaming import bars as sb
 from .common import scratch, signals, stock_run
 from .data import CORR8, SEL, candidate_pairs, selected
-from .performance import BT, FEAT, FS, LONG, MET, PERIODS, PROBA, PV, SIG, SUMM, WFM, feature_frame, scored, wf_metrics, with_regime
+from .performance import BT, EXPLOG, FEAT, FS, LONG, MET, PERIODS, PROBA, PV, SIG, SUMM, WFM, feature_frame, scored, wf_metrics, with_regime
 from .registry import query, rd, rounded
 from .sql import (ALL, BARS, PAST, SER, STOCK, UNIVERSE, annual, bt, chain, flag as sflag, lag, last, mean, metrics, pct, quant, rnd, rounds, sharpe, stack, std, with_)
 from .windows import open_trades, s_cdf, s_cdf0, s_ppf
@@ -167,10 +167,13 @@ def stat9(spark, sf):
     return d.select("feature", rd("mean_importance", 6).alias("mean_importance"), rd("std_importance", 6).alias("std_importance"), rd("cov", 4).alias("cov"), "important", "unstable")
 
 
-@query("STAT-10", with_(RUNS, "SELECT run_id, round(least(1.0, least(greatest((n_trials - 10) / 40.0, 0), 0.5) + least(0.5, ln(n_bars + 1.0) / ln(1000.0))), 4) + 0.0 AS penalty, round(0.05 / n_bars, 6) + 0.0 AS bonferroni FROM runs"))
+@query("STAT-10", with_([EXPLOG, "lt AS (SELECT id AS run_id, len(tags) AS n_features, row_number() OVER (PARTITION BY session ORDER BY id) AS n_trials FROM explog WHERE type = 'experiment')"],
+  "SELECT run_id, round(least(1.0, least(greatest((n_features - 10) / 40.0, 0), 0.5) + least(0.5, ln(n_trials + 1.0) / ln(1000.0))), 4) + 0.0 AS penalty, round(0.05 / n_trials, 6) + 0.0 AS bonferroni FROM lt"))
 def stat10(spark, sf):
-    pen, bon = sg.multiple_testing("n_bars", "n_trials")
-    return runs(spark, sf).select("run_id", (pen + 0.0).alias("penalty"), (bon + 0.0).alias("bonferroni"))
+    """Every experiment of the log with the trials its session had made by then and the features it named."""
+    e = experiments(spark, sf).where("type = 'experiment'").select(C("id").alias("run_id"), F.size("tags").alias("n_features"), F.row_number().over(Window.partitionBy("session").orderBy("id")).alias("n_trials"))
+    pen, bon = sg.multiple_testing("n_trials", "n_features")
+    return e.select("run_id", (pen + 0.0).alias("penalty"), (bon + 0.0).alias("bonferroni"))
 
 
 @query("STAT-11", with_([*RUNS, f"q AS (SELECT *, {s_ppf2('(1 - 0.05 / n_trials)')} AS z FROM runs)"], "SELECT run_id, CASE WHEN sharpe <= 0 THEN 'inf'::DOUBLE ELSE round(pow(z / sharpe, 2), 2) END AS min_years FROM q"))
@@ -516,12 +519,11 @@ def ml5(spark, sf):
     return rounded(ml.robust_scale(d, FS, ml.scaler_stats(d, FS)).where("value IS NOT NULL"), 7)
 
 
-@query("ML-5b", with_([*PROBA, "lg AS (" + " UNION ALL ".join(f"SELECT symbol, ts, regime, '{f}' AS feature, {f} AS value FROM prn WHERE {f} IS NOT NULL" for f in FS[:3]) + ")", f"g AS (SELECT feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY feature)", f"r AS (SELECT regime, feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY regime, feature HAVING count(*) >= 50)"],
+@query("ML-5b", with_([*PROBA, "lg AS (" + " UNION ALL ".join(f"SELECT symbol, ts, regime, '{f}' AS feature, {f} AS value FROM prn WHERE {f} IS NOT NULL" for f in FS) + ")", f"g AS (SELECT feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY feature)", f"r AS (SELECT regime, feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY regime, feature HAVING count(*) >= 50)"],
   f"SELECT symbol, ts, lg.feature, {rnd('(least(greatest(value, coalesce(r.q, g.q)[1]), coalesce(r.q, g.q)[5]) - coalesce(r.q, g.q)[3]) / greatest(coalesce(r.q, g.q)[4] - coalesce(r.q, g.q)[2], 1e-8)', 7, 'value')} FROM lg JOIN g ON lg.feature = g.feature LEFT JOIN r ON r.feature = lg.feature AND r.regime = lg.regime"))
 def ml5b(spark, sf):
     d = with_regime(model_frame(spark, sf))
-    f3 = FS[:3]
-    return rounded(ml.robust_scale(d, f3, ml.scaler_stats(d, f3), ml.scaler_stats(d, f3, "regime")).where("value IS NOT NULL"), 7)
+    return rounded(ml.robust_scale(d, FS, ml.scaler_stats(d, FS), ml.scaler_stats(d, FS, "regime")).where("value IS NOT NULL"), 7)
 
 
 @query("ML-6", with_([BARS, f"w AS (SELECT symbol, ts, exp(-least((count(*) {ALL} - row_number() {SER}) / 63.0, 4.6)) AS w FROM bars)"], f"SELECT symbol, ts, {rnd(f'w / avg(w) {ALL}', 7, 'recency_weight')} FROM w"))
@@ -535,7 +537,7 @@ def ml7(spark, sf):
     return d.select(*KEYS, ml.regime_weight().alias("regime_weight"), rd("class_weight", 7).alias("class_weight"))
 
 
-ML_FEATURES = FS[:4]
+ML_FEATURES = FS
 
 
 def oos_scores(spark, sf):
