@@ -226,12 +226,17 @@ def stat17(spark, sf):
 GATE8 = [*TTR, f"x AS (SELECT *, row_number() {SER} - 1 AS rn, count(*) {ALL} AS n, CASE WHEN lag(net_return) {SER} * net_return < 0 THEN 1.0 ELSE 0.0 END AS fl FROM bt)",
          f"sl AS (SELECT symbol, avg(sh) AS cp FROM (SELECT symbol, rn // (n // 5) AS k, {sharpe('net_return')} AS sh FROM x WHERE rn // (n // 5) < 5 GROUP BY 1, 2) GROUP BY symbol)",
          f"c3 AS (SELECT symbol, {sharpe('r')} AS s3 FROM (SELECT symbol, net_return - fl * 0.009 AS r FROM x) GROUP BY symbol)", "r2 AS (SELECT symbol, regr_r2(equity, rn) AS r2 FROM x GROUP BY symbol)",
-         f"gg AS (SELECT t3.symbol, CAST({s_cdf('(sr - sqrt(2 * ln(10.0)) / sqrt(n)) * sqrt(n - 1)')} >= 0.95 AS INT) + CAST(cp > 0 AS INT) + 1 + CAST(s3 >= 0.3 AS INT) + CAST(t_stat >= 3 AS INT) + CAST(n / 252.0 >= trl AS INT) + CAST(r2 >= 0.3 AS INT) + CAST(sr > 0 AS INT) AS np FROM t3 JOIN sl USING (symbol) JOIN c3 USING (symbol) JOIN r2 USING (symbol))"]
+         f"fs AS (SELECT symbol, (rn - 147) // 21 AS fold, {sharpe('net_return')} AS s FROM x WHERE rn >= 147 AND (rn - 147) // 21 <= (n - 168) // 21 AND (n - 168) // 21 >= 4 GROUP BY 1, 2)",
+         "fa AS (SELECT symbol, avg(s) AS fm, avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS fp, CASE WHEN count(s) < 2 THEN 0 WHEN abs(avg(s)) < 1e-9 THEN 1 ELSE stddev_samp(s) / abs(avg(s)) END AS cv FROM fs GROUP BY symbol)",
+         f"gg AS (SELECT t3.symbol, CAST({s_cdf('(sr - sqrt(2 * ln(10.0)) / sqrt(n)) * sqrt(n - 1)')} >= 0.95 AS INT) + CAST(coalesce(fm, cp) > 0 AS INT) + CAST(coalesce(cv, 0) < 0.5 AS INT) + CAST(s3 >= 0.3 AS INT) + CAST(t_stat >= 3 AS INT) + CAST(n / 252.0 >= trl AS INT) + CAST(r2 >= 0.3 AS INT) + CAST(coalesce(fp, CASE WHEN sr > 0 THEN 1.0 ELSE 0.0 END) >= 0.6 AS INT) AS np FROM t3 LEFT JOIN fa USING (symbol) JOIN sl USING (symbol) JOIN c3 USING (symbol) JOIN r2 USING (symbol))"]
 
 
 @query("STAT-18", with_(GATE8, "SELECT symbol, np AS n_passed, CASE WHEN np >= 5 THEN 1 ELSE 0 END AS overall_pass FROM gg"))
 def stat18(spark, sf):
-    return sg.robustness_gates(reversal_run(spark, sf), ("symbol",)).select("symbol", "n_passed", "overall_pass")
+    """All eight gates; the fold gates read the run's Sharpe in the test part of every walk-forward fold."""
+    r = reversal_run(spark, sf)
+    parts = sp.assign_bar_folds(r, sp.bar_folds(r)).where("split = 'test'")
+    return sg.robustness_gates(r, ("symbol",), parts.groupBy("symbol", "fold").agg(mt.sharpe("net_return").alias("sharpe"))).select("symbol", "n_passed", "overall_pass")
 
 
 # risk ------------------------------------------------------------------------------------------
