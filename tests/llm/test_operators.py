@@ -92,6 +92,26 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_stage_links_by_shingles_alone(spark):
+    """Isolated pairs on both sides of 0.8: nothing but their shingle sets decides."""
+    rows, r = [], random.Random(8)
+    for g in range(150):
+        base = prose(5000 + g, 200).split()
+        rows.append((g * 10, " ".join(base)))
+        for k, edits in ((1, 4), (2, 5), (3, 8)):
+            c = list(base)
+            for at in r.sample(range(3, 197), edits) if g % 2 else range(10, 10 + 6 * edits, 6):
+                c[at] = f"edit{g}x{at}x{k}"
+            if g % 3 == k - 1:
+                rows.append((g * 10 + k, " ".join(c)))
+    shingles = {i: (lambda w: {tuple(w[j:j + 5]) for j in range(len(w) - 4)})(t.split()) for i, t in rows}
+    like = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    want = {i for i, _ in rows} - {i for i, _ in rows if i % 10 and like(i, i // 10 * 10) >= 0.8}
+    gone = len(rows) - len(want)
+    assert 30 < gone < 150 - 30                                                              # both sides of the bound are there
+    assert {x.doc_id for x in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+
+
 def test_stage_keeps_one_of_each_group(spark, odd, nothing):
     r = random.Random(3)
     rows = []

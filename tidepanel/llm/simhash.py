@@ -277,13 +277,15 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 5, parts: int = 4, max_bits: int = 45) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs without those that have an earlier near copy: one row of every group stays, the one with the least doc_id.
 
-    256 bits and at most 45 differing ones stand for five-word shingle sets of similarity 0.8 and more. Of repeated rows with one
-    doc_id one stays; rows without doc_id stay, as nothing can name them. Columns and their names are not changed.
+    Near copies have ``least`` or more of their n-word shingles in common, which is counted on the shingles of every candidate pair. Of
+    repeated rows with one doc_id one stays; rows without doc_id stay, as nothing can name them. Columns and their names are not changed.
     """
-    found = near_duplicates(docs, n, parts, max_bits)
+    from .jaccard import similar_groups
+
+    found = similar_groups(docs, n, least)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
     kept = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi")
     return kept.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
