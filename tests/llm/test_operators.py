@@ -208,6 +208,24 @@ def test_surrogates(spark, odd, nothing):
     assert out.count() == odd.count() and out.where("doc_id = 4 and text is null and n_entities = 0").count() == 1 and pii.replaced(nothing).count() == 0
 
 
+def test_secrets_in_any_spelling():
+    hexa = "9233a8ec" * 5
+    spelt = [f'TOKEN = "{hexa.upper()}"', f"x {hexa} y", "API_KEY: Abc-12", "Password: hunter2", "secret = 'two words'", "pay 3782 822463 10005 now", 'password="ab"cd', "token: 4111 1111 1111 1111"]
+    got = [[(t[a:b], k) for a, b, k, _ in pii.entities(t)] for t in spelt]
+    assert got == [[(hexa.upper(), "secret")], [(hexa, "secret")], [("Abc-12", "secret")], [("hunter2", "secret")], [("two words", "secret")], [("3782 822463 10005", "card")], [('"ab"cd', "secret")],
+                   [("4111 1111 1111 1111", "card")]]
+    assert [e[3] for e in pii.entities(f'token="{hexa}"!! token={hexa}## token: ***')] == [hexa, hexa, "***"]
+    assert pii.entities(spelt[0])[0][3] == pii.entities(spelt[1])[0][3] == hexa and pii.dressed(hexa.upper(), "secret", "ab" * 20) == "AB" * 20
+
+
+def test_every_secret_finds_a_free_surrogate(spark):
+    t = [f"password={d}" for d in range(10)] + ["password=***", "password=пароль", "token=--"]
+    reg = pii.register(spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string")).collect()
+    real = {r.value for r in reg}
+    assert len(reg) == len(t) == len({r.surrogate for r in reg}) and not real & {r.surrogate for r in reg}
+    assert not set("пароль") & set(next(r.surrogate for r in reg if r.value == "пароль"))
+
+
 def test_surrogates_beyond_the_broadcast_bound(spark, monkeypatch):
     many = spark.createDataFrame([(i, f"Herr Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(100)], "doc_id bigint, text string")
     want = {tuple(r)[:2] for r in pii.replaced(many).select("doc_id", "text").collect()}

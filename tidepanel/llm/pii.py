@@ -15,11 +15,11 @@ KEY = "change me"
 #: What each kind of entity looks like. Earlier kinds win where two overlap at one place.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b|(?<=password=)\S+|(?<=passwd=)\S+|(?<=token=)\S+|(?<![0-9A-Fa-f])[0-9a-f]{40}(?![0-9A-Fa-f])",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b|(?<![0-9A-Fa-f])[0-9A-Fa-f]{40}(?![0-9A-Fa-f])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d-])",
+    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
 }
 #: Given names and family names by script; the first list of given names is female, the second male.
@@ -33,11 +33,16 @@ NAMES = {
 HONORIFIC = {"Mrs": "f", "Ms": "f", "Mme": "f", "Frau": "f", "Mr": "m", "Herr": "m"}
 
 
+HEX = re.compile(r"[0-9A-Fa-f]{40}")
 FOUND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in KINDS.items()))
+#: What stands before a secret, whatever its case.
+SECRET_WORDS = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|auth)[ _-]?key)"
+#: a secret is what follows such a word and a sign, with blanks and quotes or without
+KEYED = re.compile(SECRET_WORDS + r"""["']?[ \t]*[:=][ \t]*(?:"([^"\n]+)"(?=[^\w\s]*(?:\s|$))|'([^'\n]+)'(?=[^\w\s]*(?:\s|$))|(\S+))""")
 #: persons are found by a title, which gives the gender
 TITLED = re.compile(r"\b(Mrs|Ms|Mme|Frau|Mr|Herr)\.? ([^\W\d_]\w+(?: [^\W\d_]\w+)?)")
 #: a text without any of these holds none of the entities, so the slower patterns need not look
-HINT = re.compile(r"[@\d]|AKIA|gh[pousr]_|sk-|password=|passwd=|token=|\b(?:Mrs|Ms|Mme|Frau|Mr|Herr)\b")
+HINT = re.compile(r"[@\d]|AKIA|gh[pousr]_|sk-|" + SECRET_WORDS + r"|\b(?:Mrs|Ms|Mme|Frau|Mr|Herr)\b")
 
 
 def canonical(kind: str, raw: str) -> str:
@@ -46,7 +51,22 @@ def canonical(kind: str, raw: str) -> str:
         return raw.lower()
     if kind in ("card", "phone", "iban", "ssn"):
         return re.sub(r"[^0-9A-Za-z+]", "", raw)
-    return raw
+    return raw.lower() if HEX.fullmatch(raw) else raw
+
+
+def _keyed(t: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found and the secrets behind a word such as password. An entity that begins with such a value, or goes on behind it, stays."""
+    for m in KEYED.finditer(t):
+        start, stop = m.span(m.lastindex)
+        over = [e for e in found if e[0] < stop and start < e[1]]
+        if any(not re.search(r"\w", t[start:max(start, e[0])] + t[min(stop, e[1]):stop]) for e in over):      # but for signs, an entity already
+            continue
+        stay = [e for e in over if e[0] < start or e[1] > stop]
+        start = max([start, *(e[1] for e in stay if e[0] <= start)])
+        stop = min([stop, *(e[0] for e in stay if e[0] > start)])
+        if start < stop:
+            found = [e for e in found if e not in over or e in stay] + [(start, stop, "secret", canonical("secret", t[start:stop]))]
+    return found
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -55,6 +75,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if not HINT.search(t):
         return []
     out = [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m.group())) for m in FOUND.finditer(t)]
+    out = _keyed(t, out)
     for m in TITLED.finditer(t):
         if m.group(2)[0].isupper():
             words = m.group(2).split()
@@ -86,6 +107,10 @@ class _Stream:
             return chr(65 + self.below(26))
         return c
 
+    def more(self, attempt: int) -> str:
+        """Letters that make later draws longer, so that short values do not run out of free ones."""
+        return "".join(self.like("a") for _ in range(attempt // 2))
+
 
 def luhn(digits: str) -> str:
     """The check digit that completes a card number."""
@@ -99,7 +124,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     s = _Stream(key, kind, value, attempt)
     if kind == "email":
         local, host = value.rsplit("@", 1)
-        return "".join(map(s.like, local)) + "@" + "".join(map(s.like, host.rsplit(".", 1)[0].split(".")[0])) + ".example.org"
+        return "".join(map(s.like, local)) + s.more(attempt) + "@" + "".join(map(s.like, host.rsplit(".", 1)[0].split(".")[0])) + ".example.org"
     if kind == "ip":
         return ".".join(str(x) for x in (1 + s.below(223), s.below(256), s.below(256), s.below(256)))
     if kind == "card":
@@ -113,7 +138,9 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     if kind == "secret":
         lead = next((len(p) for p in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-") if value.startswith(p)), 0)
         hexa = not lead and re.fullmatch(r"[0-9a-f]+", value)
-        return value[:lead] + "".join("0123456789abcdef"[s.below(16)] if hexa else s.like(c) for c in value[lead:])
+        signs = not any(c.isalnum() for c in value[lead:])      # nothing but signs: letters, as signs alone would stay as they are
+        like = lambda c: "0123456789abcdef"[s.below(16)] if hexa else s.like("a" if signs or not c.isascii() else c)
+        return value[:lead] + "".join(map(like, value[lead:])) + s.more(attempt)
     if kind.startswith("person"):
         script = "cyrillic" if re.search(r"[\u0400-\u04ff]", value) else "latin"
         women, men, family = NAMES[script]
@@ -127,11 +154,11 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
 
 
 def dressed(raw: str, kind: str, new: str) -> str:
-    """The replacement in the spelling of the place: its separators and, for mail, its case."""
+    """The replacement in the spelling of the place: its separators and, for mail and hexadecimal secrets, its case."""
     if kind in ("card", "phone", "iban", "ssn"):
         chars = iter(new)
         return "".join(next(chars, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in raw) + "".join(chars)
-    return new.upper() if kind == "email" and raw.isupper() else new
+    return new.upper() if raw.isupper() and (kind == "email" or HEX.fullmatch(raw)) else new
 
 
 def register(docs: DataFrame, key: str = KEY) -> DataFrame:
