@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import labels as lb, regime as rg, sequential as sq
+from tidepanel.operators import fractional as fr, labels as lb, regime as rg, sequential as sq
 
 
 def rets(pdf):
@@ -115,5 +115,46 @@ def test_minimum_holding(spark):
 
 
 def test_fractional_difference_of_order_one_is_the_change(panel):
-    d = panel.withColumn("f", rg.fracdiff("close", 1.0)).toPandas().sort_values(["symbol", "ts"])
+    d = panel.withColumn("f", fr.fracdiff("close", 1.0)).toPandas().sort_values(["symbol", "ts"])
     assert np.allclose(d["f"].astype(float), d.groupby("symbol")["close"].diff(), equal_nan=True)
+
+
+def adf_t(y):
+    """t value of y1 in dy = a + b y1 + c dy1 by least squares."""
+    dy = np.diff(y)
+    x = np.column_stack([np.ones(len(dy) - 1), y[1:-1], dy[:-1]])
+    b, *_ = np.linalg.lstsq(x, dy[1:], rcond=None)
+    e = dy[1:] - x @ b
+    return b[1] / np.sqrt(e @ e / (len(e) - 3) * np.linalg.inv(x.T @ x)[1, 1])
+
+
+def least_order(v, low, high=1.0, tolerance=0.01, threshold=1e-4):
+    def passes(d):
+        w = fr.frac_weights(d, threshold)
+        y = np.array([w @ v[t - len(w) + 1:t + 1] for t in range(len(w) - 1, len(v))])
+        return len(y) >= 20 and adf_t(y) < -2.86
+    if passes(low):
+        return low
+    if not passes(high):
+        return high
+    while high - low >= tolerance:
+        mid = (low + high) / 2
+        low, high = (low, mid) if passes(mid) else (mid, high)
+    return round(high, 3)
+
+
+def test_least_order_equals_a_loop_whatever_the_blocks(spark):
+    rng = np.random.default_rng(4)
+    made = {"NOISE": rng.normal(0, 1, 900) + 50, "WALK": np.cumsum(rng.normal(0, 1, 1500)) + 1e4, "TREND": np.cumsum(np.cumsum(rng.normal(0, 1, 900))), "SHORT": rng.normal(0, 1, 12), "WALK2": np.cumsum(rng.normal(0, 1, 700))}
+    pdf = pd.concat([pd.DataFrame({"symbol": s, "ts": pd.date_range("2020-01-01", periods=len(v)), "close": v}) for s, v in made.items()])
+    df = spark.createDataFrame(pdf, "symbol string, ts timestamp_ntz, close double")
+    gap = spark.createDataFrame([("WALK", None, float("nan")), ("WALK", None, None)], df.schema).withColumn("ts", F.lit("2021-01-01 12:00:00").cast("timestamp_ntz"))
+    for rows in (512, 4096):
+        got = {r.symbol: r.optimal_d for r in fr.least_orders(df.union(gap), low=0.1, rows=rows).collect()}
+        want = {s: least_order(v, 0.1) for s, v in made.items()}
+        assert got == want and 0.1 < got["WALK"] < 1.0
+    out = fr.fracdiff_by_symbol(df, spark.createDataFrame([("WALK", 0.4), ("SHORT", 0.4)], "symbol string, optimal_d double"), rows=512).toPandas().sort_values(["symbol", "ts"])
+    w = fr.frac_weights(0.4, 1e-4)
+    y = np.array([w @ made["WALK"][t - len(w) + 1:t + 1] for t in range(len(w) - 1, 1500)])
+    x = out[out.symbol == "WALK"]["close_fd"].to_numpy(float)
+    assert np.isnan(x[:len(w) - 1]).all() and np.allclose(x[len(w) - 1:], y) and out[out.symbol == "SHORT"]["close_fd"].isna().all()

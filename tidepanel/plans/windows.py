@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal, scale
 from ..functions.windows import Series, clip, ewm, flag, nz, pct_rank, quantile_of
-from ..operators import backtest as bk, features as feats, labels as lb, ranking as rk, regime as rg, sequential as sq
+from ..operators import backtest as bk, features as feats, fractional as fr, labels as lb, ranking as rk, regime as rg, sequential as sq
 from ..sources.tables import bars, events, table
 from .common import signals, stock_run
 from .performance import BT, FEAT, PROBA, THRESH, feature_frame, scored, with_regime
@@ -50,8 +50,15 @@ win("WIN-13", [{"x": f"row_number() {SER} - 1", "y": f"close / first_value(close
 win("WIN-14", [{"r": pct("close")}, {"d": "CASE WHEN r IS NOT NULL THEN least(r, 0) END", "u": "CASE WHEN r IS NOT NULL THEN greatest(r, 0) END"}, {"dn": std("d", 21, 10), "up": std("u", 21, 10)}], ["dn", "up"],
     lambda b, p: b.withColumn("r", p.pct("close")).withColumns({"dn": p.std(clip("r", hi=0.0), 21, 10), "up": p.std(clip("r", lo=0.0), 21, 10)}), digits=9)
 win("WIN-15", [{"m": quant("close", 64, 0.5, 1)}], ["m"], lambda b, p: b.withColumn("_a", p.sorted_frame("close", 64)).withColumn("m", quantile_of("_a", 0.5, 1)), digits=9)
-_W = rg.frac_weights(0.4, 1e-2)
-win("WIN-16", [{"f": " + ".join(f"{w!r} * {lag('close', i) if i else 'close'}" for i, w in enumerate(reversed(_W)))}], ["f"], lambda b, p: b.withColumn("f", rg.fracdiff("close", 0.4, 1e-2, p)))
+
+
+def fd_sql(x, d, thr):
+    """Fractional difference: the trailing list times the literal weights."""
+    w = [float(v) for v in fr.frac_weights(d, thr)]
+    return f"CASE WHEN count({x}) {last(len(w))} = {len(w)} THEN list_dot_product(list({x}) {last(len(w))}, {w}::DOUBLE[]) END"
+
+
+win("WIN-16", [{"f": fd_sql("close", 0.4, 1e-3)}], ["f"], lambda b, p: b.withColumn("f", fr.fracdiff("close", 0.4, 1e-3, p)))
 
 
 @query("WIN-11", with_(SIG + stack("sig", [{"c": f"CASE WHEN signal IS DISTINCT FROM {lag('signal')} THEN 1 ELSE 0 END"}, {"isl": f"sum(c) {PAST}"}], "x"),
@@ -268,28 +275,58 @@ def reg8b(spark, sf):
     return rg.confirm(rg.multi_timeframe(bars(spark, sf)), 1)
 
 
-def fd_sql(x, d, thr):
-    return " + ".join(f"{w!r} * {lag(x, i) if i else x}" for i, w in enumerate(reversed(rg.frac_weights(d, thr))))
+OH = ["open", "high", "low", "close"]
+win("REG-9", [{f"{c}_fd": fd_sql(c, 0.5, 1e-4) for c in OH}], [f"{c}_fd" for c in OH], lambda b, p: fr.fracdiff_columns(b, 0.5, threshold=1e-4))
+win("FEA-65", [{"close_fd": fd_sql("close", 0.4, 1e-3)}], ["close_fd"], lambda b, p: fr.fracdiff_columns(b, 0.4, ("close",), 1e-3))
 
+# the weights of order d by the gamma function, newest first, and the differences of a whole series
+_FDW = "CASE WHEN d = 0 THEN [1.0] WHEN d = 1 THEN [1.0, -1.0] ELSE list_concat([1.0], list_filter(list_transform(range(1, 1200), lambda k: -d * exp(lgamma(k - d) - lgamma(1 - d) - lgamma(k + 1))), lambda w: w <= -1e-4)) END"
+_FDY = "list_transform(range(len(w), len(v) + 1), lambda t: list_dot_product(v[t - len(w) + 1:t], list_reverse(w)))"
 
-OH = ["open", "high", "low", "close"]
-win("REG-9", [{f"{c}_fd": fd_sql(c, 0.5, 5e-3) for c in OH}], [f"{c}_fd" for c in OH], lambda b, p: rg.fracdiff_columns(b, 0.5, threshold=5e-3))
-win("FEA-65", [{"close_fd": fd_sql("close", 0.4, 1e-3)}], ["close_fd"], lambda b, p: rg.fracdiff_columns(b, 0.4, ("close",), 1e-3))
 
-GRID = (0.1, 0.4, 0.7, 1.0)
-ADF = [BARS, *stack("bars", [{f"y{i}": fd_sql("close", g, 1e-2) for i, g in enumerate(GRID)}], "yy"),
-       "lg AS (" + " UNION ALL ".join(f"SELECT symbol, ts, {g}::DOUBLE AS d, y{i} AS y FROM yy" for i, g in enumerate(GRID)) + ")",
-       "l2 AS (SELECT symbol, d, ts, y, lag(y) OVER w AS y1, y - lag(y) OVER w AS dy FROM lg WINDOW w AS (PARTITION BY symbol, d ORDER BY ts))",
-       "l3 AS (SELECT *, lag(dy) OVER (PARTITION BY symbol, d ORDER BY ts) AS dy1 FROM l2)",
-       """s AS (SELECT symbol, d, count(*) AS n, regr_sxx(dy, y1) AS s11, regr_syy(dy1, y1) AS s22, regr_sxy(dy1, y1) AS s12, regr_sxy(dy, y1) AS s1y, regr_sxy(dy, dy1) AS s2y, regr_syy(dy, y1) AS syy
-        FROM l3 WHERE y1 IS NOT NULL AND dy IS NOT NULL AND dy1 IS NOT NULL GROUP BY symbol, d)""",
-       "b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS c1 FROM s)",
-       "t AS (SELECT *, b1 / sqrt((syy - b1 * s1y - c1 * s2y) / (n - 3) * s22 / (s11 * s22 - s12 * s12)) AS t FROM b)"]
+# prices per bar are stationary noise; their running sum about the mean is a walk, whose order has to be sought
+WALK = [BARS, f"mn AS (SELECT *, avg(close) {ALL} AS mu FROM bars)", f"wk AS (SELECT symbol, ts, sum(close - mu) {PAST} AS walk FROM mn)"]
 
 
-@query("REG-10", with_(ADF, "SELECT symbol, coalesce(min(CASE WHEN n >= 18 AND t < -2.86 THEN d END), 1.0) AS optimal_d, round(arg_max(t, d), 5) AS t_stat_last FROM t GROUP BY symbol"))
+def walk(spark, sf):
+    p = Series()
+    return bars(spark, sf).withColumn("walk", C("close") - F.avg("close").over(p.whole)).withColumn("walk", F.sum("walk").over(p.past))
+
+
+def bisected(x: str, source: str, low: float, high: float, tolerance: float) -> list[str]:
+    """One common table a step: order to try, its differences, the regression by symbol, the new bracket. The last is named ``orders``."""
+    steps = math.ceil(math.log2((high - low) / tolerance))
+    out = [f"sv AS (SELECT symbol, list({x} ORDER BY ts)::DOUBLE[] AS v FROM {source} WHERE {x} IS NOT NULL GROUP BY symbol)", f"st0 AS (SELECT symbol, {low}::DOUBLE AS lo, {high}::DOUBLE AS hi, NULL::DOUBLE AS found FROM sv)"]
+    for k in range(steps + 2):
+        at = ("lo", "hi")[k] if k < 2 else "(lo + hi) / 2"
+        new = {0: "lo, hi, CASE WHEN ok THEN lo END AS found", 1: "lo, hi, coalesce(found, CASE WHEN NOT ok THEN hi END) AS found"}.get(k, "CASE WHEN found IS NULL AND NOT ok THEN d ELSE lo END AS lo, CASE WHEN found IS NULL AND ok THEN d ELSE hi END AS hi, found")
+        out += [f"dd{k} AS (SELECT *, {_FDW} AS w FROM (SELECT symbol, v, {at} AS d FROM st{k} JOIN sv USING (symbol)))",
+                f"yy{k} AS (SELECT symbol, unnest({_FDY}) AS y, unnest(range(len(w), len(v) + 1)) AS t FROM dd{k})",
+                f"l1{k} AS (SELECT symbol, t, y - lag(y) OVER w AS dy, lag(y) OVER w AS y1 FROM yy{k} WINDOW w AS (PARTITION BY symbol ORDER BY t))",
+                f"l2{k} AS (SELECT *, lag(dy) OVER (PARTITION BY symbol ORDER BY t) AS dy1 FROM l1{k})",
+                f"""sm{k} AS (SELECT symbol, count(*) AS n, regr_sxx(dy, y1) AS s11, regr_syy(dy1, y1) AS s22, regr_sxy(dy1, y1) AS s12, regr_sxy(dy, y1) AS s1y, regr_sxy(dy, dy1) AS s2y, regr_syy(dy, y1) AS syy
+                 FROM l2{k} WHERE dy1 IS NOT NULL GROUP BY symbol)""",
+                f"ts{k} AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS c1 FROM sm{k} WHERE n >= 18)",
+                f"st{k + 1} AS MATERIALIZED (SELECT symbol, {new} FROM (SELECT st{k}.*, {at} AS d, coalesce(b1 / sqrt((syy - b1 * s1y - c1 * s2y) / (n - 3) * s22 / (s11 * s22 - s12 * s12)) < -2.86, false) AS ok FROM st{k} LEFT JOIN ts{k} USING (symbol)))"]
+    return [*out, f"orders AS (SELECT symbol, round(coalesce(found, hi), 3) AS optimal_d FROM st{steps + 2})"]
+
+
+@query("REG-10", with_([*WALK, *bisected("walk", "wk", 0.0, 1.0, 0.01)], "SELECT symbol, optimal_d FROM orders"))
 def reg10(spark, sf):
-    return rounded(rg.optimal_d(bars(spark, sf), GRID, 1e-2), 5)
+    return fr.least_orders(walk(spark, sf), "walk")
+
+
+@query("REG-10b", with_([BARS, *bisected("close", "bars", 0.0, 1.0, 0.01)], "SELECT symbol, optimal_d FROM orders"))
+def reg10b(spark, sf):
+    return fr.least_orders(bars(spark, sf))
+
+
+@query("REG-9b", with_([*WALK, *bisected("walk", "wk", 0.1, 1.0, 0.01), f"dw AS (SELECT *, {_FDW} AS w FROM (SELECT symbol, optimal_d AS d, v FROM orders JOIN sv USING (symbol)))", f"fd AS (SELECT symbol, unnest({_FDY}) AS y, unnest(range(len(w), len(v) + 1)) AS t FROM dw)"],
+                       "SELECT symbol, ts, round(y + 1.7e-08, 5) + 0.0 AS walk_fd FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS t FROM wk) LEFT JOIN fd USING (symbol, t)"))
+def reg9b(spark, sf):
+    """Each symbol at its own least order, sought between 0.1 and 1."""
+    d = walk(spark, sf)
+    return rounded(fr.fracdiff_by_symbol(d, fr.least_orders(d, "walk", low=0.1), "walk"), 5)
 
 
 @query("REG-11", """WITH m AS (SELECT o_orderdate AS ts, avg(o_totalprice) / 5e6 AS cpi, stddev_samp(o_totalprice) / 5e6 AS growth FROM orders GROUP BY 1)
