@@ -278,14 +278,20 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs without those that have an earlier near copy: one row of every group stays, the one with the least doc_id.
+    """The rows of docs without those that have an earlier near copy: one row of every group stays, the one with the least doc_id (and of
+    several texts under that id, the one with the least hash).
 
-    Near copies have ``least`` or more of their n-word shingles in common, which is counted on the shingles of every candidate pair. Of
-    repeated rows with one doc_id one stays; rows without doc_id stay, as nothing can name them. Columns and their names are not changed.
+    Near copies have ``least`` or more of their n-word shingles in common, which is counted on the shingles of every candidate pair.
+    Different texts under one doc_id are decided apart. Of rows equal in doc_id and text one stays; rows without doc_id stay, as nothing
+    can name them. Columns and their names are not changed.
     """
     from .jaccard import similar_groups
 
-    found = similar_groups(docs, n, least)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    found = keep(similar_groups(docs, n, least).where("doc_id IS NOT NULL"))
+    best = found.groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.*")
+    stay = found.groupBy("doc_id", "mark").agg((F.count("*") > 1).alias("__again")).join(best, ["doc_id", "mark"])
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__again")
+    # only rows that repeat meet once more
+    kept = docs.join(stay, (docs["doc_id"].cast("bigint") == stay["__id"]) & (F.xxhash64(docs["text"].cast("string")) == stay["__mark"]))
+    once, again = kept.where("NOT __again"), kept.where("__again").dropDuplicates(["__id", "__mark"])
+    return once.union(again).drop("__id", "__mark", "__again").union(docs.where(F.col("doc_id").isNull()))

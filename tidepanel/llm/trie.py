@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import keep, table
 
-#: a node with more members than this is settled after the shards; its lighter children are shard roots
-HEAVY = 10_000
+#: a node with more members than this, or than one in SHARDS of all conversations, is settled after the shards; its lighter children are
+#: shard roots. There are at most (rows / HEAVY) + (SHARDS x turns of a conversation) such nodes
+HEAVY, SHARDS = 10_000, 256
 #: messages that a queue holds in memory; more are written to sorted runs in the task's own scratch space
 QUEUE = 200_000
 
@@ -126,7 +127,7 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", place.alias("i"), "role", "text")
 
 
-def prefix_trie(turns: DataFrame, members: DataFrame, heavy: int = HEAVY, queue: int = QUEUE) -> DataFrame:
+def prefix_trie(turns: DataFrame, members: DataFrame, heavy: int | None = None, queue: int = QUEUE) -> DataFrame:
     """One row per node of the trie of turn sequences: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256.
 
@@ -134,8 +135,8 @@ def prefix_trie(turns: DataFrame, members: DataFrame, heavy: int = HEAVY, queue:
     without a turn included; they are members of the root (depth 0) only. No conversation at all gives no node.
 
     A prefix is named by two exclusive ors of 64-bit hashes of (place, role, text), a running aggregate; equal names at one depth are one
-    node. Members are counted by partial sums. A node with more than ``heavy`` members is heavy; there are at most rows / heavy of them.
-    Every other node lies in the shard of its topmost ancestor that is not heavy. Each shard is one sorted stream; the totals of shard
+    node. Members are counted by partial sums. A node with more than ``heavy`` members is heavy (default: see HEAVY); there are at most rows / heavy of
+    them, so a first turn that many conversations share is cut into many shards. Every other node lies in the shard of its topmost ancestor that is not heavy. Each shard is one sorted stream; the totals of shard
     roots are then summed per heavy parent, and the heavy nodes are one more stream.
     """
     # one row per turn: the names of the prefix that ends with it and of the prefix before
@@ -152,6 +153,9 @@ def prefix_trie(turns: DataFrame, members: DataFrame, heavy: int = HEAVY, queue:
     zero = F.lit(0).cast("bigint")
     root = top.select(F.lit(0).alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id", "n_convs", zero.alias("bytes"), zero.alias("p1"), zero.alias("p2"))
     nodes = keep(nodes.unionByName(root))
+    if heavy is None:
+        everyone = nodes.where("depth = 0").select("n_convs").first()
+        heavy = min(HEAVY, -(-everyone[0] // SHARDS)) if everyone else HEAVY
     big = keep(nodes.where((F.col("n_convs") > heavy) | (F.col("depth") == 0)))
     # a conversation's heavy prefixes are its first ones; the next is its shard root
     deep = rows.join(big.select(*key), key).groupBy("conv_id").agg(F.max("depth").alias("heavy"))
