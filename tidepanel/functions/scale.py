@@ -118,14 +118,19 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, qs: list[float]
     side = side.select(*group, "_n", F.explode("_s").alias("_s")).select(*group, "_n", "_s.*")
     hits = F.array_compact(F.array(*[F.when((v >= at("_lo", i)) & (v <= at("_hi", i)), F.lit(i)) for i in m]))
     ins = j.select(*group, "_v", F.explode(hits).alias("i")).groupBy(*group, "i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return from_brackets(ins, side, group, qs)
+
+
+def from_brackets(ins: DataFrame, side: DataFrame, group: list[str], qs: list[float]) -> DataFrame:
+    """Quantiles from the values inside each bracket (group.., i, _v, _c times) and what lies beside it (group.., i, _n, below, prev, next)."""
     w = Window.partitionBy(*group, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ins = ins.withColumn("_run", F.sum("_c").over(w))
     ins = ins.join(side, [*group, "i"]).withColumn("_cum", F.col("below") + F.col("_run"))
-    q = at(F.array(*[F.lit(float(x)) for x in qs]), 0) if len(qs) == 1 else F.get(F.array(*[F.lit(float(x)) for x in qs]), F.col("i"))
+    q = F.get(F.lit([float(x) for x in qs]), F.col("i"))
     ins = ins.withColumn("q", q).withColumn("_pos", F.col("q") * (F.col("_n") - 1))
     ins = ins.withColumns({"_k": F.floor("_pos"), "_k2": F.least(F.floor("_pos") + 1, F.col("_n") - 1)})
     def stat(k):
-        inside = F.min(F.when(F.col("_cum") > F.col(k), v))
+        inside = F.min(F.when(F.col("_cum") > F.col(k), F.col("_v")))
         return F.when(F.max(F.col(k)) < F.max("below"), F.max("prev")).otherwise(F.coalesce(inside, F.max("next")))
     out = ins.groupBy(*group, "i", "q").agg(
         stat("_k").alias("_a"), stat("_k2").alias("_b"), F.max(F.col("_pos") - F.col("_k")).alias("_f"),

@@ -5,7 +5,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.windows import Series, col, corr_agg, flag, nz
+from ..functions import wide
+from ..functions.windows import Series, col, flag, nz
 
 C = F.col
 
@@ -173,12 +174,8 @@ def buy_and_hold(bars: DataFrame, keys=("symbol",)) -> DataFrame:
 
 
 def information_coefficient(df: DataFrame, features: list[str], target: str = "fwd_return", keys=()) -> DataFrame:
-    """Correlation of each feature with the forward return, as rows; features are unpivoted before the
-    aggregation, so partial sums are combined map-side and one pass serves all of them."""
-    long = df.select(*keys, target, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), C(f).cast("double").alias("value")) for f in features])).alias("_f"))
-    long = long.select(*keys, target, "_f.feature", "_f.value")
-    return long.groupBy(*keys, "feature").agg(corr_agg("value", target).alias("ic"))
+    """Correlation of each feature with the forward return, as rows (keys.., feature, ic); one pass over wide rows serves all of them."""
+    return wide.correlations(df, features, target, list(keys)).select(*keys, "feature", C("corr").alias("ic"))
 
 
 def regression_metrics(df: DataFrame, keys, y: str, yhat: str) -> DataFrame:

@@ -2,9 +2,6 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,10 +9,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import wide
 from ..functions.scale import exact_quantiles, with_row
 from ..functions.windows import Series, clip, col, nz
-from ..session import cut_lineage
-from .drift import unpivot
 
 C = F.col
 
@@ -29,17 +25,14 @@ def time_blocks(df: DataFrame, blocks: int = 3, p: Series = Series()) -> DataFra
 
 
 def mutual_information(df: DataFrame, features: list[str], label: str, keys: list[str] | None = None, bins: int = 10) -> DataFrame:
-    """Binned mutual information (nats) of each feature with the label, per key.
+    """Binned mutual information (nats) of each feature with the 0/1 label, per key.
 
-    Bin edges are exact quantiles per (key, feature). What is shuffled is the contingency table, whose
-    size does not grow with the rows.
+    Bin edges are exact quantiles per (key, feature). What is shuffled is the contingency table, whose size does not grow with the rows.
     """
     keys = keys or []
-    long = unpivot(df.where(C(label).isNotNull()), [*keys, label], features).where("value IS NOT NULL")
-    qs = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(long, [*keys, "feature"], "value", qs).groupBy(*keys, "feature").agg(F.sort_array(F.collect_list("value")).alias("edges"))
-    d = long.join(F.broadcast(edges), [*keys, "feature"]).withColumn("bin", F.size(F.filter("edges", lambda e: e < C("value"))))
-    cnt = d.groupBy(*keys, "feature", "bin", label).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    d = df.where(C(label).isNotNull())
+    edges = wide.edges_of(wide.quantiles(d, features, [i / bins for i in range(1, bins)], keys), keys)
+    cnt = wide.contingency(d, features, edges, label, 2, keys).withColumn("n", C("n").cast("double"))
     w = Window.partitionBy(*keys, "feature")
     tot, nb, ny = F.sum("n").over(w), F.sum("n").over(w.partitionBy(*keys, "feature", "bin")), F.sum("n").over(w.partitionBy(*keys, "feature", label))
     cnt = cnt.withColumns({"_t": tot, "_b": nb, "_y": ny})
@@ -115,12 +108,13 @@ class FeatureSelector:
 # --- scaling and weights -----------------------------------------------------------------------
 
 def scaler_stats(df: DataFrame, features: list[str], regime: str | None = None, low: float = 0.01, high: float = 0.99, eps: float = 1e-8) -> DataFrame:
-    """feature[, regime], n, low, high, median, iqr. Quartiles are of the clipped values: clipping at the
+    """feature[, regime], n, lo, hi, median, iqr. Quartiles are of the clipped values: clipping at the
     1st and 99th percentile leaves the inner quartiles and the median where they are."""
     keys = ([regime] if regime else [])
-    long = unpivot(df, keys, features).where("value IS NOT NULL")
-    q = exact_quantiles(long, [*keys, "feature"], "value", [low, 0.25, 0.5, 0.75, high])
-    n = long.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"))
+    q = wide.quantiles(df, features, [low, 0.25, 0.5, 0.75, high], keys)
+    counts = [F.count(F.nanvl(C(f).cast("double"), F.lit(None).cast("double"))).alias(f) for f in features]
+    n = df.groupBy(*keys).agg(*counts) if keys else df.agg(*counts)
+    n = n.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), C(f).alias("n")) for f in features])).alias("_x")).select(*keys, "_x.*")
     def at(x):
         return F.max(F.when(F.abs(C("q") - x) < 1e-9, C("value")))
     s = q.groupBy(*keys, "feature").agg(at(low).alias("lo"), at(high).alias("hi"), at(0.5).alias("median"), (at(0.75) - at(0.25)).alias("_iqr"))
@@ -129,17 +123,22 @@ def scaler_stats(df: DataFrame, features: list[str], regime: str | None = None,
 
 def robust_scale(df: DataFrame, features: list[str], stats: DataFrame, regime_stats: DataFrame | None = None, regime: str = "regime",
                  min_regime_rows: int = 50) -> DataFrame:
-    """Long scaled rows (symbol, ts, feature, value): winsorised, centred on the median, divided by the
-    quartile range; the regime's own statistics where it has enough rows, else the global ones."""
-    keys = ["symbol", "ts"] + ([regime] if regime_stats is not None else [])
-    d = unpivot(df, keys, features).join(F.broadcast(stats.drop("n")), "feature")
-    pick = {c: C(c) for c in ("lo", "hi", "median", "iqr")}
+    """df with every feature winsorised, centred on the median and divided by the quartile range; the regime's own statistics where it has
+    enough rows, else the global ones. Statistics travel as one array per regime, so a row is neither turned nor shuffled."""
+    pick = ("lo", "hi", "median", "iqr")
+    packed = F.array(*[F.max(F.when(C("feature") == f, F.struct(*pick))) for f in features])
+    whole = stats.agg(packed.alias("_g"))
+    d = with_row(df, whole)
+    at = lambda i: F.get("_g", F.lit(i))
     if regime_stats is not None:
-        r = regime_stats.where(C("n") >= min_regime_rows).select(regime, "feature", *[C(c).alias(f"r_{c}") for c in pick])
-        d = d.join(F.broadcast(r), [regime, "feature"], "left")
-        pick = {c: F.coalesce(f"r_{c}", c) for c in pick}
-    v = F.when(C("value").isNotNull(), F.least(F.greatest("value", pick["lo"]), pick["hi"]))
-    return d.select("symbol", "ts", "feature", ((v - pick["median"]) / pick["iqr"]).alias("value"))
+        own = regime_stats.where(C("n") >= min_regime_rows).groupBy(regime).agg(packed.alias("_r"))
+        d = d.join(F.broadcast(own), regime, "left")
+        at = lambda i: F.coalesce(F.get("_r", F.lit(i)), F.get("_g", F.lit(i)))
+    out = {}
+    for i, f in enumerate(features):
+        v = F.nanvl(C(f).cast("double"), F.lit(None).cast("double"))
+        out[f] = F.when(v.isNotNull(), (F.least(F.greatest(v, at(i)["lo"]), at(i)["hi"]) - at(i)["median"]) / at(i)["iqr"])
+    return d.withColumns(out).drop("_g", "_r")
 
 
 def recency_weights(df: DataFrame, halflife: int = 63, cap: float = 4.6, p: Series = Series()) -> DataFrame:
@@ -189,30 +188,6 @@ def score_members(df: DataFrame, models: dict) -> DataFrame:
     return d.withColumn("member_p", F.array(*[C(f"p_{n}") for n in models]))
 
 
-def train_folds(df: DataFrame, features: list[str], folds: list, label: str = "label", size: int = 3, threads: int = 2, tail: float = 0.15,
-                seed: int = 42) -> DataFrame:
-    """Out-of-sample member scores of all folds: (symbol, ts, fold, fwd_return, label, member_p).
-
-    The folds are a short list of date ranges; each fit is a distributed Spark job, submitted from a
-    small pool of driver threads. The last 15 % of the training dates are the early-stopping slice.
-    """
-    base = cut_lineage(assemble(df.where(C(label).isNotNull()), features, label))
-
-    def one(f):
-        cut = f["train_start"] + (f["train_end"] - f["train_start"]) * (1.0 - tail)
-        tr = base.where(C("ts").between(F.lit(f["train_start"]), F.lit(f["train_end"])))
-        tr = tr.withColumn("is_val", C("ts") > F.lit(cut).cast("timestamp_ntz"))
-        if "weight" not in tr.columns:
-            tr = tr.withColumn("weight", F.lit(1.0))
-        te = base.where(C("ts").between(F.lit(f["test_start"]), F.lit(f["test_end"])))
-        models = fit_members(tr, members(size, seed))
-        return score_members(te, models).withColumn("fold", F.lit(int(f["fold"]))).select("symbol", "ts", "fold", "fwd_return", "label", "member_p", *features)
-
-    with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(one, folds))
-    return reduce(DataFrame.unionByName, parts)
-
-
 # --- scores ------------------------------------------------------------------------------------
 
 def array_quantile(arr, q: float) -> Column:
@@ -323,28 +298,43 @@ def stack(scores: DataFrame, size: int):
     return LogisticRegression(labelCol="label", featuresCol="features", maxIter=50).fit(v)
 
 
+def stacked(scores: DataFrame, model, size: int) -> DataFrame:
+    """Adds the probability that the linear model gives to the members' scores."""
+    d = scores.withColumns({f"m{i}": C("member_p")[i] for i in range(size)})
+    s = model.transform(VectorAssembler(inputCols=[f"m{i}" for i in range(size)], outputCol="features").transform(d))
+    return s.withColumn("stacked", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *[f"m{i}" for i in range(size)])
+
+
 # --- attribution -------------------------------------------------------------------------------
 
 def attribution(df: DataFrame, features: list[str], signal_col: str = "signal", importance: DataFrame | None = None) -> DataFrame:
-    """Long rows (symbol, ts, feature, value, importance, direction): distance from the feature's mean signed
-    by the signal, or tree importance signed the same way."""
-    base = df.agg(*[F.avg(f).alias(f"_b_{f}") for f in features])
+    """Adds contributions, an array of (feature, value, importance) of every row: distance from the feature's mean signed by the signal, or tree
+    importance signed the same way. Contributions below 1e-10 are left out; the rest are rounded to nine digits, so equal ones tie."""
+    base = df.agg(F.array(*[F.avg(F.nanvl(C(f).cast("double"), F.lit(None).cast("double"))) for f in features]).alias("_b"))
     d = with_row(df, base)
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), C(f).cast("double").alias("value"), (C(f) - C(f"_b_{f}")).alias("dev")) for f in features])
-    long = d.select("symbol", "ts", C(signal_col).alias("_s"), F.explode(arr).alias("x")).select("symbol", "ts", "_s", "x.*")
-    if importance is None:
-        imp = F.abs("dev") * F.signum(C("dev") * C("_s") + 1e-9)
-    else:
-        long = long.join(F.broadcast(importance), "feature").withColumnRenamed("importance", "_i")
-        imp = C("_i") * F.signum("dev") * F.signum("_s")
-    out = long.withColumn("importance", imp).where(F.abs("importance") >= 1e-10)
-    return out.select("symbol", "ts", "feature", "value", "importance", F.when(C("importance") > 0, "bullish").otherwise("bearish").alias("direction"))
+    if importance is not None:
+        d = with_row(d, importance.agg(F.array(*[F.max(F.when(C("feature") == f, C("importance"))) for f in features]).alias("_i")))
+    parts = []
+    for i, f in enumerate(features):
+        v = F.nanvl(C(f).cast("double"), F.lit(None).cast("double"))
+        dev = v - F.get("_b", F.lit(i))
+        imp = F.abs(dev) * F.signum(dev * C(signal_col) + 1e-9) if importance is None else F.get("_i", F.lit(i)) * F.signum(dev) * F.signum(signal_col)
+        parts.append(F.struct(F.lit(f).alias("feature"), v.alias("value"), F.round(imp, 9).alias("importance")))
+    kept = F.filter(F.array(*parts), lambda x: F.abs(x["importance"]) >= 1e-10)
+    return d.withColumn("contributions", kept).drop("_b", "_i")
+
+
+def attribution_rows(attr: DataFrame) -> DataFrame:
+    """One row per contribution: symbol, ts, feature, value, importance, direction."""
+    d = attr.select("symbol", "ts", F.explode("contributions").alias("x")).select("symbol", "ts", "x.*")
+    return d.withColumn("direction", F.when(C("importance") > 0, "bullish").otherwise("bearish"))
 
 
 def top_attributions(attr: DataFrame, k: int = 10) -> DataFrame:
-    """The k strongest contributions per row as a sorted array; a row has one entry per feature."""
-    arr = F.sort_array(F.collect_list(F.struct((-F.abs("importance")).alias("o"), "feature", "importance")))
-    return attr.groupBy("symbol", "ts").agg(F.transform(F.slice(arr, 1, k), lambda s: F.struct(s["feature"].alias("feature"), s["importance"].alias("importance"))).alias("top"))
+    """The k strongest contributions of every row as a sorted array: (symbol, ts, top). Rows without any are left out; nothing is shuffled."""
+    arr = F.sort_array(F.transform("contributions", lambda x: F.struct((-F.abs(x["importance"])).alias("o"), x["feature"].alias("feature"), x["importance"].alias("importance"))))
+    top = F.transform(F.slice(arr, 1, k), lambda s: F.struct(s["feature"].alias("feature"), s["importance"].alias("importance")))
+    return attr.where(F.size("contributions") > 0).select("symbol", "ts", top.alias("top"))
 
 
 def importance_summary(attr_top: DataFrame, newest: int = 30) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators.features import calendar as cal, cross
 from ..sources import panel as pn
 from ..sources.tables import bars, events, experiments, macro, table, universe
 from .common import scratch, signals, stock_run
+from .catalogue import CAT, COLUMNS, catalogue, unpivoted
 from .performance import BT, EXPLOG, FEAT, SIG, PORT, arm_history, feature_frame
 from .registry import query, rd, rounded
 from .sql import (ALL, BARS, MACRO, PAST, SER, STOCK, UNIVERSE, WHOLE, bt, chain, flag as sflag, lag, last, macro_wide, mean, pct, pick, quant, rank, rank_of, rnd, sharpe, stack, std, with_)
@@ -261,13 +262,15 @@ def dq12(spark, sf):
 
 
 # projections -----------------------------------------------------------------------------------
-@query("PRJ-1", with_(FEAT, "SELECT symbol, ts, " + ", ".join(rnd(c, 6, c) for c in ("ret_1d", "sma_20_dist", "volume_ratio")) + " FROM feat"))
+@query("PRJ-1", with_([*CAT, f"lg AS ({unpivoted('symbol')})"], "SELECT f.feature, count(lg.feature) AS n FROM (SELECT unnest([" + ", ".join(repr(c) for c in COLUMNS) + "]) AS feature) f LEFT JOIN lg USING (feature) GROUP BY 1"))
 def prj1(spark, sf):
+    """What discovery by exclusion leaves of the catalogue's table, and how many values each column has."""
     from ..operators import labels as lb
-    d = feature_frame(spark, sf)
+    d = catalogue(spark, sf)
     skip = {*lb.LABEL_COLUMNS, *lb.OHLCV, *lb.REGIME_COLUMNS, *KEYS}
     cols = [c for c in d.columns if c not in skip]
-    return rounded(d.select(*KEYS, *[c for c in cols if c in ("ret_1d", "sma_20_dist", "volume_ratio", "label", "close")]))
+    n = d.agg(*[F.count(c).alias(c) for c in cols])
+    return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), C(c).alias("n")) for c in cols])).alias("x")).select("x.*")
 
 
 @query("PRJ-2", with_(FEAT, f"SELECT symbol, ts, {rnd('coalesce(ret_5d, 0)', 6, 'ret_5d')}, {rnd('coalesce(bb_pct, 0)', 6, 'bb_pct')}, 0.0::DOUBLE AS absent FROM feat"))

@@ -7,6 +7,7 @@ from ..functions.scale import repeat
 from ..functions.windows import Series, flag
 from ..operators import backtest as bk, drift, explog, features as feats, labels, metrics as mt, ml, ranking as rk, regime as rg, splits as sp
 from ..sources.tables import bars, experiments, universe
+from .catalogue import CAT, COLUMNS, catalogue, unpivoted
 from .common import signals, stock_run
 from .registry import query, rd, rounded
 from .sql import (BARS, METRICS, PAST, SER, SIG, rnd, STOCK, UNIVERSE, WHOLE, annual, bt, chain, flag as sflag, lag, mean, metrics, pct, rounds, sharpe, stack, std, vol, with_)
@@ -199,9 +200,6 @@ def agg20(spark, sf):
     return d.withColumns({c: rd(c, 4) + 0.0 for c in ("total_return", "ann_return", "ann_vol", "sharpe_bnh", "max_dd")})
 
 
-FS = ["ret_1d", "ret_5d", "sma_20_dist", "bb_pct", "volume_ratio", "volume_zscore"]
-
-
 def feature_frame(spark, sf, h: int = 5):
     d = feats.generate_features(bars(spark, sf), ["FEA-1", "FEA-3", "FEA-11", "FEA-13"])
     return labels.forward_label(d, h)
@@ -212,17 +210,19 @@ FSQL = [{"ret_1d": pct("close"), "ret_5d": pct("close", 5), "_s20": mean("close"
         {"sma_20_dist": "(close - _s20) / (_s20 + 1e-9)", "bb_pct": "(close - (_s20 - 2 * _sd20)) / (4 * _sd20 + 1e-9)", "volume_ratio": "volume / (_mu + 1e-9)",
          "volume_zscore": "(volume - _mu) / (_sd + 1e-9)", "label": "CASE WHEN fwd_return IS NOT NULL THEN CASE WHEN fwd_return > 0 THEN 1 ELSE 0 END END"}]
 FEAT = [BARS, *stack("bars", FSQL, "feat")]
-LONG = " UNION ALL ".join(f"SELECT symbol, ts, label, fwd_return, '{f}' AS feature, {f} AS value FROM feat" for f in FS)
+IC = "CASE WHEN NOT isnan(corr(value, fwd_return)) THEN corr(value, fwd_return) END"
+CATLONG = [*CAT, f"lng AS ({unpivoted('fwd_return')})", f"ic AS (SELECT feature, {IC} AS ic FROM lng GROUP BY feature)"]
 
 
-@query("AGG-21", with_([*FEAT, f"lng AS ({LONG})"], "SELECT feature, round(corr(value, fwd_return) + 1.7e-09, 6) + 0.0 AS ic FROM lng GROUP BY feature"))
+@query("AGG-21", with_(CATLONG, f"SELECT feature, {rnd('ic', 6, 'ic')} FROM ic"))
 def agg21(spark, sf):
-    return rounded(mt.information_coefficient(feature_frame(spark, sf), FS))
+    return rounded(mt.information_coefficient(catalogue(spark, sf), COLUMNS))
 
 
-@query("TOP-8", with_([*FEAT, f"lng AS ({LONG})"], "SELECT feature, round(corr(value, fwd_return) + 1.7e-09, 6) + 0.0 AS ic FROM lng GROUP BY feature ORDER BY abs(corr(value, fwd_return)) DESC LIMIT 3"))
+@query("TOP-8", with_(CATLONG, f"SELECT feature, {rnd('ic', 6, 'ic')} FROM ic WHERE ic IS NOT NULL ORDER BY round(abs(ic), 9) DESC, feature LIMIT 10"))
 def top8(spark, sf):
-    return rounded(mt.information_coefficient(feature_frame(spark, sf), FS).orderBy(F.desc(F.abs("ic"))).limit(3))
+    ic = mt.information_coefficient(catalogue(spark, sf), COLUMNS).where("ic IS NOT NULL")
+    return rounded(ic.orderBy(F.desc(F.round(F.abs("ic"), 9)), "feature").limit(10))
 
 
 # walk-forward ----------------------------------------------------------------------------------

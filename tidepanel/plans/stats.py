@@ -7,13 +7,14 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.scale import with_row
 from ..functions.windows import Series, clip, flag, nz
-from ..operators import backtest as bk, drift, features as feats, labels as lb, metrics as mt, ml, ranking as rk, regime as rg, risk as rs, sequential as sq, significance as sg, splits as sp, user
+from ..operators import backtest as bk, drift, features as feats, labels as lb, metrics as mt, ml, ranking as rk, regime as rg, risk as rs, sequential as sq, significance as sg, splits as sp, training as tr, user
 from ..session import cut_lineage
 from ..sources.tables import bars, events, experiments, table, universe
 from ..streaming import bars as sb
-from .common import scratch, signals, stock_run
+from .common import once, scratch, signals, stock_run
 from .data import CORR8, SEL, candidate_pairs, selected
-from .performance import BT, EXPLOG, FEAT, FS, LONG, MET, PERIODS, PROBA, PV, SIG, SUMM, WFM, feature_frame, scored, wf_metrics, with_regime
+from .catalogue import CAT, COLUMNS, catalogue, unpivoted
+from .performance import BT, EXPLOG, FEAT, IC, MET, PERIODS, PROBA, PV, SIG, SUMM, WFM, feature_frame, scored, wf_metrics, with_regime
 from .registry import query, rd, rounded
 from .sql import (ALL, BARS, PAST, SER, STOCK, UNIVERSE, annual, bt, chain, flag as sflag, lag, last, mean, metrics, pct, quant, rnd, rounds, sharpe, stack, std, with_)
 from .windows import open_trades, s_cdf, s_cdf0, s_ppf
@@ -150,15 +151,15 @@ def stat8(spark, sf):
 
 
 # importance of a feature in a year = |information coefficient| of that year
-IMP = [*FEAT, f"lng AS ({LONG})", "imp AS (SELECT year(ts) AS fold, feature, abs(corr(value, fwd_return)) AS importance FROM lng WHERE fwd_return IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)",
-       "fs AS (SELECT feature, sum(importance) / (SELECT count(DISTINCT fold) FROM imp) AS m, sqrt(greatest(sum(importance * importance) / (SELECT count(DISTINCT fold) FROM imp) - pow(sum(importance) / (SELECT count(DISTINCT fold) FROM imp), 2), 0)) AS s FROM imp GROUP BY feature)",
+IMP = [*CAT, f"lng AS ({unpivoted('ts, fwd_return', where=' WHERE fwd_return IS NOT NULL')})", f"imp AS (SELECT year(ts) AS fold, feature, abs({IC}) AS importance FROM lng GROUP BY 1, 2)", "nf AS (SELECT count(DISTINCT fold) AS k FROM imp)",
+       "fs AS (SELECT feature, coalesce(sum(importance), 0) / any_value(k) AS m, sqrt(greatest(coalesce(sum(importance * importance), 0) / any_value(k) - pow(coalesce(sum(importance), 0) / any_value(k), 2), 0)) AS s FROM imp, nf GROUP BY feature)",
        "fc AS (SELECT *, s / (m + 1e-9) AS cov, CASE WHEN m > (SELECT greatest(median(m), 1e-9) FROM fs) THEN 1 ELSE 0 END AS important FROM fs)"]
 
 
 def importances(spark, sf):
-    d = feature_frame(spark, sf).where("fwd_return IS NOT NULL").withColumn("fold", F.year("ts"))
-    ic = mt.information_coefficient(d, FS, keys=("fold",))
-    return ic.select("fold", "feature", F.abs("ic").alias("importance"))
+    d = catalogue(spark, sf).where("fwd_return IS NOT NULL").withColumn("fold", F.year("ts"))
+    ic = mt.information_coefficient(d, COLUMNS, keys=("fold",))
+    return ic.select("fold", "feature", F.coalesce(F.abs("ic"), F.lit(0.0)).alias("importance"))
 
 
 @query("STAT-9", with_(IMP, f"SELECT feature, {rnd('m', 6, 'mean_importance')}, {rnd('s', 6, 'std_importance')}, {rnd('cov', 4, 'cov')}, important, CASE WHEN cov > 0.5 AND important = 1 THEN 1 ELSE 0 END AS unstable FROM fc"))
@@ -187,7 +188,7 @@ def stat12(spark, sf):
     st = sg.stability_score(sg.feature_stability(importances(spark, sf)))
     d = is_oos(spark, sf).join(sg.pbo(fold_pairs(spark, sf), ["symbol"]).drop("n_folds"), "symbol")
     r = runs(spark, sf).select(C("run_id").alias("symbol"), C("n_trials").alias("n_tests"), C("n_bars").alias("oos_bars"), "skewness", (C("kurtosis") - 3).alias("excess_kurtosis"))
-    d = with_row(d.join(r, "symbol"), st).withColumn("n_features", F.lit(len(FS)))
+    d = with_row(d.join(r, "symbol"), st).withColumn("n_features", F.lit(len(COLUMNS)))
     o = sg.overfitting_report(d)
     return o.select("symbol", "overfitting_score", "severity", "gap_score", "dsr", "pbo", F.round("stability", 4).alias("stability"), F.concat_ws("; ", "warnings").alias("warnings"), F.concat_ws("; ", "recommendations").alias("recommendations"))
 
@@ -451,58 +452,59 @@ def bt17(spark, sf):
 
 
 # drift -----------------------------------------------------------------------------------------
-PSI = [*FEAT, f"fn AS (SELECT *, row_number() {SER} - 1 AS rn, count(*) {ALL} AS n FROM feat)", "lg AS (" + " UNION ALL ".join(f"SELECT CASE WHEN rn < floor(n * 0.7) THEN 'ref' ELSE 'cur' END AS part, '{f}' AS feature, {f} AS value FROM fn WHERE {f} IS NOT NULL" for f in FS) + ")",
+PSI = [*CAT, f"fn AS (SELECT *, CASE WHEN row_number() {SER} - 1 < floor(count(*) {ALL} * 0.7) THEN 'ref' ELSE 'cur' END AS part FROM cat)", f"lg AS ({unpivoted('part', 'fn')})",
        "ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [" + ", ".join(str(i / 10) for i in range(11)) + "]))) AS e FROM lg WHERE part = 'ref' GROUP BY feature)",
-       "bn AS (SELECT lg.feature, least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) AS b, count(CASE WHEN part = 'ref' THEN 1 END) AS r, count(CASE WHEN part = 'cur' THEN 1 END) AS c FROM lg JOIN ed ON lg.feature = ed.feature WHERE value BETWEEN e[1] AND e[-1] GROUP BY 1, 2)",
+       "bn AS (SELECT lg.feature, least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) AS b, count(CASE WHEN part = 'ref' THEN 1 END) AS r, count(CASE WHEN part = 'cur' THEN 1 END) AS c FROM lg JOIN ed ON lg.feature = ed.feature WHERE len(e) >= 3 AND value BETWEEN e[1] AND e[-1] GROUP BY 1, 2)",
        "bt2 AS (SELECT *, sum(r) OVER (PARTITION BY feature) AS tr, sum(c) OVER (PARTITION BY feature) AS tc FROM bn)", "bs AS (SELECT *, least(greatest(r / tr, 1e-6), 1) AS rp, least(greatest(c / tc, 1e-6), 1) AS cp FROM bt2)",
        "ps AS (SELECT feature, sum((cp - rp) * ln(cp / rp)) AS psi, CAST(max(tr) AS BIGINT) AS n_ref, CAST(max(tc) AS BIGINT) AS n_cur FROM bs GROUP BY feature)"]
 
 
 @query("VAL-9", with_(PSI, f"SELECT feature, {rnd('psi', 8, 'psi')}, n_ref, n_cur FROM ps"))
 def val9(spark, sf):
-    return rounded(drift.psi(feature_frame(spark, sf), FS), 8)
+    return rounded(drift.psi(catalogue(spark, sf), COLUMNS), 8)
 
 
 @query("VAL-10", with_(PSI, f"""SELECT {rnd('avg(psi)', 8, 'mean_psi')}, {rnd('max(psi)', 8, 'max_psi')}, count(CASE WHEN psi > 0.001 THEN 1 END) AS n_drifted, (SELECT string_agg(feature, ',' ORDER BY psi DESC, feature DESC) FROM (SELECT * FROM ps ORDER BY psi DESC, feature DESC LIMIT 5)) AS top_drifted,
  CASE WHEN count(CASE WHEN psi > 0.001 THEN 1 END) > 0 THEN 1 ELSE 0 END AS drift_alert, CASE WHEN max(psi) >= 15 THEN 'HALT' WHEN max(psi) >= 9 THEN 'RETRAIN' WHEN max(psi) >= 2.5 THEN 'WARN' WHEN max(psi) >= 1 THEN 'WATCH' ELSE 'NONE' END AS severity FROM ps"""))
 def val10(spark, sf):
-    return rounded(drift.drift_report(drift.psi(feature_frame(spark, sf), FS), 0.001), 8)
+    return rounded(drift.drift_report(drift.psi(catalogue(spark, sf), COLUMNS), 0.001), 8)
 
 
 # machine learning ------------------------------------------------------------------------------
-MI = [*FEAT, f"lg AS (SELECT * FROM ({LONG}) WHERE value IS NOT NULL AND label IS NOT NULL)", "ed AS (SELECT feature, quantile_cont(value, [" + ", ".join(str(i / 10) for i in range(1, 10)) + "]) AS e FROM lg GROUP BY feature)",
+MI = [*CAT, f"lg AS ({unpivoted('label', where=' WHERE label IS NOT NULL')})", "ed AS (SELECT feature, quantile_cont(value, [" + ", ".join(str(i / 10) for i in range(1, 10)) + "]) AS e FROM lg GROUP BY feature)",
       "cn AS (SELECT lg.feature, len(list_filter(e, lambda x: x < value)) AS b, label, count(*)::DOUBLE AS n FROM lg JOIN ed ON lg.feature = ed.feature GROUP BY 1, 2, 3)",
       "cw AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, b) AS nb, sum(n) OVER (PARTITION BY feature, label) AS ny FROM cn)", "mi AS (SELECT feature, sum(n / t * ln(n * t / (nb * ny))) AS mi FROM cw GROUP BY feature)"]
 
 
 def model_frame(spark, sf):
-    return feature_frame(spark, sf)
+    return catalogue(spark, sf)
 
 
 @query("ML-1", with_(MI, f"SELECT feature, {rnd('mi', 8, 'mi')} FROM mi"))
 def ml1(spark, sf):
-    return rounded(ml.mutual_information(model_frame(spark, sf), FS, "label"), 8)
+    return rounded(ml.mutual_information(model_frame(spark, sf), COLUMNS, "label"), 8)
 
 
-@query("ML-1b", with_([*FEAT, f"fb AS (SELECT *, least(floor((row_number() {SER} - 1) * 3 / count(*) {ALL}), 2) AS block FROM feat)", "lg AS (" + " UNION ALL ".join(f"SELECT block, label, '{f}' AS feature, {f} AS value FROM fb WHERE {f} IS NOT NULL AND label IS NOT NULL" for f in FS) + ")",
+@query("ML-1b", with_([*CAT, f"fb AS (SELECT *, least(floor((row_number() {SER} - 1) * 3 / count(*) {ALL}), 2) AS block FROM cat)", f"lg AS ({unpivoted('block, label', 'fb', ' WHERE label IS NOT NULL')})",
   "ed AS (SELECT block, feature, quantile_cont(value, [" + ", ".join(str(i / 10) for i in range(1, 10)) + "]) AS e FROM lg GROUP BY 1, 2)", "cn AS (SELECT lg.block, lg.feature, len(list_filter(e, lambda x: x < value)) AS b, label, count(*)::DOUBLE AS n FROM lg JOIN ed ON lg.feature = ed.feature AND lg.block = ed.block GROUP BY 1, 2, 3, 4)",
   "cw AS (SELECT *, sum(n) OVER (PARTITION BY block, feature) AS t, sum(n) OVER (PARTITION BY block, feature, b) AS nb, sum(n) OVER (PARTITION BY block, feature, label) AS ny FROM cn)", "mb AS (SELECT block, feature, sum(n / t * ln(n * t / (nb * ny))) AS mi FROM cw GROUP BY 1, 2)"],
   f"SELECT feature, {rnd('median(mi) / (1 + stddev_pop(mi) / (median(mi) + 1e-8))', 8, 'mi')} FROM mb GROUP BY feature"))
 def ml1b(spark, sf):
-    return rounded(ml.stable_mi(model_frame(spark, sf), FS, "label"), 8)
+    return rounded(ml.stable_mi(model_frame(spark, sf), COLUMNS, "label"), 8)
 
 
 @query("ML-2")
 def ml2(spark, sf):
     d = model_frame(spark, sf)
-    return ml.combined_rank(ml.mutual_information(d, FS, "label"), ml.tree_importance(d.where("label IS NOT NULL"), FS, "label"))
+    return ml.combined_rank(ml.mutual_information(d, COLUMNS, "label"), ml.tree_importance(d.where("label IS NOT NULL"), COLUMNS, "label"))
 
 
 @query("ML-3")
 def ml3(spark, sf):
+    """Features by information with the label, greedily pruned where they correlate with a better one."""
     d = model_frame(spark, sf)
-    keep = ml.prune_correlated(d, FS, 0.80, 5)
-    return rounded(d.select(*KEYS, *keep))
+    order = [r["feature"] for r in ml.mutual_information(d, COLUMNS, "label").orderBy(F.desc(F.round("mi", 9)), "feature").collect()]     # one name per feature
+    return rounded(d.select(*KEYS, *ml.prune_correlated(d, order, 0.80, 15)))
 
 
 @query("ML-4")
@@ -511,24 +513,33 @@ def ml4(spark, sf):
     p = Series()
     d = model_frame(spark, sf)
     train = d.withColumns({"_rn": p.row(), "_n": F.count(F.lit(1)).over(p.whole)}).where(C("_rn") < C("_n") * 0.7)
-    return rounded(ml.FeatureSelector(n=4, max_corr=0.85).fit(train, FS, "label").transform(d))
+    return rounded(ml.FeatureSelector(n=15, max_corr=0.85).fit(train, COLUMNS, "label").transform(d))
 
 
 QS5 = "[0.01, 0.25, 0.5, 0.75, 0.99]"
-SCALE = [*FEAT, f"lg AS (SELECT * FROM ({LONG}) WHERE value IS NOT NULL)", f"qs AS (SELECT feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY feature)"]
+SCALE = [*CAT, f"lg AS ({unpivoted('symbol')})", f"qs AS (SELECT feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY feature)"]
+SCALED = f"count(*) AS n, {rnd('min(z)', 5, 'least')}, {rnd('avg(z)', 5, 'mean')}, {rnd('max(z)', 5, 'most')}"
 
 
-@query("ML-5", with_(SCALE, f"SELECT symbol, ts, lg.feature, {rnd('(least(greatest(value, q[1]), q[5]) - q[3]) / greatest(q[4] - q[2], 1e-8)', 7, 'value')} FROM lg JOIN qs ON lg.feature = qs.feature"))
+def scaled_summary(d):
+    """What scaling made of every value, by symbol and feature."""
+    long = d.select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), C(f).alias("z")) for f in COLUMNS])).alias("x")).select("symbol", "x.*").where("z IS NOT NULL")
+    return rounded(long.groupBy("symbol", "feature").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("least"), F.avg("z").alias("mean"), F.max("z").alias("most")), 5)
+
+
+@query("ML-5", with_([*SCALE, "sc AS (SELECT symbol, lg.feature, (least(greatest(value, q[1]), q[5]) - q[3]) / greatest(q[4] - q[2], 1e-8) AS z FROM lg JOIN qs ON lg.feature = qs.feature)"], f"SELECT symbol, feature, {SCALED} FROM sc GROUP BY 1, 2"))
 def ml5(spark, sf):
     d = model_frame(spark, sf)
-    return rounded(ml.robust_scale(d, FS, ml.scaler_stats(d, FS)).where("value IS NOT NULL"), 7)
+    return scaled_summary(ml.robust_scale(d, COLUMNS, ml.scaler_stats(d, COLUMNS)))
 
 
-@query("ML-5b", with_([*PROBA, "lg AS (" + " UNION ALL ".join(f"SELECT symbol, ts, regime, '{f}' AS feature, {f} AS value FROM prn WHERE {f} IS NOT NULL" for f in FS) + ")", f"g AS (SELECT feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY feature)", f"r AS (SELECT regime, feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY regime, feature HAVING count(*) >= 50)"],
-  f"SELECT symbol, ts, lg.feature, {rnd('(least(greatest(value, coalesce(r.q, g.q)[1]), coalesce(r.q, g.q)[5]) - coalesce(r.q, g.q)[3]) / greatest(coalesce(r.q, g.q)[4] - coalesce(r.q, g.q)[2], 1e-8)', 7, 'value')} FROM lg JOIN g ON lg.feature = g.feature LEFT JOIN r ON r.feature = lg.feature AND r.regime = lg.regime"))
+@query("ML-5b", with_([*CAT, *[c for c in PROBA if c != BARS], "cr AS (SELECT cat.*, prn.regime FROM cat JOIN (SELECT symbol, ts, regime FROM prn) prn USING (symbol, ts))", f"lg AS ({unpivoted('symbol, regime', 'cr')})",
+  f"g AS (SELECT feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY feature)", f"r AS (SELECT regime, feature, quantile_cont(value, {QS5}) AS q FROM lg GROUP BY regime, feature HAVING count(*) >= 50)",
+  "sc AS (SELECT symbol, lg.feature, (least(greatest(value, coalesce(r.q, g.q)[1]), coalesce(r.q, g.q)[5]) - coalesce(r.q, g.q)[3]) / greatest(coalesce(r.q, g.q)[4] - coalesce(r.q, g.q)[2], 1e-8) AS z FROM lg JOIN g ON lg.feature = g.feature LEFT JOIN r ON r.feature = lg.feature AND r.regime = lg.regime)"],
+  f"SELECT symbol, feature, {SCALED} FROM sc GROUP BY 1, 2"))
 def ml5b(spark, sf):
     d = with_regime(model_frame(spark, sf))
-    return rounded(ml.robust_scale(d, FS, ml.scaler_stats(d, FS), ml.scaler_stats(d, FS, "regime")).where("value IS NOT NULL"), 7)
+    return scaled_summary(ml.robust_scale(d, COLUMNS, ml.scaler_stats(d, COLUMNS), ml.scaler_stats(d, COLUMNS, "regime")))
 
 
 @query("ML-6", with_([BARS, f"w AS (SELECT symbol, ts, exp(-least((count(*) {ALL} - row_number() {SER}) / 63.0, 4.6)) AS w FROM bars)"], f"SELECT symbol, ts, {rnd(f'w / avg(w) {ALL}', 7, 'recency_weight')} FROM w"))
@@ -542,42 +553,60 @@ def ml7(spark, sf):
     return d.select(*KEYS, ml.regime_weight().alias("regime_weight"), rd("class_weight", 7).alias("class_weight"))
 
 
-ML_FEATURES = FS
-
-
-def oos_scores(spark, sf):
-    """Three-member ensembles on three yearly folds; weights favour bull and bear regimes."""
-    d = with_regime(model_frame(spark, sf)).withColumn("weight", ml.regime_weight()).dropna(subset=[*ML_FEATURES, "label"])
-    d = d.select(*KEYS, "fwd_return", "label", "weight", *ML_FEATURES)
-    folds = sp.month_folds(d, 24, 12, 1, 18).collect()     # a handful of date ranges
-    return ml.train_folds(d, ML_FEATURES, folds)
+def trained(spark, sf):
+    """The training run over the whole catalogue, three folds of two years; weights favour bull and bear regimes."""
+    def build():
+        d = with_regime(model_frame(spark, sf)).withColumn("weight", ml.regime_weight())
+        return tr.train(d, COLUMNS, sp.month_folds(d, 24, 12, 1, 18).collect())     # a handful of date ranges
+    return once(spark, "trained", sf, build)
 
 
 @query("ML-8")
 def ml8(spark, sf):
-    s = oos_scores(spark, sf)
+    s = trained(spark, sf).scores
     return s.select(*KEYS, "fold", *[F.round(C("member_p")[i], 6).alias(f"p{i}") for i in range(3)])
 
 
-# a member array derived from features, so that the score arithmetic has an exact SQL answer
-MEM = [*PROBA, "mb AS (SELECT *, [proba, 1 / (1 + exp(-ret_1d * 40)), 1 / (1 + exp(-(volume_ratio - 1)))] AS p FROM prn WHERE proba IS NOT NULL AND ret_1d IS NOT NULL AND volume_ratio IS NOT NULL)",
+@query("ML-8b")
+def ml8b(spark, sf):
+    """The final model saved, loaded again, applied to all bars, and its signal run through the backtest."""
+    path = f"{scratch(spark)}/model"
+    trained(spark, sf).save(path)
+    d = tr.TrainedModel.load(spark, path).score(catalogue(spark, sf).where("label IS NOT NULL"))
+    run = bk.run(d.select(*KEYS, "close", "signal"), bk.cost("stock"))
+    return rounded(mt.all_metrics(run, ("symbol",)), 5)
+
+
+# members trained in closed form on the same folds, so that scores and all that is done with them have an exact SQL answer
+MEM = [*CAT, "sp AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM cat)", "fk AS (SELECT a, b, unnest(range(0, 60)) AS i FROM sp)",
+       "f1 AS (SELECT b, i, CAST(a + to_months(CAST(18 * i AS INTEGER)) AS DATE) AS ts0 FROM fk)", "f2 AS (SELECT *, CAST(ts0 + INTERVAL 24 MONTH AS DATE) - 1 AS te FROM f1)",
+       "f3 AS (SELECT *, CAST(te + INTERVAL 1 MONTH AS DATE) + 1 AS us FROM f2)", "f4 AS (SELECT *, CAST(us + INTERVAL 12 MONTH AS DATE) - 1 AS ue FROM f3)",
+       "fo AS MATERIALIZED (SELECT CAST(i + 1 AS INTEGER) AS fold, ts0::TIMESTAMP AS ts0, te::TIMESTAMP AS te, us::TIMESTAMP AS us, ue::TIMESTAMP AS ue FROM f4 WHERE ue <= b)",
+       f"lt AS ({unpivoted('ts, label', where=' WHERE label IS NOT NULL')})",
+       "fc AS (SELECT fold, feature, corr(value, label) AS c, regr_slope(label, value) AS sl, regr_intercept(label, value) AS ic, count(*) AS n FROM lt JOIN fo ON ts BETWEEN ts0 AND te GROUP BY 1, 2)",
+       "fm AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(abs(c), 9) DESC, feature) AS k FROM fc WHERE n >= 50 AND NOT isnan(c) QUALIFY k <= 3)",
+       f"tv AS ({unpivoted('symbol, ts, label, fwd_return')})",
+       "mb AS MATERIALIZED (SELECT symbol, ts, label, fwd_return, fold, list(least(greatest(ic + sl * value, 0.01), 0.99) ORDER BY k) AS p FROM tv JOIN fm USING (feature) JOIN fo USING (fold) WHERE ts BETWEEN us AND ue GROUP BY ALL HAVING count(*) = 3)",
        "ms AS (SELECT *, (p[1] + p[2] + p[3]) / 3 AS m, sqrt((p[1] * p[1] + p[2] * p[2] + p[3] * p[3]) / 3 - pow((p[1] + p[2] + p[3]) / 3, 2)) AS s, list_sort(p) AS o FROM mb)"]
 
 
 def member_frame(spark, sf):
-    d = scored(spark, sf).dropna(subset=["proba", "ret_1d", "volume_ratio"])
-    return d.withColumn("member_p", F.array("proba", ml.sigmoid(C("ret_1d") * 40), ml.sigmoid(C("volume_ratio") - 1))).withColumn("fold", F.year("ts"))
+    """Out-of-sample scores of three members that each fold trained on its own two years."""
+    d = catalogue(spark, sf)
+    rows = sp.assign_month_folds(d, sp.month_folds(d, 24, 12, 1, 18))
+    members = tr.linear_members(rows.where("split = 'train' AND label IS NOT NULL"), COLUMNS)
+    return tr.linear_scores(rows.where("split = 'test'"), members, COLUMNS).select(*KEYS, "fold", "label", "fwd_return", "member_p")
 
 
-@query("ML-9", with_(MEM, f"SELECT symbol, ts, {rnd('m', 7, 'score_mean')}, {rnd('s', 6, 'score_std')}, {rnd('o[1] + 0.2 * (o[2] - o[1])', 7, 'score_lower')}, {rnd('o[2] + 0.8 * (o[3] - o[2])', 7, 'score_upper')}, {rnd('(2 * p[1] + p[2] + p[3]) / 4', 7, 'weighted')} FROM ms"))
+@query("ML-9", with_(MEM, f"SELECT symbol, ts, fold, {rnd('m', 7, 'score_mean')}, {rnd('s', 6, 'score_std')}, {rnd('o[1] + 0.2 * (o[2] - o[1])', 7, 'score_lower')}, {rnd('o[2] + 0.8 * (o[3] - o[2])', 7, 'score_upper')}, {rnd('(2 * p[1] + p[2] + p[3]) / 4', 7, 'weighted')} FROM ms"))
 def ml9(spark, sf):
     d = member_frame(spark, sf)
     w = ml.ensemble_score("member_p", F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0)))["score_mean"]
     s = ml.ensemble_score("member_p")
-    return d.select(*KEYS, *[rd(e, 6 if k == "score_std" else 7).alias(k) for k, e in s.items()], rd(w, 7).alias("weighted"))
+    return d.select(*KEYS, "fold", *[rd(e, 6 if k == "score_std" else 7).alias(k) for k, e in s.items()], rd(w, 7).alias("weighted"))
 
 
-MW = [*MEM, "me AS (SELECT year(ts) AS fold, fwd_return AS y, unnest([0, 1, 2]) AS member, unnest(p) AS pr FROM mb WHERE fwd_return IS NOT NULL)", "mf AS (SELECT fold, member, avg(y * sign(pr - 0.5)) / (stddev_samp(y * sign(pr - 0.5)) + 1e-12) * sqrt(252.0) AS s FROM me GROUP BY 1, 2)",
+MW = [*MEM, "me AS (SELECT fold, fwd_return AS y, unnest([0, 1, 2]) AS member, unnest(p) AS pr FROM mb WHERE fwd_return IS NOT NULL)", "mf AS (SELECT fold, member, avg(y * sign(pr - 0.5)) / (stddev_samp(y * sign(pr - 0.5)) + 1e-12) * sqrt(252.0) AS s FROM me GROUP BY 1, 2)",
       "ma AS (SELECT member, avg(s) AS sharpe FROM mf GROUP BY member)", "mx AS (SELECT *, exp(greatest(sharpe - (SELECT max(sharpe) FROM ma), -10)) AS e FROM ma)"]
 
 
@@ -589,99 +618,99 @@ def ml10(spark, sf):
 
 @query("ML-11")
 def ml11(spark, sf):
-    d = member_frame(spark, sf).where("label IS NOT NULL").withColumn("score_mean", F.round(ml.ensemble_score("member_p")["score_mean"], 3))
-    return ml.calibrate(d, ml.isotonic(d)).select(*KEYS, "score_mean", F.round("calibrated", 6).alias("calibrated"))
+    """Calibration of the run, on the rows it was fitted on."""
+    m = trained(spark, sf)
+    return ml.calibrate(m.scores, m.calibrator).select(*KEYS, "fold", F.round("score_mean", 6).alias("score_mean"), F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("ML-12")
 def ml12(spark, sf):
-    d = member_frame(spark, sf).where("label IS NOT NULL").withColumn("score_mean", ml.ensemble_score("member_p")["score_mean"])
-    d = d.select(*KEYS, "fold", "fwd_return", "label", "score_mean", *ML_FEATURES)
-    m = ml.meta_model(d.where("fold < 2000"), ML_FEATURES)
-    return ml.meta_probability(d.where("fold >= 2000"), m, ML_FEATURES).select(*KEYS, F.round("meta_p", 6).alias("meta_p"))
+    """Meta model trained on the scores of all folds but the last, applied to the last."""
+    s = trained(spark, sf).scores
+    s = with_row(s, s.agg(F.max("fold").alias("_last")))
+    names = ["score_mean", "score_std"]
+    m = ml.meta_model(s.where("fold < _last").drop("_last"), names)
+    return ml.meta_probability(s.where("fold = _last"), m, names).select(*KEYS, F.round("meta_p", 6).alias("meta_p"))
 
 
-@query("ML-13", with_(MEM, f"SELECT symbol, ts, {rnd('least(greatest(2 * abs(m - 0.5) * (1 - least(greatest(s / 0.5, 0), 1)), 0), 1)', 6, 'confidence')} FROM ms"))
+@query("ML-13", with_(MEM, f"SELECT symbol, ts, fold, {rnd('least(greatest(2 * abs(m - 0.5) * (1 - least(greatest(s / 0.5, 0), 1)), 0), 1)', 6, 'confidence')} FROM ms"))
 def ml13(spark, sf):
     s = ml.ensemble_score("member_p")
-    return member_frame(spark, sf).select(*KEYS, rd(ml.confidence(s["score_mean"], s["score_std"]), 6).alias("confidence"))
+    return member_frame(spark, sf).select(*KEYS, "fold", rd(ml.confidence(s["score_mean"], s["score_std"]), 6).alias("confidence"))
 
 
-@query("ML-14", with_(MEM, "SELECT symbol, ts, CAST(CASE WHEN round(least(greatest(2 * abs(m - 0.5) * (1 - least(greatest(s / 0.5, 0), 1)), 0), 1), 9) >= 0.1 THEN sign(m - 0.5) ELSE 0 END AS INTEGER) AS signal, CASE WHEN m > 0.55 THEN 1 WHEN m < 0.45 THEN -1 ELSE 0 END AS plain FROM ms"))
+@query("ML-14", with_(MEM, "SELECT symbol, ts, fold, CAST(CASE WHEN round(least(greatest(2 * abs(m - 0.5) * (1 - least(greatest(s / 0.5, 0), 1)), 0), 1), 9) >= 0.1 THEN sign(m - 0.5) ELSE 0 END AS INTEGER) AS signal, CASE WHEN m > 0.55 THEN 1 WHEN m < 0.45 THEN -1 ELSE 0 END AS plain FROM ms"))
 def ml14(spark, sf):
     s = ml.ensemble_score("member_p")
     d = member_frame(spark, sf).withColumn("m", s["score_mean"]).withColumn("conf", F.round(ml.confidence("m", s["score_std"]), 9))
-    return d.select(*KEYS, ml.signal("m", "conf", 0.1).alias("signal"), ml.threshold_signal("m").alias("plain"))
+    return d.select(*KEYS, "fold", ml.signal("m", "conf", 0.1).alias("signal"), ml.threshold_signal("m").alias("plain"))
 
 
-@query("ML-15", with_([*[m.replace("mb AS (", "mb AS MATERIALIZED (") for m in MEM], "ac AS MATERIALIZED (SELECT member, greatest(avg(CASE WHEN (pr > 0.5)::INT = label THEN 1.0 ELSE 0.0 END) - 0.5, 0) AS e FROM (SELECT label, unnest([0, 1, 2]) AS member, unnest(p) AS pr FROM mb WHERE label IS NOT NULL) GROUP BY member)",
+@query("ML-15", with_([*MEM, "ac AS MATERIALIZED (SELECT member, greatest(avg(CASE WHEN (pr > 0.5)::INT = label THEN 1.0 ELSE 0.0 END) - 0.5, 0) AS e FROM (SELECT label, unnest([0, 1, 2]) AS member, unnest(p) AS pr FROM mb WHERE label IS NOT NULL) GROUP BY member)",
   "aw AS (SELECT member, CASE WHEN (SELECT sum(e) FROM ac) > 1e-9 THEN e / (SELECT sum(e) FROM ac) ELSE 1.0 / 3 END AS w FROM ac)", "ap AS (SELECT list(w ORDER BY member) AS w FROM aw)"],
-  f"SELECT symbol, ts, {rnd('(p[1] * w[1] + p[2] * w[2] + p[3] * w[3]) / (w[1] + w[2] + w[3])', 6, 'average')}, {rnd('((p[1] > 0.5)::INT + (p[2] > 0.5)::INT + (p[3] > 0.5)::INT) / 3.0', 6, 'vote')} FROM mb, ap"))
+  f"SELECT symbol, ts, fold, {rnd('(p[1] * w[1] + p[2] * w[2] + p[3] * w[3]) / (w[1] + w[2] + w[3])', 6, 'average')}, {rnd('((p[1] > 0.5)::INT + (p[2] > 0.5)::INT + (p[3] > 0.5)::INT) / 3.0', 6, 'vote')} FROM mb, ap"))
 def ml15(spark, sf):
     d = member_frame(spark, sf)
     w = ml.accuracy_weights(d.where("label IS NOT NULL")).agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "weight"))), lambda s: s["weight"]).alias("w"))
     d = with_row(d, w)
-    return d.select(*KEYS, rd(ml.ensemble_score("member_p", C("w"))["score_mean"], 6).alias("average"), rd(ml.vote("member_p"), 6).alias("vote"))
+    return d.select(*KEYS, "fold", rd(ml.ensemble_score("member_p", C("w"))["score_mean"], 6).alias("average"), rd(ml.vote("member_p"), 6).alias("vote"))
 
 
 @query("ML-15b")
 def ml15b(spark, sf):
-    d = member_frame(spark, sf).where("label IS NOT NULL")
-    m = ml.stack(d.where("fold < 2000"), 3)
-    x = d.where("fold >= 2000").select(*KEYS, *[C("member_p")[i].alias(f"m{i}") for i in range(3)])
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    s = m.transform(VectorAssembler(inputCols=["m0", "m1", "m2"], outputCol="features").transform(x))
-    return s.select(*KEYS, F.round(vector_to_array("probability")[1], 6).alias("stacked"))
+    """Linear model on the members' scores of all folds but the last, applied to the last."""
+    s = trained(spark, sf).scores
+    s = with_row(s, s.agg(F.max("fold").alias("_last")))
+    return ml.stacked(s.where("fold = _last"), ml.stack(s.where("fold < _last"), 3), 3).select(*KEYS, F.round("stacked", 6).alias("stacked"))
 
 
 @query("ML-16")
 def ml16(spark, sf):
-    """One pooled model over all symbols up to a cutoff, scored afterwards."""
-    d = model_frame(spark, sf).dropna(subset=[*ML_FEATURES, "label"]).select(*KEYS, "fwd_return", "label", *ML_FEATURES)
-    a = ml.assemble(d, ML_FEATURES, "label").withColumns({"weight": F.lit(1.0)})
-    cut = F.lit("2000-01-01").cast("timestamp_ntz")
-    tr = a.where(C("ts") < cut).withColumn("is_val", C("ts") >= F.lit("1999-06-01").cast("timestamp_ntz"))
-    m = ml.fit_members(tr, ml.members(2))
-    s = ml.score_members(a.where(C("ts") >= cut), m)
+    """One pooled model over all symbols, features selected and members fitted on the first 70 % of the dates, scored afterwards."""
+    d = model_frame(spark, sf).where("label IS NOT NULL")
+    a, b = d.agg(F.min("ts"), F.max("ts")).first()
+    cut, val = a + (b - a) * 0.7, a + (b - a) * 0.6
+    fitted = d.where(C("ts") < F.lit(cut))
+    names = ml.FeatureSelector(15).fit(fitted, COLUMNS, "label").selected
+    members = tr.fit(fitted.select(*KEYS, "label", *names), names, "label", 2, 42, val)
+    s = ml.score_members(ml.assemble(d.where(C("ts") >= F.lit(cut)).select(*KEYS, "label", *names), names, "label"), members)
     return s.select(*KEYS, *[F.round(e, 6).alias(k) for k, e in ml.ensemble_score("member_p").items()])
 
 
-ATT = [*FEAT, *SIG[1:], f"sg AS (SELECT feat.*, sig.signal FROM feat JOIN (SELECT symbol, ts, signal FROM sig) sig USING (symbol, ts))", "bs AS (SELECT " + ", ".join(f"avg({f}) AS b_{f}" for f in FS) + " FROM sg)",
-       "att AS (" + " UNION ALL ".join(f"SELECT symbol, ts, '{f}' AS feature, {f} AS value, abs({f} - b_{f}) * sign(({f} - b_{f}) * signal + 1e-9) AS imp FROM sg, bs" for f in FS) + ")"]
+_B = ", ".join(f"avg({f}) AS {f}" for f in COLUMNS)
+ATT = [*CAT, *SIG[1:], "sg AS (SELECT cat.*, sig.signal FROM cat JOIN (SELECT symbol, ts, signal FROM sig) sig USING (symbol, ts))", f"b0 AS (SELECT 1 AS one, {_B} FROM sg)", f"bs AS ({unpivoted('one', 'b0')})", f"lg AS ({unpivoted('symbol, ts, signal', 'sg')})",
+       "att AS MATERIALIZED (SELECT symbol, ts, lg.feature, round(abs(lg.value - bs.value) * sign((lg.value - bs.value) * signal + 1e-9), 9) AS imp FROM lg JOIN bs ON lg.feature = bs.feature)",
+       "ar AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(imp) DESC, feature) AS k FROM att WHERE abs(imp) >= 1e-10 QUALIFY k <= 3)"]
 
 
 def attributions(spark, sf):
-    d = feature_frame(spark, sf).join(signals(spark, sf).select(*KEYS, "signal"), ["symbol", "ts"])
-    return ml.attribution(d, FS)
+    d = catalogue(spark, sf).join(signals(spark, sf).select(*KEYS, "signal"), ["symbol", "ts"])
+    return ml.attribution(d, COLUMNS)
 
 
-@query("ML-17", with_(ATT, f"SELECT symbol, ts, feature, {rnd('imp', 6, 'importance')}, CASE WHEN imp > 0 THEN 'bullish' ELSE 'bearish' END AS direction FROM att WHERE abs(imp) >= 1e-10"))
+@query("ML-17", with_(ATT, "SELECT symbol, feature, count(*) AS n, count(CASE WHEN imp > 0 THEN 1 END) AS n_bullish, round(max(abs(imp)), 6) AS strongest FROM att WHERE abs(imp) >= 1e-10 GROUP BY 1, 2"))
 def ml17(spark, sf):
-    return rounded(attributions(spark, sf).select(*KEYS, "feature", "importance", "direction"))
+    """Every contribution of every row, counted by symbol and feature."""
+    d = ml.attribution_rows(attributions(spark, sf))
+    return d.groupBy("symbol", "feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(C("direction") == "bullish").alias("n_bullish"), F.round(F.max(F.abs("importance")), 6).alias("strongest"))
 
 
-@query("TOP-9", with_([*ATT, "ar AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(imp) DESC, feature) AS k FROM att WHERE abs(imp) >= 1e-10)"], "SELECT symbol, ts, string_agg(feature, ',' ORDER BY k) AS top FROM ar WHERE k <= 3 GROUP BY symbol, ts"))
+@query("TOP-9", with_(ATT, "SELECT symbol, ts, string_agg(feature, ',' ORDER BY k) AS top FROM ar GROUP BY symbol, ts"))
 def top9(spark, sf):
     t = ml.top_attributions(attributions(spark, sf), 3)
     return t.select(*KEYS, F.concat_ws(",", F.transform("top", lambda x: x["feature"])).alias("top"))
 
 
-@query("AGG-27", with_([*ATT, "ar AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(imp) DESC, feature) AS k FROM att WHERE abs(imp) >= 1e-10)", "nw AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol, ts FROM ar) ORDER BY ts DESC, symbol LIMIT 30)"],
-  f"SELECT feature, {rnd('avg(abs(imp))', 6, 'mean_abs_importance')}, count(*) AS n_appearances FROM ar JOIN nw USING (symbol, ts) WHERE k <= 3 GROUP BY feature"))
+@query("AGG-27", with_([*ATT, "nw AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol, ts FROM ar) ORDER BY ts DESC, symbol LIMIT 30)"],
+  f"SELECT feature, {rnd('avg(abs(imp))', 5, 'mean_abs_importance')}, count(*) AS n_appearances FROM ar JOIN nw USING (symbol, ts) GROUP BY feature"))
 def agg27(spark, sf):
-    return rounded(ml.importance_summary(ml.top_attributions(attributions(spark, sf), 3), 30))
+    return rounded(ml.importance_summary(ml.top_attributions(attributions(spark, sf), 3), 30), 5)
 
 
 @query("ML-18")
 def ml18(spark, sf):
-    """Train report: per fold the score metrics and strategy statistics."""
-    s = oos_scores(spark, sf)
-    e = ml.ensemble_score("member_p")
-    s = s.withColumns({"m": e["score_mean"], "c": ml.confidence(e["score_mean"], e["score_std"])})
-    s = s.withColumn("r", C("fwd_return") * F.signum(C("m") - 0.5))
-    return rounded(s.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), F.min("ts").alias("test_start"), F.max("ts").alias("test_end"), mt.sharpe_like("r").alias("sharpe_like"), mt.win_rate("r").alias("hit_rate"),
-                                         F.avg("c").alias("avg_confidence"), F.avg((C("c") >= 0.1).cast("double")).alias("trade_rate")), 4)
+    """Train report: per fold dates, rows, features, score and strategy figures of the model and of the momentum baseline."""
+    return rounded(tr.report(trained(spark, sf), signals(spark, sf)), 4)
 
 
 # streams ---------------------------------------------------------------------------------------

@@ -47,3 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
     if named is None and not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
         raise ValueError("name a folder that all nodes share in spark.checkpoint.dir")
     return named or tempfile.mkdtemp(prefix="tidepanel-")
+
+
+_ROOTS: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """One folder of this application below the shared one, the same at every call."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_folder(spark)}/tidepanel-{app}"
+    return _ROOTS[app]
