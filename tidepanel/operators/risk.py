@@ -220,12 +220,17 @@ def return_state(bars: DataFrame, p: Series = Series(), tail: int = 252, recent:
                                   (F.stddev_pop(F.when(C("_k") <= recent, C("_r"))) * YEAR).alias("vol21"))
 
 
-def correlation_with_holdings(returns: DataFrame, pairs: DataFrame, min_overlap: int = 20) -> DataFrame:
-    """Highest |correlation| of each candidate with the holdings it is paired with: join on the pair list,
-    then on (holding, ts), so no all-pairs product of the universe is formed."""
-    a = returns.select(C("symbol").alias("candidate"), "ts", C("ret").alias("ra"))
-    b = returns.select(C("symbol").alias("holding"), "ts", C("ret").alias("rb"))
-    j = a.join(pairs, "candidate").join(b, ["holding", "ts"]).where("candidate <> holding AND ra IS NOT NULL AND rb IS NOT NULL")
+def correlation_with_holdings(returns: DataFrame, book: DataFrame, min_overlap: int = 20, block: int = 64) -> DataFrame:
+    """Highest |correlation| of each symbol with the holdings of a book (column ``holding``), itself left out: (candidate, max_corr, n_compared).
+
+    The book's returns become one short array per date, in blocks of ``block`` holdings; a bar meets the array of its date and gives one
+    product per holding, summed before the shuffle. Pairs are symbols times book, and no pair list is joined to bars."""
+    held = returns.join(book.select(C("holding").alias("symbol")).distinct(), "symbol", "left_semi").where("ret IS NOT NULL")
+    place = book.select("holding").distinct().withColumn("_block", F.floor((F.row_number().over(Window.orderBy("holding")) - 1) / block))   # a book is a short list
+    held = held.select(C("symbol").alias("holding"), "ts", C("ret").alias("rb")).join(place, "holding")
+    held = held.groupBy("ts", "_block").agg(F.collect_list(F.struct("holding", "rb")).alias("_held"))
+    j = returns.where("ret IS NOT NULL").select(C("symbol").alias("candidate"), "ts", C("ret").alias("ra")).join(held, "ts")
+    j = j.select("candidate", "ra", F.inline("_held")).where("candidate <> holding")
     c = j.groupBy("candidate", "holding").agg(F.count(F.lit(1)).alias("overlap"), corr_agg("ra", "rb").alias("corr"))
     ok = F.when(C("overlap") >= min_overlap, F.abs("corr"))
     return c.groupBy("candidate").agg(F.coalesce(F.max(ok), F.lit(0.0)).alias("max_corr"), F.count_if(C("overlap") >= min_overlap).alias("n_compared"))

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.scale import repeat
+from ..functions.scale import repeat, with_row
 from ..functions.windows import Series, clip, flag, nz, pct_rank
 from ..operators import backtest as bk, explog, features as feats, metrics as mt, quality as dq, ranking as rk, regime as rg, risk as rs, splits as sp
 from ..operators.features import calendar as cal, cross
@@ -384,23 +384,23 @@ def jn7(spark, sf):
     return a.unionByName(u.join(trained, "symbol", "left_semi").select("symbol", "sector", F.lit("trained").alias("state")))
 
 
-def candidate_pairs(spark, sf):
-    """Each symbol against the holdings of its own nation."""
-    u = universe(spark, sf)
-    h = u.select(C("symbol").alias("holding"), "universe")
-    return u.select(C("symbol").alias("candidate"), "universe").join(h, "universe").where("candidate <> holding").select("candidate", "holding")
+def current_book(spark, sf):
+    """Holdings: the three most liquid names of each date of the last ten days."""
+    b = bars(spark, sf)
+    b = with_row(b, b.agg(F.max("ts").alias("_last"))).where(C("ts") > C("_last") - F.expr("INTERVAL 10 DAYS")).withColumn("score", rk.ranking_score("liquidity"))
+    return rk.top_n(b, 3).select(C("symbol").alias("holding")).distinct()
 
 
-CORR8 = [BARS, UNIVERSE, f"rt AS (SELECT symbol, ts, {pct('close')} AS r FROM bars)",
-         """cp AS (SELECT a.symbol AS candidate, b.symbol AS holding, count(*) AS n, corr(x.r, y.r) AS c FROM universe a JOIN universe b ON a.universe = b.universe AND a.symbol <> b.symbol
-          JOIN rt x ON x.symbol = a.symbol JOIN rt y ON y.symbol = b.symbol AND y.ts = x.ts WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2)""",
+CORR8 = [BARS, f"rt AS (SELECT symbol, ts, {pct('close')} AS r FROM bars)",
+         "bk AS (SELECT DISTINCT symbol AS holding FROM (SELECT symbol, row_number() OVER (PARTITION BY ts ORDER BY close * volume DESC, symbol) AS k FROM bars WHERE ts > (SELECT max(ts) FROM bars) - INTERVAL 10 DAY) WHERE k <= 3)",
+         "cp AS (SELECT x.symbol AS candidate, holding, count(*) AS n, corr(x.r, y.r) AS c FROM rt x JOIN rt y ON y.ts = x.ts JOIN bk ON y.symbol = holding WHERE x.symbol <> y.symbol AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2)",
          "mc AS (SELECT candidate, coalesce(max(CASE WHEN n >= 20 THEN abs(c) END), 0) AS max_corr, count(CASE WHEN n >= 20 THEN 1 END) AS n_compared FROM cp GROUP BY candidate)"]
 
 
 @query("JN-8", with_(CORR8, f"SELECT candidate, {rnd('max_corr', 6, 'max_corr')}, n_compared FROM mc"))
 def jn8(spark, sf):
     r = bars(spark, sf).withColumn("ret", Series().pct("close"))
-    return rounded(rs.correlation_with_holdings(r, candidate_pairs(spark, sf)))
+    return rounded(rs.correlation_with_holdings(r, current_book(spark, sf)))
 
 
 def text_queries(spark, sf):

@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from ..sources.tables import bars, events, experiments, table, universe
 from ..streaming import bars as sb
 from .common import once, scratch, signals, stock_run
-from .data import CORR8, SEL, candidate_pairs, selected
+from .data import CORR8, SEL, current_book, selected
 from .catalogue import CAT, COLUMNS, catalogue, unpivoted
 from .performance import BT, EXPLOG, FEAT, IC, MET, PERIODS, PROBA, PV, SIG, SUMM, WFM, feature_frame, scored, wf_metrics, with_regime
 from .registry import query, rd, rounded
@@ -356,7 +356,7 @@ def orders_to_screen(spark, sf):
                  ((c % 12) / 100.0).alias("atr"), F.lit(1.0).alias("price"), ((c % 100) / 100.0).alias("cash_pct"), ((k % 6) / 100.0).alias("stop_loss_pct"), ((c % 30) / 100.0).alias("gross_positions"), (0.5 + (k % 50) / 100.0).alias("confidence"),
                  ((k % 21) / 10.0).alias("leverage"), (-(c % 40) / 1000.0).alias("daily_pnl_pct"), ((k % 25) / 100.0).alias("drawdown"), (c % 50).cast("double").alias("vix"))
     b = bars(spark, sf)
-    corr = rs.correlation_with_holdings(b.withColumn("ret", Series().pct("close")), candidate_pairs(spark, sf)).select(C("candidate").alias("symbol"), "max_corr")
+    corr = rs.correlation_with_holdings(b.withColumn("ret", Series().pct("close")), current_book(spark, sf)).select(C("candidate").alias("symbol"), "max_corr")
     return o.join(rs.return_state(b), "symbol").join(corr, "symbol", "left").withColumn("max_corr", F.coalesce("max_corr", F.lit(0.0)))
 
 
