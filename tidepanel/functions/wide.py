@@ -48,7 +48,7 @@ def _keyed(df: DataFrame, columns: list[str], keys: list[str], extra: list[str]
     return df.select(*keys, *[C(e).cast("double").alias(e) for e in extra], *[C(c).cast("double").alias(c) for c in columns])
 
 
-def quantiles(df: DataFrame, columns: list[str], qs: list[float], keys: list[str] = (), accuracy: int = 10000) -> DataFrame:
+def quantiles(df: DataFrame, columns: list[str], qs: list[float], keys: list[str] = (), accuracy: int = 2000) -> DataFrame:
     """Linear-interpolated quantiles of every column: (keys.., feature, q, value), exact for any number of rows.
 
     One aggregate of mergeable sketches brackets the order statistics (one row per key comes back). A second pass counts what lies below
@@ -77,9 +77,12 @@ def quantiles(df: DataFrame, columns: list[str], qs: list[float], keys: list[str
                 prev[k, :, i] = np.maximum(prev[k, :, i], np.where(less, x, -np.inf).max(0))
                 after[k, :, i] = np.minimum(after[k, :, i], np.where(more, x, np.inf).min(0))
                 r, c = np.nonzero((x >= lo) & (x <= hi))
-                v, n = np.unique(np.column_stack([c, x[r, c]]), axis=0, return_counts=True)
-                size = len(n)
-                yield _cells(np.full(size, k), v[:, 0].astype(np.int64), np.full(size, i), np.full(size, 0), v[:, 1], n)
+                v = x[r, c]
+                order = np.lexsort((v, c))
+                c, v = c[order], v[order]
+                first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (v[1:] != v[:-1])]) if len(c) else np.zeros(0, int)
+                size = len(first)
+                yield _cells(np.full(size, k), c[first], np.full(size, i), np.full(size, 0), v[first], np.diff(np.r_[first, len(c)]))
         k, c, i = np.indices(below.shape).reshape(3, -1)
         for kind, v, n in ((1, np.zeros(below.size), below.ravel()), (2, prev.ravel(), np.zeros(below.size, np.int64)), (3, after.ravel(), np.zeros(below.size, np.int64))):
             yield _cells(k, c, i, np.full(below.size, kind), v, n)
