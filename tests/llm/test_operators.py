@@ -82,7 +82,9 @@ def test_long_index_entries_are_split_without_losing_links(spark, monkeypatch):
     assert {tuple(r) for r in components.connected_components(simhash.links(prints, 1, 4)).collect()} == want and len(want) == len(f)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [components.SMALL, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
     got = dict(components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())

@@ -111,9 +111,10 @@ def cleaned(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     gone = keep(gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "n", "k", "near", "gone"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
     both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.size("gone") > 0, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text"))
+    # a column of its own, so that the text is split once and not for every line
+    both = both.withColumn("__lines", F.when(F.size("gone") > 0, F.split("text", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))
+    text = F.when(F.size("gone") > 0, F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")).otherwise(F.col("text"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return both.select("doc_id", text.alias("text"), zero("n").alias("n_lines"), zero("k").alias("n_dropped"), zero("near").alias("n_near"))
 
