@@ -148,3 +148,10 @@ def finite(df: DataFrame, cols: list[str]) -> DataFrame:
     ok = reduce(lambda a, b: a & b, [~bad(c) for c in cols])
     d = df.withColumn("finite_row", flag(ok))
     return d.withColumns({c: F.when(bad(c), 0.0).otherwise(C(c)) for c in cols})
+
+
+def column_differences(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """name, verdict (missing, present, extra), n (values that are not null): the columns of df held against those wanted, in one aggregate."""
+    rows = [F.struct(F.lit(c).alias("name"), F.lit("present" if c in wanted else "extra").alias("verdict"), F.count(C(f"`{c}`")).alias("n")) for c in df.columns]
+    rows += [F.struct(F.lit(c).alias("name"), F.lit("missing").alias("verdict"), F.lit(0).cast("bigint").alias("n")) for c in wanted if c not in df.columns]
+    return df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")

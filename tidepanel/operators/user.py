@@ -62,22 +62,3 @@ def rolling_apply(df: DataFrame, x: str, n: int, fn: Callable[[np.ndarray], np.n
         return res
     d = df.withColumn("_w", F.collect_list(C(x)).over(p.last(n)))
     return d.withColumn(out, F.nanvl(run("_w"), F.lit(None).cast("double"))).drop("_w")
-
-
-def run_control_chart(spark: SparkSession, sf: str, work: str) -> DataFrame:
-    """Drive the streaming control chart over the events table to completion and return its alarms.
-
-    Reference mean and deviation come from the first week (a training slice).
-    """
-    from ..sources.tables import table
-    from ..streaming.stateful import control_chart
-    e = table(spark, sf, "events")
-    train = e.where(C("ts") < F.lit("2024-01-08").cast("timestamp_ntz")).agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")).first()
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = e.select("event_type", C("ts").cast("timestamp").alias("ts"), "value")
-    rows.write.mode("overwrite").parquet(f"{work}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
-    q = (control_chart(stream, "event_type", train["mu"], train["sd"]).writeStream.format("parquet").outputMode("append")
-         .option("path", f"{work}/out").option("checkpointLocation", f"{work}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema("key string, ts timestamp, cusum_alarm int, ewma_alarm int").parquet(f"{work}/out")

@@ -9,7 +9,7 @@ from ..functions.scale import repeat, with_row
 from ..functions.windows import Series, clip, flag, nz, pct_rank
 from ..operators import backtest as bk, explog, features as feats, metrics as mt, quality as dq, ranking as rk, regime as rg, risk as rs, splits as sp
 from ..operators.features import calendar as cal, cross
-from ..sources import panel as pn
+from ..sources import panel as pn, segments as seg
 from ..sources.tables import bars, events, experiments, macro, table, universe
 from .common import scratch, signals, stock_run
 from .catalogue import CAT, COLUMNS, catalogue, unpivoted
@@ -113,9 +113,26 @@ def src11(spark, sf):
     return written_log(spark, sf).select("id", "type", "metrics.sharpe", "metrics.oos_sharpe", C("body.config.ticker").alias("ticker"), F.size("body.config.features").alias("n_features"))
 
 
+@query("SRC-11b", with_(["entry AS (SELECT doc_id AS id, quality FROM labels)", "body AS (SELECT doc_id AS id, md5(text) AS digest FROM documents)"],
+  "SELECT coalesce(e.id, b.id) AS id, coalesce(quality, -1) AS quality, digest, CASE WHEN b.id IS NULL THEN 'no_body' WHEN e.id IS NULL THEN 'no_entry' ELSE 'both' END AS state FROM entry e FULL JOIN body b ON e.id = b.id"))
+def src11b(spark, sf):
+    """The log's index (labels) joined to its bodies (JSON documents, each with the file it came from); orphans on either side are named."""
+    root = scratch(spark)
+    pn.write_json(table(spark, sf, "documents").select(C("doc_id").alias("id"), F.struct(C("text").alias("hypothesis")).alias("body")), root)
+    bodies = explog.read_log(spark, root, multi_line=False, with_file=True).withColumn("id", C("id").cast("bigint"))
+    d = explog.indexed(table(spark, sf, "labels").select(C("doc_id").alias("id"), "quality"), bodies)
+    return d.select("id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.md5("body.hypothesis").alias("digest"), "state")
+
+
 @query("SRC-12", with_([EXPLOG], "SELECT id, type, sharpe FROM explog ORDER BY id DESC LIMIT 2000"))
 def src12(spark, sf):
-    return explog.newest(experiments(spark, sf), 2000, order="id").select("id", "type", "sharpe")
+    """The log appended in three parts, oldest first, with retention by whole segments; the newest 2,000 records."""
+    e, root = experiments(spark, sf).select("id", "type", "sharpe"), scratch(spark)
+    top = e.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    for k in range(3):
+        part = F.floor((C("id") - top["lo"]) * 3 / (top["hi"] - top["lo"] + 1)) == k
+        seg.append(e.where(part), root)
+    return seg.newest(spark, root, "id")
 
 
 @query("SRC-13", chain([BARS], "bars", [{"r": pct("close")}, {"v": f"({std('r', 21)}) * sqrt(252.0)"}], "SELECT symbol, ts, " + rnd("v", 6, "vol_21d") + " FROM {last}"))
@@ -489,13 +506,19 @@ def set3(spark, sf):
     return pn.dedup_keep([target, b.where(C("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))], ["symbol", "ts"])
 
 
-@query("SET-4", f"WITH {BARS} SELECT symbol, ts, close FROM bars")
+def _filled(t: str) -> str:
+    return f"SELECT '{t}' AS source, name, n FROM (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME name VALUE n)"
+
+
+@query("SET-4", with_([BARS, "need AS (SELECT unnest(['ts', 'symbol', 'open', 'high', 'low', 'close', 'volume']) AS name)", "have AS (" + " UNION ALL ".join(map(_filled, ("bars", "orders", "events"))) + ")",
+  "src AS (SELECT DISTINCT source FROM have)"],
+  """SELECT source, need.name, 'missing' AS verdict, 0::BIGINT AS n FROM src, need WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.source = src.source AND h.name = need.name)
+  UNION ALL SELECT source, name, CASE WHEN name IN (SELECT name FROM need) THEN 'present' ELSE 'extra' END, n FROM have"""))
 def set4(spark, sf):
-    b = bars(spark, sf)
-    missing = {"open", "high", "low", "close", "volume"} - set(b.columns)
-    if missing:
-        raise ValueError(f"missing columns {sorted(missing)}")
-    return b.select(*KEYS, "close")
+    """What each input has and lacks of a bar's columns, what it has besides, and how many values are there."""
+    given = {"bars": bars(spark, sf), "orders": table(spark, sf, "orders"), "events": events(spark, sf)}
+    parts = [dq.column_differences(d, [*KEYS, *O5]).withColumn("source", F.lit(name)) for name, d in given.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SET-5", with_([EXPLOG], "SELECT a.id, b.id AS other, len(list_intersect(a.tags, b.tags))::INTEGER AS both_, len(list_distinct(list_concat(a.tags, b.tags)))::INTEGER AS either FROM explog a JOIN explog b ON b.id = a.id + 1"))

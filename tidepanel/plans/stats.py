@@ -22,13 +22,12 @@ from .windows import open_trades, s_cdf, s_cdf0, s_ppf
 C = F.col
 KEYS = ("symbol", "ts")
 
-# one run per symbol: Sharpe, bars, moments, and the number of trials so far
-RUNS = [*BT, f"""runs AS (SELECT symbol AS run_id, 4 * ({sharpe('net_return')} - avg({sharpe('net_return')}) OVER ()) AS sharpe, count(*) AS n_bars, skewness(net_return) AS skewness, kurtosis(net_return) + 3 AS kurtosis,
-  CAST(substring(symbol, 2) AS BIGINT) % 40 + 1 AS n_trials FROM bt GROUP BY symbol)"""]
-
-
 REV = [*SIG, "rv AS (SELECT * REPLACE (-signal AS signal) FROM sig)", *bt("rv", STOCK)]
 
+# one run per symbol: annual Sharpe, bars, moments, and the number of trials: the runs of the same search, which is one universe of symbols
+RUNS = [*REV, UNIVERSE, "tr AS (SELECT universe, count(*) AS n_trials FROM (SELECT DISTINCT symbol FROM bt) JOIN universe USING (symbol) GROUP BY 1)", f"""runs AS (SELECT symbol AS run_id, r.* EXCLUDE (symbol), n_trials FROM (
+  SELECT symbol, {sharpe('net_return')} AS sharpe, count(*) AS n_bars, skewness(net_return) AS skewness, kurtosis(net_return) + 3 AS kurtosis FROM bt GROUP BY symbol) r JOIN universe USING (symbol) JOIN tr USING (universe))"""]
+
 
 def reversal_run(spark, sf):
     """The baseline with its direction turned round: the bars revert, so part of the symbols pass gates."""
@@ -36,13 +35,14 @@ def reversal_run(spark, sf):
 
 
 def runs(spark, sf):
-    """One run per symbol: four times its Sharpe relative to the universe mean, so that significance varies."""
-    d = stock_run(spark, sf)
-    a = d.groupBy("symbol").agg(mt.sharpe("net_return").alias("_s"), F.count(F.lit(1)).alias("n_bars"), F.skewness("net_return").alias("g1"), F.kurtosis("net_return").alias("g2"))
-    a = with_row(a, a.agg(F.avg("_s").alias("_m"))).withColumn("sharpe", 4.0 * (C("_s") - C("_m")))
+    """One run per symbol; the symbols of one universe are the trials of one search."""
+    d = reversal_run(spark, sf)
+    a = d.groupBy("symbol").agg(mt.sharpe("net_return").alias("sharpe"), F.count(F.lit(1)).alias("n_bars"), F.skewness("net_return").alias("g1"), F.kurtosis("net_return").alias("g2"))
+    a = cut_lineage(a.join(universe(spark, sf).select("symbol", "universe"), "symbol"))      # one row a run, read twice
+    a = a.join(a.groupBy("universe").agg(F.count(F.lit(1)).alias("n_trials")), "universe")
     k = C("n_bars").cast("double")
     return a.select(C("symbol").alias("run_id"), "sharpe", "n_bars", (C("g1") * F.sqrt(k * (k - 1)) / (k - 2)).alias("skewness"),
-                    ((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * C("g2") + 6) + 3).alias("kurtosis"), (F.substring("symbol", 2, 20).cast("bigint") % 40 + 1).alias("n_trials"))
+                    ((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * C("g2") + 6) + 3).alias("kurtosis"), "n_trials")
 
 
 @query("STAT-1", with_([*RUNS, f"t AS (SELECT *, sharpe * sqrt(n_bars / 252.0) AS t FROM runs)"], f"SELECT run_id, round(t, 4) + 0.0 AS t_stat, round(1 - {s_cdf0('t')}, 4) + 0.0 AS p_value, round(n_bars / 252.0, 2) AS n_years, CASE WHEN 1 - {s_cdf0('t')} < 0.05 THEN 1 ELSE 0 END AS significant_at_05 FROM t"))
@@ -756,12 +756,6 @@ def stf10(spark, sf):
     return sb.drop_duplicate_bars(b.unionByName(b.where(F.day("ts") < 15)))
 
 
-@query("STF-4")
-def stf4(spark, sf):
-    """The control chart as a finished stream over the events table (available rows, then stop)."""
-    return user.run_control_chart(spark, sf, scratch(spark))
-
-
 # user functions --------------------------------------------------------------------------------
 @query("UDF-1", with_(WFM, f"SELECT symbol, CAST(fold AS INTEGER) AS fold, split, {rnd('sharpe_ratio', 6, 'sharpe_ratio')} FROM met"))
 def udf1(spark, sf):
@@ -770,12 +764,17 @@ def udf1(spark, sf):
     return rounded(sp.walk_forward(b, sp.bar_folds(b), strategy).select("symbol", "fold", "split", "sharpe_ratio"))
 
 
-@query("UDF-2", chain([BARS], "bars", [{"r5": pct("close", 5), "v20": mean("volume", 20)}], f"SELECT symbol, ts, {rnd('r5 * volume / v20', 7, 'flow')} FROM {{last}}"))
+@query("UDF-2", chain([BARS], "bars", [{"r5": pct("close", 5), "v20": mean("volume", 20)}], f"SELECT symbol, ts, {rnd('r5 * volume / v20', 7, 'flow')}, false AS looks_ahead FROM {{last}}"))
 def udf2(spark, sf):
+    """A registered factor with the verdict of the look-ahead check: whether any value up to the middle of the panel changes when the bars
+    behind it are taken away."""
     @user.factor("flow")
     def flow(p):
         return [{"_r5": p.pct("close", 5), "_v20": p.mean("volume", 20)}, {"flow": C("_r5") * C("volume") / C("_v20")}]
-    return rounded(user.compute(bars(spark, sf), ["flow"]).select(*KEYS, "flow"), 7)
+    b = bars(spark, sf)
+    middle = b.agg(F.timestamp_micros(((F.min(F.unix_micros(C("ts").cast("timestamp"))) + F.max(F.unix_micros(C("ts").cast("timestamp")))) / 2).cast("bigint")).cast("timestamp_ntz")).first()[0]
+    moved = user.looks_ahead(b, "flow", middle).agg((F.count(F.lit(1)) > 0).alias("looks_ahead"))
+    return with_row(rounded(user.compute(b, ["flow"]).select(*KEYS, "flow"), 7), moved)
 
 
 @query("UDF-3", chain([BARS], "bars", [{"u": f"CASE WHEN close > {lag('close')} THEN 1.0 ELSE 0.0 END"}, {"f": f"CASE WHEN count(close) {last(10)} >= 10 THEN sum(u) {last(9)} / 9.0 END"}], f"SELECT symbol, ts, {rnd('f', 7, 'rises')} FROM {{last}}"))

@@ -5,27 +5,61 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sequential import TIERS, TierState
 
+C = F.col
+
 
 class ControlChart(StatefulProcessor):
-    """Two-sided CUSUM with reset and an exponentially weighted mean, against a fixed reference mean and deviation."""
+    """Two-sided CUSUM with reset and an exponentially weighted mean, against a fixed reference mean and deviation.
+
+    Rows wait in list state until the watermark has passed them and are then charted in order of (ts, seq), so batches that come out of
+    order, or cut anywhere, give the same chart. One timer a key stands at the least waiting time. Rows behind the watermark on arrival are
+    dropped by the stream. State: three numbers and the rows of one watermark delay a key.
+    """
 
     def __init__(self, mu: float, sd: float, threshold: float = 4.0, drift: float = 0.0, lam: float = 0.2, width: float = 3.0):
         self.mu, self.sd, self.threshold, self.drift, self.lam, self.width = mu, sd, threshold, drift, lam, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("chart", "hi double, lo double, ewma double")
+        self.handle = handle
+        self.state = handle.getValueState("chart", "hi double, lo double, ewma double, timer bigint")
+        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, value double")
+
+    def _numbers(self) -> tuple[float, float, float, int]:
+        return self.state.get() if self.state.exists() else (0.0, 0.0, 0.0, -1)
+
+    def _wake(self, at: int, timer: int) -> int:
+        """Moves the timer to ``at`` (milliseconds), if that is earlier or no timer stands."""
+        if timer >= 0 and timer <= at:
+            return timer
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+        return at
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        hi, lo, ew = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0)
+        least = None
+        for frame in rows:
+            us = frame["us"].to_numpy()
+            self.waiting.appendList([(int(t), int(q), float(v)) for t, q, v in zip(us, frame["seq"], frame["value"])])
+            least = int(us.min()) if least is None else min(least, int(us.min()))
+        hi, lo, ew, timer = self._numbers()
+        self.state.update((hi, lo, ew, self._wake(least // 1000, timer)))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.waiting.get())
+        ready, rest = [r for r in held if r[0] // 1000 <= mark], [r for r in held if r[0] // 1000 > mark]
+        hi, lo, ew, _ = self._numbers()
         limit = self.width * (self.lam / (2 - self.lam)) ** 0.5
-        batch = pd.concat(list(rows)).sort_values("ts")
         alarm, chart = [], []
-        for v in (batch["value"].to_numpy(float) - self.mu) / max(self.sd, 1e-9):
+        for _, _, value in ready:
+            v = (value - self.mu) / max(self.sd, 1e-9)
             hi, lo = max(0.0, hi + v - self.drift), max(0.0, lo - v - self.drift)
             ew = (1 - self.lam) * ew + self.lam * v
             hit = hi > self.threshold or lo > self.threshold
@@ -33,17 +67,26 @@ class ControlChart(StatefulProcessor):
                 hi = lo = 0.0
             alarm.append(int(hit))
             chart.append(int(abs(ew) > limit))
-        self.state.update((float(hi), float(lo), float(ew)))
-        yield pd.DataFrame({"key": str(key[0]), "ts": batch["ts"].to_numpy(), "cusum_alarm": pd.array(alarm, "int32"), "ewma_alarm": pd.array(chart, "int32")})
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self.state.update((float(hi), float(lo), float(ew), self._wake(rest[0][0] // 1000, -1) if rest else -1))
+        if ready:
+            yield pd.DataFrame({"key": str(key[0]), "us": [r[0] for r in ready], "seq": [r[1] for r in ready], "cusum_alarm": pd.array(alarm, "int32"), "ewma_alarm": pd.array(chart, "int32")})
 
     def close(self) -> None:
         pass
 
 
-def control_chart(stream: DataFrame, key: str, mu: float, sd: float, **kw) -> DataFrame:
-    """stream: key, ts, value -> alarms per row."""
-    return stream.groupBy(key).transformWithStateInPandas(
-        ControlChart(mu, sd, **kw), outputStructType="key string, ts timestamp, cusum_alarm int, ewma_alarm int", outputMode="Append", timeMode="None")
+def control_chart(stream: DataFrame, key: str, mu: float, sd: float, late: str = "10 minutes", **kw) -> DataFrame:
+    """stream: key, ts, seq (orders rows of one time), value -> key, ts, seq, alarms of every row that the watermark has passed.
+    Rows without ts or value are left out."""
+    d = stream.where("ts IS NOT NULL AND value IS NOT NULL").withWatermark("ts", late)
+    d = d.select(key, "ts", F.unix_micros("ts").alias("us"), C("seq").cast("bigint").alias("seq"), C("value").cast("double").alias("value"))
+    out = d.groupBy(key).transformWithStateInPandas(
+        ControlChart(mu, sd, **kw), outputStructType="key string, us bigint, seq bigint, cusum_alarm int, ewma_alarm int", outputMode="Append", timeMode="EventTime")
+    return out.select("key", F.timestamp_micros("us").alias("ts"), "seq", "cusum_alarm", "ewma_alarm")
 
 
 class DrawdownTiers(StatefulProcessor):
