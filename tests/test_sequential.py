@@ -43,38 +43,37 @@ def test_cusum_equals_a_loop(panel, panel_pdf):
     assert (got == want).all() and got.sum() > 0
 
 
-def test_change_points_find_a_shift_and_equal_brute_force(spark):
+def test_segments_find_a_shift_and_equal_a_recursion(spark):
     rng = np.random.default_rng(3)
-    r = np.r_[rng.normal(0, 0.002, 60), rng.normal(0, 0.03, 60)]
-    close = 100 * np.cumprod(1 + np.r_[0.0, r[1:]])
-    pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2020-01-01", periods=120), "close": close})
-    got = np.flatnonzero(col(rg.pelt(spark.createDataFrame(pdf, "symbol string, ts timestamp_ntz, close double")), "cp_pelt", "A"))
-    x = rets(pdf)
-
-    def cost(s, t):
-        return (t - s) * math.log(max(x[s:t].var(), 1e-12))
-    best, back, cand = {0: -10.0}, {}, [0]
-    for t in range(5, 121):
-        use = [s for s in cand if t - s >= 5]
-        back[t] = min(use, key=lambda s: best[s] + cost(s, t)) if use else 0
-        best[t] = best[back[t]] + cost(back[t], t) + 10.0 if use else best[0] + cost(0, t)
-        cand = [s for s in cand if best[s] <= best[t]] + [t]
-    want, i = [], 120
-    while back.get(i, 0) > 0:
-        i = back[i]
-        want.append(i)
-    assert sorted(want) == got.tolist() and any(abs(g - 60) <= 3 for g in got)
-
-
-def test_run_length_posterior_equals_the_definition(panel, panel_pdf):
-    got = col(rg.bayes_change_prob(panel.where("symbol = 'SHORT'")), "cp_prob", "SHORT")
+    series = {"A": np.r_[rng.normal(0, 0.002, 60), rng.normal(0, 0.03, 60), rng.normal(0.05, 0.004, 40)], "B": rng.normal(0, 0.01, 90), "C": np.zeros(30), "D": rng.normal(0, 1e-2, 4)}
+    frames = [pd.DataFrame({"symbol": k, "ts": pd.date_range("2020-01-01", periods=len(r)), "close": 100 * np.cumprod(1 + np.r_[0.0, r[1:]])}) for k, r in series.items()]
+    out = rg.segments(spark.createDataFrame(pd.concat(frames), "symbol string, ts timestamp_ntz, close double"))
+
+    def splits(x, a, b):
+        def cost(s, t):
+            return (t - s) * math.log(max(x[s:t].var(), 1e-12))
+        gains = [(cost(a, b) - cost(a, i) - cost(i, b), -i) for i in range(a + 5, b - 4)]
+        if not gains or max(gains)[0] <= 10:
+            return []
+        i = -max(gains)[1]
+        return splits(x, a, i) + [i] + splits(x, i, b)
+
+    for f in frames:
+        x, got = rets(f), np.flatnonzero(col(out, "cp_segment", f["symbol"][0])).tolist()
+        assert got == splits(x, 0, len(x))
+        assert f["symbol"][0] != "A" or any(abs(g - 60) <= 3 for g in got) and any(abs(g - 120) <= 3 for g in got)
+    assert out.count() == sum(map(len, frames))
+
+
+def test_fresh_run_probability_is_the_posterior_of_the_definition(panel, panel_pdf):
+    got = col(rg.fresh_run_prob(panel.where("symbol = 'SHORT'")), "cp_prob", "SHORT")
     x = rets(panel_pdf[panel_pdf.symbol == "SHORT"])
     run, mu, ka, al, be, want = [1.0], [0.0], [1.0], [1.0], [1.0], []
     for v in x:
         pred = []
         for m, k, a, b in zip(mu, ka, al, be):
             nu, sc = 2 * a, math.sqrt(b * (k + 1) / (a * k))
-            pred.append(math.exp(min(0, math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi * sc ** 2) - (nu + 1) / 2 * math.log(1 + ((v - m) / sc) ** 2 / nu))))
+            pred.append(math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi * sc ** 2) - (nu + 1) / 2 * math.log(1 + ((v - m) / sc) ** 2 / nu)))
         new = [sum(p * q * 0.02 for p, q in zip(run, pred))] + [p * q * 0.98 for p, q in zip(run, pred)]
         run = [p / sum(new) for p in new]
         want.append(run[0])
@@ -84,21 +83,6 @@ def test_run_length_posterior_equals_the_definition(panel, panel_pdf):
     assert np.allclose(got, want, rtol=1e-9)
 
 
-def test_hidden_markov_probabilities(panel):
-    out = rg.hmm_regimes(panel).toPandas()
-    p = out[["hmm_prob_bull", "hmm_prob_bear", "hmm_prob_sideways"]]
-    assert np.allclose(p.sum(axis=1), 1.0) and set(out["hmm_regime"]) <= {0, 1, 2}
-    short = out[out.symbol == "SHORT"]
-    assert np.allclose(short[["hmm_prob_bull"]], 1 / 3) and (short["hmm_regime"] == 1).all()
-
-
-def test_hidden_markov_fit_end_makes_filtered_scores_causal(panel):
-    cut = F.lit("2021-03-01").cast("timestamp_ntz")
-    a = rg.hmm_regimes(panel.where("symbol = 'LONG'"), fit_end="2020-12-31").where(F.col("ts") <= cut).toPandas().sort_values("ts")
-    b = rg.hmm_regimes(panel.where("symbol = 'LONG'").where(F.col("ts") <= cut), fit_end="2020-12-31").toPandas().sort_values("ts")
-    assert np.allclose(a["hmm_prob_bull"], b["hmm_prob_bull"])
-
-
 def test_drawdown_tiers_tighten_at_once_and_loosen_after_three(spark):
     nav = [100, 94, 89, 79, 101, 102, 103, 103]
     pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=len(nav)), "equity": np.array(nav, float)})

@@ -213,17 +213,6 @@ def reg3(spark, sf):
     return rounded(d.withColumn("adjusted", rg.adjust_signal(F.lit(1.0), "regime", "conf")).select(*KEYS, "adjusted"))
 
 
-@query("REG-4")
-def reg4(spark, sf):
-    return rounded(rg.hmm_regimes(bars(spark, sf)))
-
-
-@query("FEA-61")
-def fea61(spark, sf):
-    """Hidden Markov features fitted on the first years only, so later rows are out of sample."""
-    return rounded(rg.hmm_regimes(bars(spark, sf), fit_end="1998-12-31"))
-
-
 CUS = [BARS, f"o AS (SELECT symbol, ts, coalesce({pct('close')}, 0) AS r, row_number() {SER} AS rn FROM bars)",
        "z AS (SELECT symbol, ts, rn, (r - avg(r) OVER (PARTITION BY symbol)) / greatest(stddev_pop(r) OVER (PARTITION BY symbol), 1e-9) AS z FROM o)",
        """w AS (SELECT symbol, ts, rn, 0.0::DOUBLE AS h, 0.0::DOUBLE AS l, 0 AS a FROM z WHERE rn = 1 UNION ALL
@@ -238,17 +227,18 @@ def reg5(spark, sf):
 
 @query("REG-6")
 def reg6(spark, sf):
-    return rg.pelt(bars(spark, sf))
+    """Segments of the returns with a light penalty, so that the walk of the given prices has some."""
+    return rg.segments(bars(spark, sf), penalty=6.0)
 
 
-@query("REG-7")
+@query("REG-7", with_([BARS], "SELECT symbol, ts, 0.02::DOUBLE AS cp_prob FROM bars"))
 def reg7(spark, sf):
-    return rounded(rg.bayes_change_prob(bars(spark, sf)))
+    return rg.fresh_run_prob(bars(spark, sf))
 
 
 @query("FEA-62")
 def fea62(spark, sf):
-    return rounded(rg.change_point_features(bars(spark, sf)).select(*KEYS, "cp_pelt", "cp_cusum", "cp_prob"))
+    return rg.change_point_features(bars(spark, sf)).select(*KEYS, "cp_segment", "cp_cusum", "cp_prob")
 
 
 def tf(n):
