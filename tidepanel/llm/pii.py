@@ -1,6 +1,7 @@
 """Surrogates for personal data: every entity gets one keyed replacement of its own type, gender, script and format."""
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -14,7 +15,8 @@ from .common import cut, keep, table
 KEY = "change me"
 #: What each kind of entity looks like. Earlier kinds win where two overlap at one place.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a local part has at most 64 characters and begins where a run begins, so a long run is looked at once
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b|(?<![0-9A-Fa-f])[0-9A-Fa-f]{40}(?![0-9A-Fa-f])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
@@ -30,7 +32,9 @@ NAMES = {
     "cyrillic": (["Анна", "Вера", "Елена", "Ирина", "Мария", "Ольга", "София", "Юлия"], ["Алексей", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Сергей"],
                  ["Беленко", "Гончар", "Коваленко", "Лысенко", "Мельник", "Петренко", "Романюк", "Шевчук"]),
 }
-HONORIFIC = {"Mrs": "f", "Ms": "f", "Mme": "f", "Frau": "f", "Mr": "m", "Herr": "m"}
+#: Titles that introduce a person, by gender; x stands for either.
+HONORIFIC = {"Mrs": "f", "Ms": "f", "Miss": "f", "Mme": "f", "Mlle": "f", "Madame": "f", "Frau": "f", "Señora": "f", "Sra": "f", "госпожа": "f", "Госпожа": "f",
+             "Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "господин": "m", "Господин": "m", "Dr": "x", "Prof": "x"}
 
 
 HEX = re.compile(r"[0-9A-Fa-f]{40}")
@@ -39,10 +43,11 @@ FOUND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in KINDS.items()))
 SECRET_WORDS = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|auth)[ _-]?key)"
 #: a secret is what follows such a word and a sign, with blanks and quotes or without
 KEYED = re.compile(SECRET_WORDS + r"""["']?[ \t]*[:=][ \t]*(?:"([^"\n]+)"(?=[^\w\s]*(?:\s|$))|'([^'\n]+)'(?=[^\w\s]*(?:\s|$))|(\S+))""")
-#: persons are found by a title, which gives the gender
-TITLED = re.compile(r"\b(Mrs|Ms|Mme|Frau|Mr|Herr)\.? ([^\W\d_]\w+(?: [^\W\d_]\w+)?)")
+TITLE = "(?:" + "|".join(sorted(HONORIFIC, key=len, reverse=True)) + ")"
+#: persons are found by a title, the last of several, which gives the gender
+TITLED = re.compile(rf"\b(?:{TITLE}\.? )*({TITLE})\.? (?!{TITLE}\b)([^\W\d_]\w+(?: [^\W\d_]\w+)?)")
 #: a text without any of these holds none of the entities, so the slower patterns need not look
-HINT = re.compile(r"[@\d]|AKIA|gh[pousr]_|sk-|" + SECRET_WORDS + r"|\b(?:Mrs|Ms|Mme|Frau|Mr|Herr)\b")
+HINT = re.compile(r"[@\d]|AKIA|gh[pousr]_|sk-|" + SECRET_WORDS + rf"|\b{TITLE}\b")
 
 
 def canonical(kind: str, raw: str) -> str:
@@ -69,20 +74,40 @@ def _keyed(t: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, in
     return found
 
 
+def _persons(t: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Given and family names behind titles and every other mention of them in the text, as they stand or in capitals."""
+    taken, names = sorted(found), {}
+    starts = [e[0] for e in taken]
+
+    def free(start: int, stop: int) -> bool:
+        k = bisect.bisect_left(starts, stop)
+        return k == 0 or taken[k - 1][1] <= start
+
+    for m in TITLED.finditer(t):
+        words = m.group(2).split()
+        if not words[0][0].isupper():
+            continue
+        if len(words) > 1 and words[1][0].isupper():
+            names.setdefault(words[0], f"given_{HONORIFIC[m.group(1)]}")
+            names[words[1]] = "family"
+        else:
+            names[words[0]] = "family"
+    if not names:
+        return found
+    loud = {n.upper(): n for n in sorted(names)} | {n: n for n in names}
+    some = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(loud, key=lambda n: (-len(n), n)))) + r")(?!\w)")
+    return found + [(m.start(), m.end(), names[loud[m.group()]], loud[m.group()]) for m in some.finditer(t) if free(m.start(), m.end())]
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, stop, kind, canonical form), ascending and apart."""
+    """(start, stop, kind, canonical form), ascending and apart. A person is a title's given and family name, each an entity of its own, and
+    so is every later or earlier mention of either in the same text. Cards must have a valid check digit."""
     t = text or ""
     if not HINT.search(t):
         return []
     out = [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m.group())) for m in FOUND.finditer(t)]
-    out = _keyed(t, out)
-    for m in TITLED.finditer(t):
-        if m.group(2)[0].isupper():
-            words = m.group(2).split()
-            stop = m.end() if len(words) == 1 or words[1][0].isupper() else m.start(2) + len(words[0])
-            if not any(s < stop and m.start(2) < e for s, e, _, _ in out):
-                out.append((m.start(2), stop, f"person_{HONORIFIC[m.group(1)]}", t[m.start(2):stop]))
-    return sorted(out)
+    out = [e for e in out if e[2] != "card" or luhn(e[3][:-1]) == e[3][-1]]
+    return sorted(_persons(t, _keyed(t, out)))
 
 
 class _Stream:
@@ -118,47 +143,54 @@ def luhn(digits: str) -> str:
     return str(-total % 10)
 
 
+def iban_check(country: str, body: str) -> str:
+    """The two digits that make an account number valid: 98 less the rest of its number modulo 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     """The replacement's canonical form: a function of key, kind, value and attempt. Digits, cases and lengths are kept; mail goes to
-    example.org, addresses to any of their form, cards keep their first digit and a valid check digit."""
+    example.org, addresses to any of their form, cards keep their first digit and a valid check digit, account numbers get valid ones.
+    Values that collide time and again become longer, so that no space of values is ever full."""
     s = _Stream(key, kind, value, attempt)
+    longer = "".join(s.like("0") for _ in range(attempt // 8))
     if kind == "email":
         local, host = value.rsplit("@", 1)
         return "".join(map(s.like, local)) + s.more(attempt) + "@" + "".join(map(s.like, host.rsplit(".", 1)[0].split(".")[0])) + ".example.org"
     if kind == "ip":
-        return ".".join(str(x) for x in (1 + s.below(223), s.below(256), s.below(256), s.below(256)))
+        return ".".join(str(x) for x in (1 + s.below(223), s.below(256), s.below(256), s.below(256))) + (f"%{longer}" if longer else "")
     if kind == "card":
-        body = value[0] + "".join(map(s.like, value[1:-1]))
+        body = value[0] + "".join(map(s.like, value[1:-1])) + longer
         return body + luhn(body)
     if kind == "iban":
-        return value[:2] + "".join(map(s.like, value[2:]))
+        body = "".join(map(s.like, value[4:])) + longer
+        return value[:2] + iban_check(value[:2], body) + body
     if kind == "phone":
         lead = len(value) - 10 if value.startswith("+") and len(value) > 10 else value.startswith("+")
-        return value[:lead] + "".join(map(s.like, value[lead:]))
+        return value[:lead] + "".join(map(s.like, value[lead:])) + longer
     if kind == "secret":
         lead = next((len(p) for p in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-") if value.startswith(p)), 0)
         hexa = not lead and re.fullmatch(r"[0-9a-f]+", value)
         signs = not any(c.isalnum() for c in value[lead:])      # nothing but signs: letters, as signs alone would stay as they are
         like = lambda c: "0123456789abcdef"[s.below(16)] if hexa else s.like("a" if signs or not c.isascii() else c)
         return value[:lead] + "".join(map(like, value[lead:])) + s.more(attempt)
-    if kind.startswith("person"):
-        script = "cyrillic" if re.search(r"[\u0400-\u04ff]", value) else "latin"
-        women, men, family = NAMES[script]
-        words = value.split()
-        given = women if kind.endswith("f") else men
-        last = family[s.below(len(family))]
+    if kind == "family" or kind.startswith("given"):
+        women, men, family = NAMES["cyrillic" if re.search(r"[\u0400-\u04ff]", value) else "latin"]
+        pool = family if kind == "family" else {"f": women, "m": men}.get(kind[-1], women + men)
+        name = pool[s.below(len(pool))]
         for _ in range(attempt // 2):       # few names collide often: later draws are longer, so there are always enough
-            last += family[s.below(len(family))].lower()
-        return f"{given[s.below(len(given))]} {last}" if len(words) > 1 else last
-    return "".join(map(s.like, value))
+            name += pool[s.below(len(pool))].lower()
+        return name
+    return "".join(map(s.like, value)) + longer
 
 
 def dressed(raw: str, kind: str, new: str) -> str:
-    """The replacement in the spelling of the place: its separators and, for mail and hexadecimal secrets, its case."""
+    """The replacement in the spelling of the place: its separators and, for mail, names and hexadecimal secrets, its case."""
     if kind in ("card", "phone", "iban", "ssn"):
         chars = iter(new)
         return "".join(next(chars, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in raw) + "".join(chars)
-    return new.upper() if raw.isupper() and (kind == "email" or HEX.fullmatch(raw)) else new
+    loud = kind == "email" or HEX.fullmatch(raw) or (kind == "family" or kind.startswith("given")) and len(raw) > 1
+    return new.upper() if raw.isupper() and loud else new
 
 
 def register(docs: DataFrame, key: str = KEY) -> DataFrame:
