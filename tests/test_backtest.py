@@ -1,6 +1,6 @@
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidepanel.operators import backtest as bk, metrics as mt, ranking as rk, splits as sp
 
@@ -68,3 +68,43 @@ def test_block_bootstrap_is_repeatable(panel):
     a = bk.block_bootstrap(s, 4).toPandas().sort_values("resample")["sharpe"].to_numpy()
     b = bk.block_bootstrap(s, 4).toPandas().sort_values("resample")["sharpe"].to_numpy()
     assert np.array_equal(a, b) and len(set(a)) > 1
+
+
+def exchanges_above_copies(df):
+    """Shuffles and sorts that a plan runs on rows already copied."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    return plan.count("Exchange"), plan.count("Sort [")
+
+
+def test_copies_of_resampled_bars_are_neither_shuffled_nor_sorted(panel):
+    s = sp.momentum_signal(panel)
+    for d in (bk.signal_noise(s, 4), bk.crash_injection(s)):
+        assert exchanges_above_copies(d) == (0, 0)
+    assert "Generate" not in bk.block_bootstrap(s, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_paths_in_small_steps_equal_one_step(monkeypatch):
+    ret = np.random.default_rng(1).normal(0, 0.01, 130)
+    whole = np.vstack([r for _, r in bk.block_paths(ret, 7, 42)])
+    monkeypatch.setattr(bk, "PATHS", 300)
+    parts = list(bk.block_paths(ret, 7, 42))
+    assert len(parts) == 4 and np.array_equal(np.vstack([r for _, r in parts]), whole)
+
+
+def test_noise_equals_a_backtest_of_the_noisy_signals(spark, panel):
+    s = sp.momentum_signal(panel.where("symbol = 'MID'"))
+    d = s.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
+    x = (F.col("rn").cast("bigint") * 1000003 + 7919 + 42) % 2147483647
+    want = bk.sharpes(bk.run(d.withColumn("signal", F.signum(F.col("signal") + 0.05 * bk.gaussian(x)))), ("symbol",)).first()["sharpe"]
+    assert np.isclose(bk.signal_noise(s, 2).where("resample = 1").first()["sharpe"], want)
+
+
+def test_variants_are_copied_after_their_windows(panel):
+    d = panel.where("symbol IN ('LONG', 'FLAT')").withColumns({"proba": F.lit(0.8) - F.col("volume") / 2000, "golden_cross": F.lit(1)})
+    nav = bk.variant_navs(d, bk.variant_positions())
+    assert exchanges_above_copies(nav) == (0, 0)
+    hold = nav.where("variant = 'buy_and_hold' AND symbol = 'LONG'").toPandas().sort_values("ts")
+    close = panel.where("symbol = 'LONG'").toPandas().sort_values("ts")["close"].to_numpy()
+    assert np.allclose(hold["nav"], close / close[0])
+    top = np.maximum.accumulate(hold["nav"].to_numpy())
+    assert np.allclose(hold["drawdown"], hold["nav"].to_numpy() / top - 1)
