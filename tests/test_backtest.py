@@ -108,3 +108,16 @@ def test_variants_are_copied_after_their_windows(panel):
     assert np.allclose(hold["nav"], close / close[0])
     top = np.maximum.accumulate(hold["nav"].to_numpy())
     assert np.allclose(hold["drawdown"], hold["nav"].to_numpy() / top - 1)
+
+
+def test_fold_bounds_are_neither_expanded_nor_broadcast(panel):
+    b = panel.where("symbol IN ('LONG', 'MID')")
+    folds = sp.bar_folds(b)
+    got = sp.assign_bar_folds(b, folds)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    rows, f = got.toPandas(), folds.toPandas()
+    want = sum(int(r.train_end - r.train_start + 1 + r.test_end - r.test_start + 1) for r in f.itertuples())
+    assert len(rows) == want and sorted(got.columns) == sorted([*b.columns, "rn", "fold", "split"])
+    m = rows.merge(f, on=["symbol", "fold"])
+    train = m.rn.between(m.train_start, m.train_end)
+    assert (train == (m.split == "train")).all() and (train | m.rn.between(m.test_start, m.test_end)).all()
