@@ -4,6 +4,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scale import scan_by_key
@@ -236,6 +238,83 @@ def correlation_with_holdings(returns: DataFrame, book: DataFrame, min_overlap:
     return c.groupBy("candidate").agg(F.coalesce(F.max(ok), F.lit(0.0)).alias("max_corr"), F.count_if(C("overlap") >= min_overlap).alias("n_compared"))
 
 
+#: symbols of a block, and dates whose returns are held as one matrix
+BLOCK, DATES = 1024, 4096
+
+
+def _returns_at(times: list[np.ndarray], rets: list[np.ndarray], dates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols x dates: returns (zero where there is none) and 1 where there is one."""
+    x, m = np.zeros((len(times), len(dates))), np.zeros((len(times), len(dates)))
+    for i, (t, r) in enumerate(zip(times, rets)):
+        a, b = np.searchsorted(t, dates[0]), np.searchsorted(t, dates[-1], side="right")
+        at = np.searchsorted(dates, t[a:b])
+        x[i, at], m[i, at] = r[a:b], 1.0
+    return x, m
+
+
+def _block_correlations(a: list[tuple], b: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap and correlation (NaN where a side does not vary) of every series of ``a`` with every one of ``b``."""
+    (ta, ra), (tb, rb) = zip(*a), zip(*b)
+    dates = np.unique(np.concatenate([*ta, *tb]))
+    n, sx, sy, sxx, syy, sxy = np.zeros((6, len(a), len(b)))
+    for i in range(0, len(dates), DATES):
+        (x, mx), (y, my) = _returns_at(ta, ra, dates[i:i + DATES]), _returns_at(tb, rb, dates[i:i + DATES])
+        n += mx @ my.T
+        sx += x @ my.T
+        sy += mx @ y.T
+        sxx += (x * x) @ my.T
+        syy += mx @ (y * y).T
+        sxy += x @ y.T
+    with np.errstate(all="ignore"):
+        vx, vy = sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2
+        c = (sxy / n - sx / n * (sy / n)) / np.sqrt(vx * vy)
+        return n, np.where((vx > 1e-13 * sxx / n) & (vy > 1e-13 * syy / n), c, np.nan)
+
+
+def correlation_within(returns: DataFrame, members: DataFrame, min_overlap: int = 20, block: int = BLOCK) -> DataFrame:
+    """Highest |correlation| of each symbol with the others of its groups: (candidate, max_corr, n_compared).
+
+    members: symbol, universe; a row that comes more than once counts its bars as often. All pairs of a group are compared, which is
+    quadratic: a group is cut into blocks of about ``block`` symbols, a pair of blocks is a task of a few matrix products, and what leaves
+    it is one row per symbol."""
+    m = members.where("symbol IS NOT NULL AND universe IS NOT NULL").groupBy("symbol", "universe").agg(F.count(F.lit(1)).alias("k"))
+    blocks = m.groupBy("universe").agg(F.ceil(F.count(F.lit(1)) / block).alias("_nb"))
+    of = m.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("universe", "k"))).alias("of"))
+    r = returns.where("symbol IS NOT NULL AND ts IS NOT NULL AND ret IS NOT NULL")
+    s = r.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(C("ts").cast("timestamp")).alias("t"), C("ret").alias("r")))).alias("_s"))
+    d = s.join(of, "symbol").select("symbol", C("_s.t").alias("t"), C("_s.r").alias("r"), C("of.universe").alias("groups"), C("of.k").alias("times"), F.explode("of.universe").alias("universe"))
+    d = d.join(blocks, "universe").withColumn("own", F.pmod(F.xxhash64("symbol"), C("_nb")))
+    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), C("_nb") - 1)).alias("_other"))
+    d = d.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_nb", "_other")
+
+    def compared(t: pa.Table) -> pa.Table:
+        u, lo, hi = (t[c][0].as_py() for c in ("universe", "lo", "hi"))
+        own, names = t["own"].to_numpy(), t["symbol"].to_pylist()
+        series = [(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(t["t"], t["r"])]
+        series = [(x, y - y.mean()) for x, y in series]
+        belongs = [dict(zip(g, k)) for g, k in zip(t["groups"].to_pylist(), t["times"].to_pylist())]
+        ia, ib = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(ia) or not len(ib):
+            return pa.table({"candidate": pa.array([], pa.string()), "best": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        n, c = _block_correlations([series[i] for i in ia], [series[i] for i in ib])
+        every = sorted({g for x in belongs for g in x})
+        w = np.array([[x.get(g, 0) for g in every] for x in belongs], float)
+        n *= w[ia] @ w[ib].T
+        earlier = (w[:, :every.index(u)] > 0).astype(float)     # a pair of two groups is counted in the first of them
+        n[earlier[ia] @ earlier[ib].T > 0] = 0
+        if lo == hi:
+            np.fill_diagonal(n, 0)
+        ok = n >= min_overlap
+        c = np.where(ok & ~np.isnan(c), np.abs(c), -1.0)
+        rows = [(names[i], c[k].max(), int(ok[k].sum())) for k, i in enumerate(ia) if n[k].any()]
+        if lo != hi:
+            rows += [(names[i], c[:, k].max(), int(ok[:, k].sum())) for k, i in enumerate(ib) if n[:, k].any()]
+        return pa.table({"candidate": pa.array([x[0] for x in rows], pa.string()), "best": pa.array([x[1] for x in rows], pa.float64()), "n": pa.array([x[2] for x in rows], pa.int64())})
+
+    out = d.groupBy("universe", "lo", "hi").applyInArrow(compared, "candidate string, best double, n bigint")
+    return out.groupBy("candidate").agg(F.greatest(F.max("best"), F.lit(0.0)).alias("max_corr"), F.sum("n").alias("n_compared"))
+
+
 def screen_orders(orders: DataFrame, lim: OrderLimits = OrderLimits()) -> DataFrame:
     """Fourteen checks per order. Input columns: size, sector_exposure, n_ret, cvar, vol21, atr, price, cash_pct, stop_loss_pct,
     gross_positions, confidence, max_corr, leverage, daily_pnl_pct, drawdown, vix. Hard failures reject,
