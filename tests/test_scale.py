@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scale
-from tidepanel.functions.windows import Series, ewm
+from tidepanel.functions.windows import Series, ewm, ewms
 from tidepanel.operators import features as feats
 
 
@@ -80,3 +80,15 @@ def test_ewm_equals_the_recurrence(panel, panel_pdf, span):
     got = ewm(panel, "close", span, "e", Series(), span).toPandas().sort_values(["symbol", "ts"])
     want = panel_pdf.sort_values(["symbol", "ts"]).groupby("symbol")["close"].transform(lambda s: s.ewm(span=span, adjust=False, min_periods=span).mean())
     assert np.allclose(got["e"].astype(float), want, rtol=1e-12, equal_nan=True)
+
+
+def test_exponential_means_of_several_spans_share_one_sort(panel, panel_pdf):
+    gaps = panel.withColumn("close", F.when(F.dayofmonth("ts") % 5 != 0, F.col("close")))
+    spans = (2, 5, 7, 21, 63)
+    d = ewms(gaps, "close", {s: f"e{s}" for s in spans}, Series())
+    assert d._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 2
+    got = d.toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    for s in spans:
+        for _, x in got.groupby("symbol"):
+            have = x["close"].notna()
+            assert np.allclose(x.loc[have, f"e{s}"], x.loc[have, "close"].ewm(span=s, adjust=False).mean()) and x.loc[~have, f"e{s}"].isna().all()
