@@ -6,6 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import normal, scale
+from ..functions import trailing as tr
 from ..functions.windows import Series, clip, ewm, flag, nz, pct_rank, quantile_of
 from ..operators import backtest as bk, features as feats, fractional as fr, labels as lb, ranking as rk, regime as rg, sequential as sq
 from ..sources.tables import bars, events, table
@@ -28,7 +29,7 @@ def win(key, layers, cols, build, ints=(), digits=6):
 win("WIN-1", [{"m": mean("close", 21), "s": roll("sum", "volume", 21, 5), "lo": lo("low", 21, 10), "hi": hi("high", 21, 10), "sd": std("close", 21)}], ["m", "s", "lo", "hi", "sd"],
     lambda b, p: b.withColumns({"m": p.mean("close", 21), "s": p.sum("volume", 21, 5), "lo": p.min("low", 21, 10), "hi": p.max("high", 21, 10), "sd": p.std("close", 21)}), digits=7)
 win("WIN-2", [{"r": pct("close")}, {"sk": roll("skewness", "r", 63, 21), "ku": roll("kurtosis", "r", 63, 21)}], ["sk", "ku"],
-    lambda b, p: b.withColumn("r", p.pct("close")).withColumns({"sk": p.skew("r", 63, 21), "ku": p.kurt("r", 63, 21)}))
+    lambda b, p: tr.trailing(b.select(*KEYS, p.pct("close").alias("r")), {"sk": tr.Trailing(tr.skewness(21), ("r",), 63), "ku": tr.Trailing(tr.kurtosis(21), ("r",), 63)}, p))
 win("WIN-3", [{"q10": quant("close", 63, 0.1, 20), "q50": quant("close", 63, 0.5, 20), "q90": quant("close", 63, 0.9, 20)}], ["q10", "q50", "q90"],
     lambda b, p: b.withColumn("_a", p.sorted_frame("close", 63)).withColumns({f"q{int(q * 100)}": quantile_of("_a", q, 20) for q in (0.1, 0.5, 0.9)}), digits=9)
 win("WIN-4", [{"_l": rank("close", 126, 0)[0]}, {"r": rank_of("_l", "close", 63)}], ["r"],
