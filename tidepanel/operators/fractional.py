@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.trailing import Trailing, dot as weighted, trailing
 from ..functions.windows import Series, col, nz
 from ..session import cut_lineage
 
@@ -47,7 +48,11 @@ def fracdiff(x, d: float, threshold: float = 1e-3, p: Series = Series()) -> Colu
 
 def fracdiff_columns(df: DataFrame, d: float, columns=("open", "high", "low", "close"), threshold: float = 1e-4,
                      p: Series = Series(), suffix: str = "_fd") -> DataFrame:
-    return df.withColumns({f"{c}{suffix}": fracdiff(c, d, threshold, p) for c in columns})
+    """Fixed-width fractional differences of several columns in one pass; as ``fracdiff``."""
+    if not 0.0 <= d <= 2.0:
+        raise ValueError("d must lie in [0, 2]")
+    w = frac_weights(d, threshold) if d else np.ones(1)
+    return trailing(df, {f"{c}{suffix}": Trailing(weighted(w), (c,), len(w)) for c in columns}, p)
 
 
 def series_blocks(df: DataFrame, x: str, before: int, rows: int = BLOCK, *carry: str) -> DataFrame:
