@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scale import scan_by_key
+from ..functions.trailing import Trailing, deviations, means, share_below, trailing
 from ..functions.windows import Series, clip, col, corr_agg, flag, nz
 
 C = F.col
@@ -164,14 +165,11 @@ def tail_risk(df: DataFrame, look_vol: int = 21, look_tail: int = 252, p: Series
     d = d.withColumn("_n", F.count("_r").over(p.past))
     d = d.withColumn("_v", p.std("_r", look_vol) * YEAR)
     # volatilities of the windows lying fully inside the last ``look_tail`` returns
-    f = p.last(look_tail - look_vol + 1)
-    inner = p.w.rowsBetween(-(look_tail - 1), 0)
-    d = d.withColumns({"_vm": F.avg("_v").over(f), "_vs": F.stddev_samp("_v").over(f), "_sg": F.stddev_samp("_r").over(inner),
-                       "_a": F.collect_list("_r").over(inner)})
+    f = look_tail - look_vol + 1
+    d = trailing(d, {"_vm": means("_v", f, 1), "_vs": deviations("_v", f, 2), "_tail": Trailing(share_below(-2.0), ("_r",), look_tail)}, p)
     z = F.when((C("_n") < 2 * look_vol) | (C("_vs") < 1e-9) | C("_vs").isNull(), 0.0).otherwise((C("_v") - C("_vm")) / nz("_vs"))
-    below = F.size(F.filter("_a", lambda v: v < -2.0 * C("_sg"))) / nz(F.size("_a").cast("double"))
     few = C("_n") < look_vol + 5
-    d = d.withColumns({"vol_zscore": F.when(few, 0.0).otherwise(z), "tail_prob": F.when(few, 0.10).otherwise(below)})
+    d = d.withColumns({"vol_zscore": F.when(few, 0.0).otherwise(z), "tail_prob": F.when(few, 0.10).otherwise(C("_tail"))})
     vz, tp = C("vol_zscore"), C("tail_prob")
     scen = (F.when(few, "normal").when((vz >= 3.5) & (tp <= 0.01), "black_swan").when(vz >= 3.5, "extreme")
             .when((vz >= 2.0) | (tp <= 0.05), "caution").otherwise("normal"))
@@ -179,7 +177,7 @@ def tail_risk(df: DataFrame, look_vol: int = 21, look_tail: int = 252, p: Series
     ex = F.lit(1.0)
     for k, v in SCENARIO_EXPOSURE.items():
         ex = F.when(C("scenario") == k, v).otherwise(ex)
-    return d.withColumn("exposure", ex).drop("_r", "_n", "_v", "_vm", "_vs", "_sg", "_a")
+    return d.withColumn("exposure", ex).drop("_r", "_n", "_v", "_vm", "_vs", "_tail")
 
 
 def stress_book(bars: DataFrame, periods: DataFrame, net_weight: float, gross_weight: float, n_positions: int) -> DataFrame:
