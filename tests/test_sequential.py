@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import walk
+
 from tidepanel.operators import fractional as fr, labels as lb, regime as rg, sequential as sq
 
 
@@ -142,3 +144,16 @@ def test_least_order_equals_a_loop_whatever_the_blocks(spark):
     y = np.array([w @ made["WALK"][t - len(w) + 1:t + 1] for t in range(len(w) - 1, 1500)])
     x = out[out.symbol == "WALK"]["close_fd"].to_numpy(float)
     assert np.isnan(x[:len(w) - 1]).all() and np.allclose(x[len(w) - 1:], y) and out[out.symbol == "SHORT"]["close_fd"].isna().all()
+
+
+def test_segments_of_short_series_equal_those_in_rounds_and_move_rows_once(spark):
+    frames = [walk(s, n, i) for i, (s, n) in enumerate((("A", 260), ("B", 9), ("C", 10), ("D", 120)))]
+    frames.append(walk("E", 80, 9).assign(close=50.0))
+    d = spark.createDataFrame(pd.concat(frames)[["symbol", "ts", "close"]], "symbol string, ts timestamp_ntz, close double")
+    d = d.unionByName(d.where("symbol = 'B'").withColumn("symbol", F.lit(None).cast("string"))).unionByName(d.where("symbol = 'A' AND day(ts) = 3"))
+    short, long = rg.segments(d, 1.0), rg.segments(d, 1.0, longest=100)      # A and D go in rounds
+    a, b = (sorted(((r.symbol or "", r.ts, r.cp_segment) for r in x.where("symbol <> 'A' OR symbol IS NULL").collect())) for x in (short, long))
+    assert a == b and sum(x[2] for x in a) > 0
+    assert short.count() == long.count() == d.count()
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
