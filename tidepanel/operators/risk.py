@@ -431,7 +431,16 @@ def schedule_cost(sched: DataFrame, keys, n: int = 10, eta: float = 0.01, gamma:
     return a.withColumn("utility", C("expected_cost") + C(lam) * C("variance_cost")).drop("_s2", "_s", "_x2")
 
 
-def frontier(orders: DataFrame, points: int = 20) -> DataFrame:
-    """Schedules over a log grid of risk aversion 1e-8 .. 1e-2 (the grid is a literal array)."""
+#: orders of one task of a frontier; their groups by order and risk aversion fit in its memory
+FRONTIER_ROWS = 50_000
+
+
+def frontier(orders: DataFrame, points: int = 20, key: str | None = None) -> DataFrame:
+    """Schedules over a log grid of risk aversion 1e-8 .. 1e-2 (the grid is a literal array).
+
+    With ``key`` the orders are brought together by it before the grid multiplies them, so that sums by order and risk aversion move no more rows."""
     grid = [10 ** (-8 + 6 * i / (points - 1)) for i in range(points)]
+    if key is not None:
+        tasks = max(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(orders.count() / FRONTIER_ROWS))
+        orders = orders.repartition(tasks, key)
     return orders.withColumn("lam", F.explode(F.array(*[F.lit(g) for g in grid])))
