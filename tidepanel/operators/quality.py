@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.windows import Series, clip, flag, nz
 
@@ -57,8 +57,16 @@ def winsorize(df: DataFrame, cols=OHLCV, iqr: float = 3.0, fit_end=None) -> Data
     return d.withColumns({c: cap(c) for c in cols}).select(*df.columns)
 
 
+def next_known(x, rn: str, p: Series) -> Column:
+    """The first known value from this row on, as the last one in the reverse order of the row numbers: a frame to the end of the series
+    would be walked again for every row."""
+    back = Window.partitionBy(*p.keys).orderBy(F.desc(rn)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(x, ignorenulls=True).over(back)
+
+
 def impute_ffill(df: DataFrame, cols=OHLCV, p: Series = Series()) -> DataFrame:
-    return df.withColumns({c: F.coalesce(p.ffill(c), p.bfill(c)) for c in cols})
+    d = df.withColumn("_fn", p.row())
+    return d.withColumns({c: F.coalesce(p.ffill(c), next_known(C(c), "_fn", p)) for c in cols}).drop("_fn")
 
 
 def impute_linear(df: DataFrame, cols=OHLCV, limit: int = 3, p: Series = Series()) -> DataFrame:
@@ -70,8 +78,8 @@ def impute_linear(df: DataFrame, cols=OHLCV, limit: int = 3, p: Series = Series(
     step = {}
     for c in cols:
         known = F.when(C(c).isNotNull(), C("_rn"))
-        step |= {f"_pv_{c}": p.ffill(c), f"_nv_{c}": p.bfill(c), f"_pr_{c}": F.last(known, ignorenulls=True).over(p.past),
-                 f"_nr_{c}": F.first(known, ignorenulls=True).over(p.future)}
+        step |= {f"_pv_{c}": p.ffill(c), f"_nv_{c}": next_known(C(c), "_rn", p), f"_pr_{c}": F.last(known, ignorenulls=True).over(p.past),
+                 f"_nr_{c}": next_known(known, "_rn", p)}
     d = d.withColumns(step)
     filled = {}
     for c in cols:
