@@ -52,6 +52,24 @@ def test_similarity_join_equals_brute_force_with_many_copies(spark):
     assert got == brute(queries, log) and len(got) > 20
 
 
+def test_a_pair_of_blocks_hands_on_few_entries_a_query(spark, monkeypatch):
+    """Pairs and their terms stay inside the tasks; what leaves a pair of blocks are the best entries of a query."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    log = [(i, " ".join(rng.choice(words, 9)), sorted({str(x) for x in rng.choice(words, 5)})) for i in range(90)] + [(500, "", []), (501, "w1", None)]
+    queries = [(1000 + i, *log[i][1:]) for i in range(20)] + [(2000, " ", log[3][2]), (2001, "nothing here", []), (2002, None, None)]
+    q = spark.createDataFrame(queries, "qid bigint, q_title string, q_tags array<string>")
+    e = spark.createDataFrame(log, "id bigint, title string, tags array<string>")
+    _, _, vq, ve, _, _ = explog.similarity_index(q, e)
+    a, b, score = explog.scored_block(vq.toArrow(), ve.toArrow(), 3, 0.3, explog.LEAST_COSINE, explog.SHARED_TAGS)
+    sent = Counter(a.tolist())
+    assert len(sent) > 15 and max(sent.values()) == 3 and (score > 0.3).all() and (b < 92).all()
+    monkeypatch.setattr(explog, "BLOCK", 200)           # several blocks a side
+    got = sorted((r["qid"], r["id"], r["rank"]) for r in explog.similar(q, e).collect())
+    assert got == brute([(i, t or "", g or []) for i, t, g in queries], [(i, t, g or []) for i, t, g in log])
+    assert "FlatMapCoGroupsInArrow" in explog.similar(q, e)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_log_round_trip_with_nested_schema(spark, tmp_path):
     d = spark.createDataFrame([("a", "experiment", ["x"])], "id string, type string, tags array<string>").withColumn("metrics", F.struct(F.lit(0.5).alias("sharpe")))
     explog.append_log(d, str(tmp_path))
