@@ -1,9 +1,12 @@
 """Trailing frames by numpy against the window expressions of Spark."""
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.plans.catalogue import quick_round
+from tidepanel.plans.registry import rd
 from tidepanel.functions import trailing as t
 from tidepanel.functions.windows import Series, corr_over, pct_rank, quantile_of
 from tidepanel.operators import features as feats
@@ -83,3 +86,16 @@ def test_tail_risk_and_differences_gather_no_frames(spark, odd):
 def test_skewness_walks_no_frame(spark, sf):
     from tidepanel.plans import QUERIES
     assert "skewness" not in QUERIES["WIN-2"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quick_rounding_gives_what_decimal_text_gives(spark):
+    """The catalogue's rounding without decimal text: same values, also where it has to fall back."""
+    rng = np.random.default_rng(4)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 1e-12, -1e-12, 0.1234565, -0.1234565, 2.5e-6, 1e6, -1e6, 1048576.0, 3e9, 1e18, -1e300]
+    xs = odd + (rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-9, 14, 3000)).tolist() + (rng.integers(-10 ** 6, 10 ** 6, 1000) / 2e6).tolist()
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for digits in (3, 6, 8):
+        both = d.select(rd("x", digits).alias("a"), quick_round("x", digits).alias("b"))
+        assert both.where("NOT (a <=> b)").count() == 0
+    plan = d.select(quick_round("x", 6).alias("b")).where("b > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rint" in plan.lower()
