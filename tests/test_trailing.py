@@ -62,6 +62,22 @@ def test_catalogue_gathers_no_frames_and_walks_only_short_ones(spark, odd):
     assert all(f"RowFrame, -{n - 1}, " not in plan for n in (126, 200, 252))
 
 
+def test_frames_of_the_bars_alone_are_not_walked(spark, odd):
+    """Means, deviations and extremes of the bars and of their returns are trailing kernels before the windows: few frames are left to walk."""
+    from tidepanel.sources.tables import MACRO_TICKERS
+    bars = odd.select("symbol", "ts", *[F.col("x").alias(c) for c in ("open", "high", "low", "close")], F.col("y").alias("volume"))
+    macro = spark.createDataFrame([(k, datetime(2020, 1, 1), 1.0) for k in MACRO_TICKERS], "ticker string, ts timestamp_ntz, close double")
+    plan = feats.generate_features(bars, list(feats.FAMILIES), macro)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"RowFrame, -{n - 1}, " not in plan for n in (50, 63))
+    d = bars.withColumn("r", P.pct("close"))
+    want = {(r.symbol, r.ts): r for r in d.withColumns({"v": P.std("r", 5), "m": P.mean("r", 21, 10), "s": P.mean("close", 10)}).collect()}
+    got = t.trailing(bars, {"v": t.Trailing(t.of_returns(t.std(5)), ("close",), 6), "m": t.Trailing(t.of_returns(t.mean(10)), ("close",), 22), "s": t.means("close", 10)}).collect()
+    for r in got:
+        for c in ("v", "m", "s"):
+            w = want[r.symbol, r.ts][c]
+            assert (r[c] is None) == (w is None) and (w is None or r[c] == pytest.approx(w, rel=1e-9, abs=1e-9)), (c, r, w)
+
+
 def test_reading_the_catalogue_shuffles_nothing(spark, sf):
     """The label is stored with the features: what is read afterwards needs no window over the wide rows."""
     from tidepanel.plans.catalogue import catalogue
