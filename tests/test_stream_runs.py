@@ -82,6 +82,14 @@ def test_control_chart_is_the_same_however_rows_arrive(spark, tmp_path):
         assert list(zip(got["cusum_alarm"], got["ewma_alarm"])) == want
 
 
+def test_control_charts_of_one_bucket_stay_apart(spark, tmp_path):
+    """Keys share the calls to the state store, not their charts: one bucket gives what a bucket a key gives, over several arrivals."""
+    rows = runs.arrivals(spark.createDataFrame(events(120, 9)), 2)
+    got = [runs.streamed(rows, str(tmp_path / str(n)), lambda s: control_chart(s, "user_id", 0.0, 1.0, buckets=n), 2).toPandas().sort_values(["key", "seq"]).reset_index(drop=True) for n in (1, 997)]
+    assert set(got[0]["key"]) == {"1", "2", "3"} and got[0]["cusum_alarm"].sum() > 0
+    assert got[0].equals(got[1])
+
+
 def test_state_setting_of_the_session_comes_back(spark):
     name = runs.PROVIDER[0]
     before = spark.conf.get(name)

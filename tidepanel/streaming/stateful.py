@@ -14,11 +14,12 @@ C = F.col
 
 
 class ControlChart(StatefulProcessor):
-    """Two-sided CUSUM with reset and an exponentially weighted mean, against a fixed reference mean and deviation.
+    """Two-sided CUSUM with reset and an exponentially weighted mean of every key, against a fixed reference mean and deviation.
 
-    Rows wait in list state until the watermark has passed them and are then charted in order of (ts, seq), so batches that come out of
-    order, or cut anywhere, give the same chart. One timer a key stands at the least waiting time. Rows behind the watermark on arrival are
-    dropped by the stream. State: three numbers and the rows of one watermark delay a key.
+    Keys come in buckets: a call to the state store costs far more than a row, so one group holds the numbers and the rows of many keys. Rows
+    wait in list state until the watermark has passed them and are then charted by key in order of (ts, seq), so batches that come out of
+    order, or cut anywhere, give the same chart. One timer a bucket stands at the least waiting time. Rows behind the watermark on arrival are
+    dropped by the stream. State: three numbers a key and the rows of one watermark delay.
     """
 
     def __init__(self, mu: float, sd: float, threshold: float = 4.0, drift: float = 0.0, lam: float = 0.2, width: float = 3.0):
@@ -26,65 +27,70 @@ class ControlChart(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("chart", "hi double, lo double, ewma double, timer bigint")
-        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, value double")
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.chart = handle.getListState("chart", "key string, hi double, lo double, ewma double")
+        self.waiting = handle.getListState("waiting", "key string, us bigint, seq bigint, value double")
 
-    def _numbers(self) -> tuple[float, float, float, int]:
-        return self.state.get() if self.state.exists() else (0.0, 0.0, 0.0, -1)
-
-    def _wake(self, at: int, timer: int) -> int:
+    def _wake(self, at: int, timer: int) -> None:
         """Moves the timer to ``at`` (milliseconds), if that is earlier or no timer stands."""
-        if timer >= 0 and timer <= at:
-            return timer
+        if 0 <= timer <= at:
+            return
         if timer >= 0:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(at)
-        return at
+        self.timer.update((at,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         least = None
         for frame in rows:
             us = frame["us"].to_numpy()
-            self.waiting.appendList([(int(t), int(q), float(v)) for t, q, v in zip(us, frame["seq"], frame["value"])])
+            self.waiting.appendList(list(zip(frame["key"].tolist(), us.tolist(), frame["seq"].astype("int64").tolist(), frame["value"].tolist())))
             least = int(us.min()) if least is None else min(least, int(us.min()))
-        hi, lo, ew, timer = self._numbers()
-        self.state.update((hi, lo, ew, self._wake(least // 1000, timer)))
+        timer = self.timer.get()
+        self._wake(least // 1000, -1 if timer is None else timer[0])
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.waiting.get())
-        ready, rest = [r for r in held if r[0] // 1000 <= mark], [r for r in held if r[0] // 1000 > mark]
-        hi, lo, ew, _ = self._numbers()
+        ready, rest = [], []
+        for r in self.waiting.get():
+            (ready if r[1] // 1000 <= mark else rest).append(tuple(r))
+        ready.sort()
+        charts = {r[0]: tuple(r[1:]) for r in self.chart.get()}
         limit = self.width * (self.lam / (2 - self.lam)) ** 0.5
         alarm, chart = [], []
-        for _, _, value in ready:
+        for name, _, _, value in ready:
+            hi, lo, ew = charts.get(name, (0.0, 0.0, 0.0))
             v = (value - self.mu) / max(self.sd, 1e-9)
             hi, lo = max(0.0, hi + v - self.drift), max(0.0, lo - v - self.drift)
             ew = (1 - self.lam) * ew + self.lam * v
             hit = hi > self.threshold or lo > self.threshold
             if hit:
                 hi = lo = 0.0
+            charts[name] = (float(hi), float(lo), float(ew))
             alarm.append(int(hit))
             chart.append(int(abs(ew) > limit))
         if rest:
             self.waiting.put(rest)
+            self._wake(min(r[1] for r in rest) // 1000, -1)
         else:
             self.waiting.clear()
-        self.state.update((float(hi), float(lo), float(ew), self._wake(rest[0][0] // 1000, -1) if rest else -1))
+            self.timer.clear()
         if ready:
-            yield pd.DataFrame({"key": str(key[0]), "us": [r[0] for r in ready], "seq": [r[1] for r in ready], "cusum_alarm": pd.array(alarm, "int32"), "ewma_alarm": pd.array(chart, "int32")})
+            self.chart.put([(name, *numbers) for name, numbers in charts.items()])
+            yield pd.DataFrame({"key": [r[0] for r in ready], "us": [r[1] for r in ready], "seq": [r[2] for r in ready], "cusum_alarm": pd.array(alarm, "int32"), "ewma_alarm": pd.array(chart, "int32")})
 
     def close(self) -> None:
         pass
 
 
-def control_chart(stream: DataFrame, key: str, mu: float, sd: float, late: str = "10 minutes", **kw) -> DataFrame:
+def control_chart(stream: DataFrame, key: str, mu: float, sd: float, late: str = "10 minutes", buckets: int = 4096, **kw) -> DataFrame:
     """stream: key, ts, seq (orders rows of one time), value -> key, ts, seq, alarms of every row that the watermark has passed.
-    Rows without ts or value are left out."""
+    Rows without ts or value are left out. Keys are dealt over ``buckets`` by hash; a running stream must keep their number."""
     d = stream.where("ts IS NOT NULL AND value IS NOT NULL").withWatermark("ts", late)
-    d = d.select(key, "ts", F.unix_micros("ts").alias("us"), C("seq").cast("bigint").alias("seq"), C("value").cast("double").alias("value"))
-    out = d.groupBy(key).transformWithStateInPandas(
+    name = F.coalesce(C(key).cast("string"), F.lit("None"))
+    d = d.select(F.pmod(F.xxhash64(name), F.lit(buckets)).alias("bucket"), name.alias("key"), "ts", F.unix_micros("ts").alias("us"), C("seq").cast("bigint").alias("seq"), C("value").cast("double").alias("value"))
+    out = d.groupBy("bucket").transformWithStateInPandas(
         ControlChart(mu, sd, **kw), outputStructType="key string, us bigint, seq bigint, cusum_alarm int, ewma_alarm int", outputMode="Append", timeMode="EventTime")
     return out.select("key", F.timestamp_micros("us").alias("ts"), "seq", "cusum_alarm", "ewma_alarm")
 
