@@ -90,6 +90,17 @@ def test_control_charts_of_one_bucket_stay_apart(spark, tmp_path):
     assert got[0].equals(got[1])
 
 
+def test_rows_without_a_key_chart_apart(spark, tmp_path):
+    """Rows without a key are one chart of their own and leave the charts of the others alone."""
+    pdf = events(120, 9)
+    rows = runs.arrivals(spark.createDataFrame(pdf).withColumn("user_id", F.when(F.col("user_id") != 2, F.col("user_id"))), 2)
+    got = runs.streamed(rows.coalesce(1), str(tmp_path / "all"), lambda s: control_chart(s, "user_id", 0.0, 1.0), 2).toPandas()
+    whole = runs.streamed(runs.arrivals(spark.createDataFrame(pdf), 2), str(tmp_path / "named"), lambda s: control_chart(s, "user_id", 0.0, 1.0), 2).toPandas()
+    flat = lambda d: d.sort_values("seq").reset_index(drop=True)
+    assert set(got["key"]) == {"1", "3", "None"}
+    assert flat(got).equals(flat(whole.assign(key=whole["key"].replace("2", "None"))))
+
+
 def test_state_setting_of_the_session_comes_back(spark):
     name = runs.PROVIDER[0]
     before = spark.conf.get(name)
