@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import keep, table
 
@@ -59,6 +59,12 @@ def _half_keys(line: Column) -> Column:
     return F.concat(key(n, 1), key(n + 1, 0))
 
 
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs more than once. One shuffle and no join: rows made in Python are sized by what they were made from, so that
+    a join might send hundreds of variants of every line through the driver."""
+    return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("__n > 1").drop("__n")
+
+
 def decide(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, mark, line_no, dropped, near for every line that is not blank: dropped if an equal line, or one within one edit, stands
     earlier, in order of doc_id, hash of the text and place. ``near``: dropped for a line that is not equal.
@@ -90,8 +96,7 @@ def decide(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     who = F.struct("first", F.col("h").alias("h"))
     rows = text.select("h", "line").mapInArrow(spread, "h bigint, key bigint, kind byte")
     # which keys several lines share: counted first, so that only those lines carry their order on
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = keep(rows.join(shared, "key")).join(first.select("h", "first"), "h")
+    rows = keep(repeated(rows, "key")).join(first.select("h", "first"), "h")
     best = rows.groupBy("key").agg(F.min(F.when(F.col("kind") == 0, who)).alias("whole"), F.min(F.when(F.col("kind") == 1, who)).alias("less"), F.min(F.when(F.col("kind") == 2, who)).alias("changed"))
     other = F.when(F.col("kind") == 0, F.col("less")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("changed"))
     pairs = rows.join(best, "key").select("h", "first", other.alias("o")).where("o.first < first").select("h", F.col("o.h").alias("h2")).distinct()
